@@ -51,6 +51,11 @@ def words(c: Column | str, lower: bool = True) -> Column:
     return F.regexp_extract_all(F.lower(c) if lower else c, F.lit(_WORD), F.lit(0))
 
 
+def word_count(c: Column | str) -> Column:
+    """Number of :func:`words`, counted without building them."""
+    return F.regexp_count(_col(c), F.lit(_WORD))
+
+
 def alnum_words(c: Column | str) -> Column:
     """Lower-cased runs of ``[a-z0-9]``: the token rule of the ROUGE metric."""
     return F.filter(F.split(F.lower(_col(c)), "[^a-z0-9]+"), lambda t: t != "")

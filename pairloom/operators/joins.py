@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-_HOT_SHARE = 1000
+BROADCAST_BYTES = 128 * 1024 * 1024
+_MAX_HOT = 1000
 _FAN_OUT = 64
 
 
@@ -29,15 +29,14 @@ def frame_bytes(df: DataFrame) -> int:
 
 
 def hot_keys(facts: DataFrame, key: list[str], spread_by: list[str]) -> DataFrame:
-    """Keys that hold more than 1/1000 of a fixed sample of the rows, so fewer than 1000 keys.
+    """The at most 1000 most frequent keys of a fixed sample of the rows.
 
-    The sample follows from a hash of the row's own columns, so every evaluation
-    names the same keys. It only steers the join's layout, never its result.
+    The sample and the tie order follow from the rows' own columns, so every
+    evaluation names the same keys. They steer the join's layout, never its result.
     """
     sample = facts.where(F.pmod(F.xxhash64(*spread_by), F.lit(16)) == 0).select(*key)
-    counts = sample.groupBy(*key).agg(F.count("*").alias("_n"))
-    rows = sample.agg(F.count("*").alias("_n")).scalar()
-    return counts.where((F.col("_n") > 16) & (F.col("_n") * _HOT_SHARE > rows)).select(*key, F.lit(True).alias("_hot"))
+    counts = sample.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > 16)
+    return counts.orderBy(F.desc("_n"), *key).limit(_MAX_HOT).select(*key, F.lit(True).alias("_hot"))
 
 
 def salted_join(facts: DataFrame, dim: DataFrame, key: list[str], how: str, spread_by: list[str]) -> DataFrame:

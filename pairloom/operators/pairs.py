@@ -160,9 +160,8 @@ def length_percentile(length: Column, percent: float = 100, approximate: bool =
     return function(length, F.lit(percent / 100)).cast("bigint")
 
 
-def pair_lengths(prompted: DataFrame, tokens: Callable[[Column], Column], percent: float = 100) -> DataFrame:
-    """One row (prompt_length, chosen_length, rejected_length, max_length) in tokens."""
-    size = lambda c: F.size(tokens(c))
+def pair_lengths(prompted: DataFrame, size: Callable[[Column], Column], percent: float = 100) -> DataFrame:
+    """One row (prompt_length, chosen_length, rejected_length, max_length); ``size`` counts a text's tokens."""
     measured = prompted.select(
         size(F.col("prompt")).alias("p"),
         size(F.concat("prompt", "chosen")).alias("c"),

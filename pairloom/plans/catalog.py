@@ -14,7 +14,7 @@ from pairloom.functions.ngrams import kept_fragments
 from pairloom.operators import corpus, ordering, overlap, pairs, phrases, retrieval
 from pairloom.plans import features, scorecards
 from pairloom.plans import views as v
-from pairloom.session import scratch_path
+from pairloom.session import pinned, scratch_path
 from pairloom.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,7 +212,7 @@ def chat_messages(spark, d):
 @query
 def length_percentiles(spark, d):
     prompted = pairs.ranking_prompts(v.triples(spark, d))
-    return pairs.pair_lengths(prompted, X.words, 95)
+    return pairs.pair_lengths(prompted, X.word_count, 95)
 
 
 @query
@@ -220,7 +220,7 @@ def longest_lengths(spark, d):
     t, e = v.triples(spark, d), pairs.ranking_prompts
     split = lambda task: e(t.where(X.task_of("source") == task))
     return pairs.longest_of_splits(
-        pairs.pair_lengths(split("mol2cap"), X.words), pairs.pair_lengths(split("cap2mol"), X.words))
+        pairs.pair_lengths(split("mol2cap"), X.word_count), pairs.pair_lengths(split("cap2mol"), X.word_count))
 
 
 @query
@@ -442,13 +442,13 @@ def _summary(vecs: DataFrame, key: str) -> DataFrame:
 @query
 def sentence_vectors(spark, d):
     s = _sentences(spark, d)
-    return _summary(corpus.sentence_vectors(s, v.word_table(spark, d, corpus.word_counts(s))), "sent_id")
+    return _summary(corpus.sentence_vectors(s, pinned(v.word_table(spark, d, corpus.word_counts(s)))), "sent_id")
 
 
 @query
 def sentence_vectors_unknown(spark, d):
     s = _sentences(spark, d)
-    known = v.word_table(spark, d, corpus.word_counts(s))
+    known = pinned(v.word_table(spark, d, corpus.word_counts(s)))
     unknown = v.embeddings(spark, d).groupBy().agg(F.min_by("embedding", "vec_id").cast("array<double>").alias("vec"))
     table = known.unionByName(unknown.select(F.lit(corpus.UNKNOWN).alias("word"), "vec"))
     return _summary(corpus.sentence_vectors(s, table, corpus.UNKNOWN), "sent_id")
@@ -459,7 +459,7 @@ def featurize(spark, d):
     docs = v.documents(spark, d).select(F.col("doc_id").alias("sent_id"), "text")
     words = X.alnum_words("text")
     s = corpus.corpus_sentences(docs, words, 1, "alt")
-    out = features.featurize(docs, words, v.word_table(spark, d, corpus.word_counts(s)))
+    out = features.featurize(docs, words, pinned(v.word_table(spark, d, corpus.word_counts(s))))
     return _summary(out, "sent_id")
 
 
