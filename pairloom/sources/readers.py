@@ -34,9 +34,13 @@ def read_table(spark: SparkSession, folder: str, name: str, key: str | None = No
     return df
 
 
-def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] | list[str], row_id: str | None = "pair_id") -> DataFrame:
-    """Quoted CSV with header; the named columns as text, multi-line fields kept, empty field as ''."""
-    df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
+def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] | list[str], row_id: str | None = "pair_id", multi_line: bool = True) -> DataFrame:
+    """Quoted CSV with header; the named columns as text, multi-line fields kept, empty field as ''.
+
+    A file with multi-line fields is read by one task, so keep such data in many
+    files; ``multi_line=False`` splits large files whose fields have no line ends.
+    """
+    df = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"', inferSchema=False)
     texts = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
     return _with_row_id(texts, row_id) if row_id else texts
 
