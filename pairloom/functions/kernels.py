@@ -155,7 +155,7 @@ def meteor(
     beta: float = 3.0,
     gamma: float = 0.5,
 ) -> Column:
-    """METEOR of two token arrays.
+    """METEOR of two token arrays, compared in lower case.
 
     ``stems``: the reference's and the hypothesis' stem arrays, aligned with their tokens.
     ``synonyms``: for each hypothesis token the array of words it may stand for.
@@ -170,7 +170,8 @@ def meteor(
         for values in zip(*lists):
             rest = list(values[2:])
             ref_stem, hyp_stem = (rest.pop(0), rest.pop(0)) if stems else (None, None)
-            scores.append(_meteor(values[0] or [], values[1] or [], ref_stem, hyp_stem,
+            ref, hyp = ([token.lower() for token in side or []] for side in values[:2])
+            scores.append(_meteor(ref, hyp, ref_stem, hyp_stem,
                                   rest.pop(0) if rest else None, alpha, beta, gamma))
         return pa.array(scores, pa.float64())
 

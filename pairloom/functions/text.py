@@ -16,8 +16,11 @@ MAX_EMBEDDING_TOKENS = 256
 MAX_PAIR_TOKENS = 900
 
 _WORD = r"[\p{L}\p{N}]+|[^\s]"
-# Every character a Unicode-aware strip removes, the four ASCII separators included.
-_EDGE = r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$"
+# Every character a Unicode-aware strip removes.
+_WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def _col(c: Column | str) -> Column:
@@ -26,7 +29,7 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Drop all edge whitespace, not only spaces."""
-    return F.regexp_replace(_col(c), _EDGE, "")
+    return F.btrim(_col(c), F.lit(_WHITESPACE))
 
 
 def task_of(source: Column | str) -> Column:

@@ -72,13 +72,8 @@ def with_rouge_l(df: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame
 
 
 def with_meteor(df: DataFrame, ref: str = "ref", hyp: str = "hyp", **options) -> DataFrame:
-    """Add the row's METEOR over lower-cased tokens."""
-    lower = lambda c: F.transform(c, F.lower)
-    return df.withColumn("meteor", meteor(lower(F.col(ref)), lower(F.col(hyp)), **options))
-
-
-def rounded_means(columns: dict[str, Column]) -> list[Column]:
-    return [F.avg(value).alias(name) for name, value in columns.items()]
+    """Add the row's METEOR; tokens are compared in lower case."""
+    return df.withColumn("meteor", meteor(ref, hyp, **options))
 
 
 def levenshtein_mean(output: str, truth: str) -> Column:

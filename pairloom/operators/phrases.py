@@ -26,15 +26,13 @@ def with_keys(properties: DataFrame, tokens: Tokenizer = words) -> DataFrame:
     return properties.select("path").distinct().select("path", phrase_key("path", tokens).alias("key"))
 
 
-def phrase_hits(
+def phrase_candidates(
     pairs: DataFrame, keys: DataFrame, sides: dict[str, Column], tokens: Tokenizer = words, row_id: str = "pair_id"
 ) -> DataFrame:
-    """(row_id, key, one boolean per side): the phrases each text contains contiguously.
+    """(row_id, side, key): the distinct n-grams of each text, of the phrases' lengths only.
 
-    Only n-grams of lengths that occur among the phrases are produced, and they meet
-    the phrases in an equi-join; pairs without a hit leave no row.
+    To be met by the phrases in an equi-join on ``key``; ``side`` counts the sides from 0.
     """
-    keys = keys.select("key").distinct()
     sizes = F.when(F.col("key") == "", 0).otherwise(F.size(F.split("key", " ")))
     # A handful of numbers: the distinct phrase lengths.
     lengths = sorted(r[0] for r in keys.select(sizes.alias("n")).distinct().collect())
@@ -44,8 +42,19 @@ def phrase_hits(
     grams = F.concat(*[ngrams("tokens", n) for n in lengths if n > 0] or [F.array().cast("array<string>")])
     if 0 in lengths:
         grams = F.concat(grams, F.array(F.lit("")))
-    exploded = of_text.select(row_id, "side", F.explode(F.array_distinct(grams)).alias("key"))
-    found = lookup_join(exploded, keys, "key", "left_semi", spread_by=[row_id, "side"])
+    return of_text.select(row_id, "side", F.explode(F.array_distinct(grams)).alias("key"))
+
+
+def phrase_hits(
+    pairs: DataFrame, keys: DataFrame, sides: dict[str, Column], tokens: Tokenizer = words, row_id: str = "pair_id"
+) -> DataFrame:
+    """(row_id, key, one boolean per side): the phrases each text contains contiguously.
+
+    Pairs without a hit leave no row.
+    """
+    keys = keys.select("key").distinct()
+    candidates = phrase_candidates(pairs, keys, sides, tokens, row_id)
+    found = lookup_join(candidates, keys, "key", "left_semi", spread_by=[row_id, "side"])
     return found.groupBy(row_id, "key").agg(
         *[F.bool_or(F.col("side") == i).alias(name) for i, name in enumerate(sides)]
     )
@@ -122,19 +131,22 @@ def macro_average(per_path: DataFrame, metrics: tuple[str, ...] = METRICS) -> Da
     return report.select("metric", F.array_join("path", PATH_SEPARATOR).alias("path"), "value")
 
 
-def combo_keys(combos: DataFrame, tokens: Tokenizer = words) -> DataFrame:
-    """(combo_id, k1, k2) of (combo_id, p1, p2)."""
-    return combos.select("combo_id", phrase_key("p1", tokens).alias("k1"), phrase_key("p2", tokens).alias("k2"))
-
-
-def _all_keys(keyed: DataFrame) -> DataFrame:
-    return keyed.select(F.explode(F.array("k1", "k2")).alias("key"))
-
+def combo_hits(
+    pairs: DataFrame, combos: DataFrame, sides: dict[str, Column], tokens: Tokenizer = words, row_id: str = "pair_id"
+) -> DataFrame:
+    """(row_id, combo_id, <side>1, <side>2 ..): which of a combo's two phrases each side contains.
 
-def _second(first: DataFrame, hits: DataFrame, row_id: str, sides: list[str]) -> DataFrame:
-    """Join each row's first phrase with its second one on (row, phrase)."""
-    second = hits.select(row_id, F.col("key").alias("k2"), *[F.col(s).alias(f"{s}2") for s in sides])
-    return first.join(second, [row_id, "k2"])
+    Both phrases meet the texts in one join and fold into one row per text and combo,
+    already inside the task that read the text; no hit table is joined with itself.
+    """
+    place = F.posexplode(F.array(phrase_key("p1", tokens), phrase_key("p2", tokens))).alias("place", "key")
+    roles = combos.select("combo_id", place)
+    candidates = phrase_candidates(pairs, roles.select("key").distinct(), sides, tokens, row_id)
+    met = lookup_join(candidates, roles, "key", "inner", spread_by=[row_id, "side"])
+    return met.groupBy(row_id, "combo_id").agg(*[
+        F.bool_or((F.col("side") == i) & (F.col("place") == p)).alias(f"{name}{p + 1}")
+        for i, name in enumerate(sides) for p in (0, 1)
+    ])
 
 
 def combo_confusion(pairs: DataFrame, combos: DataFrame, tokens: Tokenizer = words, compat: bool = False) -> DataFrame:
@@ -143,38 +155,24 @@ def combo_confusion(pairs: DataFrame, combos: DataFrame, tokens: Tokenizer = wor
     ``compat`` counts a true negative whenever the second phrase is predicted or the
     first is not, for rows whose truth lacks the pair: the published scores' rule.
     """
-    keyed = combo_keys(combos, tokens)
-    hits = prediction_hits(pairs, _all_keys(keyed), tokens)
-    first = lookup_join(
-        hits.select("pair_id", F.col("key").alias("k1"), F.col("gt").alias("gt1"), F.col("out").alias("out1")),
-        keyed, "k1", "inner", spread_by=["pair_id"],
-    )
-    both = _second(first, hits, "pair_id", ["gt", "out"])
+    hits = combo_hits(pairs, combos, {"gt": F.col("ground_truth"), "out": F.col("output")}, tokens)
     gt, out = F.col("gt1") & F.col("gt2"), F.col("out1") & F.col("out2")
-    counts = both.agg(
+    counts = hits.agg(
         F.count_if(gt & out).alias("tp"),
         F.count_if(gt & ~out).alias("fn"),
         F.count_if(~gt & out).alias("fp"),
-        F.count_if(gt).alias("_gt"),
-        F.count_if(out).alias("_out"),
-        F.count_if(gt & F.col("out1") & ~F.col("out2")).alias("_gt_out1"),
+        # Only the first phrase predicted, no true pair: counted nowhere under ``compat``.
+        F.count_if(~gt & F.col("out1") & ~F.col("out2")).alias("_half"),
     )
     cells = pairs.agg(F.count("*").alias("n")).scalar() * combos.agg(F.count("*").alias("n")).scalar()
-    if compat:
-        # Rows with only the first phrase predicted and no true pair count nowhere.
-        out1 = first.agg(F.count_if("out1").alias("n")).scalar()
-        negatives = cells - F.col("_gt") - (out1 - F.col("_out") - F.col("_gt_out1"))
-    else:
-        negatives = cells - F.col("_gt") - F.col("fp")
-    return with_ratios(counts.withColumn("tn", negatives).drop("_gt", "_out", "_gt_out1"))
+    left_out = F.col("_half") if compat else F.col("fp")
+    return with_ratios(counts.withColumn("tn", cells - F.col("tp") - F.col("fn") - left_out).drop("_half"))
 
 
 def heldout_rows(
     pairs: DataFrame, combos: DataFrame, on: str = "ground_truth", tokens: Tokenizer = words
 ) -> DataFrame:
     """Distinct (source, ground_truth, output) whose ``on`` text has both phrases of some pair."""
-    keyed = combo_keys(combos, tokens)
-    hits = phrase_hits(pairs, _all_keys(keyed), {"hit": F.col(on)}, tokens)
-    first = lookup_join(hits.select("pair_id", F.col("key").alias("k1")), keyed, "k1", "inner", spread_by=["pair_id"])
-    kept = _second(first, hits, "pair_id", []).select("pair_id").distinct()
+    hits = combo_hits(pairs, combos, {"hit": F.col(on)}, tokens)
+    kept = hits.where(F.col("hit1") & F.col("hit2")).select("pair_id").distinct()
     return pairs.join(kept, "pair_id", "left_semi").select("source", "ground_truth", "output").distinct()

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.vectors import blend, cosine, unit
-from pairloom.operators.joins import lookup_join
+from pairloom.operators.joins import lookup_join, salted_join
 from pairloom.operators.ordering import top_k, with_position
+from pairloom.session import pinned
 
 _QUERY_BLOCK = 1024
 # Scores closer than this many decimals are ties; the item id decides then.
@@ -74,10 +75,11 @@ def _unit_matrix(vectors: pa.Array) -> np.ndarray:
 
 def _query_blocks(queries: DataFrame) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """The queries in blocks of about a thousand, so no task or driver holds them all."""
+    queries = pinned(queries.select("query", F.col("vec").cast("array<double>")))
     blocks = -(-queries.count() // _QUERY_BLOCK)
     for block in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block) if blocks > 1 else queries
-        table = part.select("query", F.col("vec").cast("array<double>")).toArrow()
+        table = part.toArrow()
         if table.num_rows:
             yield table.column(0).combine_chunks(), _unit_matrix(table.column(1).combine_chunks())
 
@@ -166,11 +168,13 @@ def described(found: DataFrame, descriptions: DataFrame, max_rows: int = 1_000_0
     """Attach (item, description) to retrieval results.
 
     The result is the small side: it is broadcast against the descriptions while
-    its measured row count is within ``max_rows``.
+    its measured row count is within ``max_rows``. Beyond, both are shuffled, and
+    an item that many queries found is spread over tasks.
     """
+    found = pinned(found)
     if found.count() <= max_rows:
         return descriptions.join(F.broadcast(found), "item", "inner")
-    return descriptions.join(found, "item", "inner")
+    return salted_join(found, descriptions, ["item"], "inner", spread_by=["query", "rank"])
 
 
 def all_splits(**splits: DataFrame) -> DataFrame:

@@ -139,7 +139,10 @@ def preference_triples(spark, d):
 
 @query
 def union_directions(spark, d):
-    return v.triples(spark, d).groupBy(X.task_of("source").alias("task")).agg(
+    p, predicted = v.text_pairs(spark, d), v.predictions(spark, d)
+    union = pairs.both_directions(
+        pairs.preference_triples(p, predicted, "smiles2caption"), pairs.preference_triples(p, predicted, "caption2smiles"))
+    return union.groupBy(X.task_of("source").alias("task")).agg(
         F.count("*").alias("n"), F.sum(F.length(X.unmarked("source"))).alias("source_chars"),
         F.sum(F.length("chosen")).alias("chosen_chars"), F.sum(F.length("rejected")).alias("rejected_chars"))
 

@@ -61,11 +61,8 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
 
 def triples(spark: SparkSession, d: str) -> DataFrame:
     """Preference triples of both directions; (pair_id, task) is the key of a row."""
-    pairs, predicted = text_pairs(spark, d), predictions(spark, d)
-    return P.both_directions(
-        P.preference_triples(pairs, predicted, "smiles2caption"),
-        P.preference_triples(pairs, predicted, "caption2smiles"),
-    )
+    directed = predictions(spark, d).withColumn("direction", F.explode(F.array(*map(F.lit, P.DIRECTIONS))))
+    return P.triples_by_direction(text_pairs(spark, d), directed)
 
 
 def raw_outputs(spark: SparkSession, d: str) -> DataFrame:

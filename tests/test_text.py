@@ -5,7 +5,7 @@ from pairloom.functions import text as X
 from pairloom.functions.ngrams import alternating_sentence, heavy_atoms, kept_fragments, level_sentence, ngrams
 
 
-@pytest.mark.parametrize("raw", ["\t a b \n", " x ", "\x1cq\x1f", "plain", "", " \n "])
+@pytest.mark.parametrize("raw", ["\t a b \n", " x ", "\x1cq\x1f", "\u2003é\xa0", "plain", "", " \n "])
 def test_strip_is_unicode_aware(one, raw):
     assert one(X.strip("c"), c=raw) == raw.strip()
 
