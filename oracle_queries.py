@@ -379,6 +379,16 @@ ORACLES: dict[str, str] = {
       t AS (SELECT doc_id, unnest(g[1:900]) AS word, generate_subscripts(g[1:900], 1) AS i FROM docs),
       c AS (SELECT doc_id, list(coalesce(id, 0) ORDER BY i) AS ids FROM t LEFT JOIN vocab USING (word) GROUP BY doc_id)
       SELECT docs.doc_id AS sent_id, array_to_string(list_resize(coalesce(ids, []), 900, 0), ' ') AS input_ids, least(len(g), 900)::INT AS n_attended FROM docs LEFT JOIN c USING (doc_id)""",
+    "reward_token_ids": f"""WITH {SENTENCES}, vocab AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS id FROM wc WHERE n > 3),
+      r AS (SELECT pair_id, side, {_words("'cap2mol: ' || ground_truth || CASE side WHEN 'chosen' THEN source ELSE output END")}[1:900] AS w
+        FROM pairs, (VALUES ('chosen'), ('rejected')) s(side)),
+      t AS (SELECT pair_id, side, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM r),
+      c AS (SELECT pair_id, side, list(coalesce(id, 0) ORDER BY i) AS ids FROM t LEFT JOIN vocab USING (word) GROUP BY ALL),
+      f AS (SELECT pair_id, side, array_to_string(list_resize(ids, 900, 0), ' ') AS ids,
+        array_to_string(list_resize(list_transform(ids, lambda x: 1), 900, 0), ' ') AS mask FROM c)
+      SELECT pair_id, any_value(ids) FILTER (side = 'chosen') AS input_ids_chosen, any_value(mask) FILTER (side = 'chosen') AS attention_mask_chosen,
+        any_value(ids) FILTER (side = 'rejected') AS input_ids_rejected, any_value(mask) FILTER (side = 'rejected') AS attention_mask_rejected
+      FROM f GROUP BY pair_id""",
     "prediction_file": f"WITH {DOCS} SELECT {_ONE_LINE('source')} AS source, ground_truth, output FROM pairs",
     "triple_file": f"WITH {TRIPLES} SELECT source, chosen, rejected FROM triples",
     "record_file": f"WITH {DOCS} SELECT pair_id, ground_truth FROM pairs",

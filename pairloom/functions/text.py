@@ -15,7 +15,7 @@ MAX_TEXT_TOKENS = 512
 MAX_EMBEDDING_TOKENS = 256
 MAX_PAIR_TOKENS = 900
 
-_WORD = r"[\p{L}\p{N}]+|[^\s]"
+_WORD = r"[\p{L}\p{N}]++|[^\s]"
 # Every character a Unicode-aware strip removes.
 _WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
@@ -66,7 +66,8 @@ def alnum_words(c: Column | str) -> Column:
 
 def characters(c: Column | str) -> Column:
     """Single characters; the empty text has none."""
-    return F.filter(F.split(_col(c), ""), lambda t: t != "")
+    c = _col(c)
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
 
 
 def spaced_words(c: Column | str) -> Column:
@@ -119,9 +120,14 @@ def cleaned_first_word(c: Column | str) -> Column:
     return F.split_part(strip(_without(_col(c), ("['", "']", "\\n", "assistant"))), F.lit(" "), F.lit(1))
 
 
+def segments(path: Column | str) -> Column:
+    """The group names and the leaf of a ``a__b__leaf`` path, as an array."""
+    return F.split(_col(path), PATH_SEPARATOR)
+
+
 def last_segment(path: Column | str) -> Column:
     """Lower-cased leaf name of a ``a__b__leaf`` path."""
-    return F.lower(F.element_at(F.split(_col(path), PATH_SEPARATOR), -1))
+    return F.lower(F.element_at(segments(path), -1))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.ngrams import ngrams
-from pairloom.functions.text import PATH_SEPARATOR, last_segment, ratio, words
+from pairloom.functions.text import PATH_SEPARATOR, last_segment, ratio, segments, words
 from pairloom.operators.joins import lookup_join
 from pairloom.session import pinned
 
@@ -96,7 +96,7 @@ def with_ratios(counts: DataFrame) -> DataFrame:
 
 def check_tree(paths: DataFrame) -> None:
     """Raise when a path is both a leaf and a parent of another path."""
-    parts = F.split("path", PATH_SEPARATOR)
+    parts = segments("path")
     parents = paths.where(F.size(parts) > 1).select(F.explode(F.transform(
         F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), PATH_SEPARATOR)
     )).alias("path")).distinct()
@@ -113,7 +113,7 @@ def macro_average(per_path: DataFrame, metrics: tuple[str, ...] = METRICS) -> Da
     """
     check_tree(per_path)
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])
-    level = per_path.select(F.split("path", PATH_SEPARATOR).alias("path"), F.explode(pairs).alias("_m"))
+    level = per_path.select(segments("path").alias("path"), F.explode(pairs).alias("_m"))
     # Pinned: every level below reads this small table instead of the texts.
     leaves = pinned(level.select("_m.metric", "path", "_m.value"))
     depth = leaves.agg(F.max(F.size("path"))).first()[0] or 0

@@ -488,6 +488,15 @@ def pad_truncate_ids(spark, d):
         F.aggregate(X.attention("ids", X.MAX_PAIR_TOKENS), F.lit(0), lambda a, b: a + b).alias("n_attended"))
 
 
+@query
+def reward_token_ids(spark, d):
+    vocabulary = corpus.word_ids(corpus.word_counts(_sentences(spark, d)).where(F.col("n") > corpus.RARE_COUNT))
+    triples = pairs.preference_triples(v.text_pairs(spark, d), v.predictions(spark, d), "caption2smiles")
+    ids = corpus.tokenised_pairs(pairs.ranked_texts(triples), vocabulary, X.alnum_words, X.MAX_PAIR_TOKENS, 0)
+    text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), " ")
+    return ids.select("pair_id", *[text(c).alias(c) for c in ids.columns[1:]])
+
+
 # Files: written to the shared folder and read back
 
 @query

@@ -189,6 +189,16 @@ def test_token_ids(spark, sentences):
     assert got == {i: [0 if w == "a" else table[w] for w in ws[:4]] for i, ws in rows.items()}
 
 
+def test_tokenised_pairs(spark):
+    ranked = spark.createDataFrame([(1, "a b zz", "b"), (2, "", "a a")], "pair_id long, chosen string, rejected string")
+    vocabulary = spark.createDataFrame([("a", 1), ("b", 2)], "word string, id int")
+    split = lambda c: F.filter(F.split(c, " "), lambda t: t != "")
+    bare = {r.pair_id: tuple(r)[1:] for r in corpus.tokenised_pairs(ranked, vocabulary, split).collect()}
+    assert bare == {1: ([1, 2, 0], [1, 1, 1], [2], [1]), 2: ([], [], [1, 1], [1, 1])}
+    full = {r.pair_id: tuple(r)[1:] for r in corpus.tokenised_pairs(ranked, vocabulary, split, 2, 9).collect()}
+    assert full == {1: ([1, 2], [1, 1], [2, 9], [1, 0]), 2: ([9, 9], [0, 0], [1, 1], [1, 1])}
+
+
 def test_corpus_modes_and_features(spark):
     df = spark.createDataFrame([(0, "a b c"), (1, None), (2, " ")], "sent_id long, text string")
     tokens = F.filter(F.split("text", " "), lambda t: t != "")
