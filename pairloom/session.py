@@ -29,21 +29,18 @@ def local_session(app: str = "pairloom", cpus: str | int = "*", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and written intermediates, visible to every executor.
+    """Folder for written intermediates, visible to every executor.
 
     The cluster names it in ``spark.checkpoint.dir``. Only a local session may
     fall back to a temporary folder of this machine.
     """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="pairloom-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="pairloom-"))
+        folder = context.getCheckpointDir()
     return folder
 
 
@@ -53,6 +50,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so that later jobs see one fixed row order."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once to the shared folder and read back.
+
+    Cuts the lineage, survives lost executors, fixes values that depend on the run
+    (partition numbers), and gives the optimizer true sizes and column pruning.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
