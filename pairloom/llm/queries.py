@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, simhash, token_counts, token_output
+from pairloom.llm import bpe, pii, simhash, token_counts, token_output, toxicity
 from pairloom.llm.common import first_column, read, scratch_path
 from pairloom.llm.vocabulary import MergeTable, rank_file
 
@@ -61,3 +61,18 @@ def op6_token_ids_orc(spark, d):
 def op8_token_counts(spark, d):
     table = MergeTable(public_tokenizers.path("byte_bpe_50k.json"))
     return token_counts.count_tokens(read(spark, d, "documents"), table, public_tokenizers.PATTERN, limit=512)
+
+
+@query
+def op9_toxicity(spark, d):
+    docs = read(spark, d, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, d, "labels")))
+    predicted = (F.col("score") >= 0.5).cast("int")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query
+def op10_pii(spark, d):
+    found = pii.find_pii(read(spark, d, "documents").select("doc_id", "text"))
+    counts = [F.size(pii.of_kind("base", n)).cast("long").alias(f"n_{kind}") for n, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))

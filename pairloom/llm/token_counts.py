@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -131,10 +132,10 @@ def count_tokens(docs: DataFrame, table: MergeTable, pattern: str, limit: int =
     repeated results; other columns are ignored, whatever their names; an empty table
     gives an empty result. No shuffle.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(table))  # plain arrays, which executors without this package can read
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(shared.value, pattern)
+        counter = _Counter(SimpleNamespace(**shared.value), pattern)
         for part in text_slices(batches):
             texts = [t or "" for t in first_column(part, "text").to_pylist()]
             tokens = counter.count(texts)
