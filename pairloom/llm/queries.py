@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, pii, simhash, token_counts, token_output, toxicity
+from pairloom.llm import bpe, decontaminate, pii, simhash, token_counts, token_output, toxicity
 from pairloom.llm.common import first_column, read, scratch_path
 from pairloom.llm.vocabulary import MergeTable, rank_file
 
@@ -50,6 +50,11 @@ def op3_simhash(spark, d):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op5_decontamination(spark, d):
+    return decontaminate.find_contaminated(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
 @query
 def op6_token_ids_orc(spark, d):
     path = scratch_path(spark, "token_ids")
