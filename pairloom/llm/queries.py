@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, decontaminate, pii, simhash, token_counts, token_output, toxicity
+from pairloom.llm import bpe, decontaminate, pii, simhash, token_counts, token_output, topk, toxicity, url_filter
 from pairloom.llm.common import first_column, read, scratch_path
 from pairloom.llm.vocabulary import MergeTable, rank_file
 
@@ -36,6 +36,11 @@ def ids_sha256(encoded: DataFrame) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded binary")
 
 
+@query
+def op1_exact_top_k(spark, d):
+    return topk.top_k(read(spark, d, "embeddings"), F.col("key") % 100 == 0, k=10)
+
+
 @query
 def op2_byte_level_bpe(spark, d):
     ranks = rank_file(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -50,6 +55,11 @@ def op3_simhash(spark, d):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op4_url_filter(spark, d):
+    return url_filter.judge(read(spark, d, "pages"))
+
+
 @query
 def op5_decontamination(spark, d):
     return decontaminate.find_contaminated(read(spark, d, "documents"), read(spark, d, "benchmark"))
