@@ -1,13 +1,13 @@
 """Byte-level BPE by a global shuffle of distinct words, and decoding by a token-byte table.
 
 1. Pre-tokens. Each task cuts its texts into pre-tokens and gives every distinct one
-   a number within the task's block of documents (about 32 million characters). The
+   a number within the task's block of documents (about 16 million characters). The
    block keeps, per document, the numbers in order of position: that is the exploded
    table (document, position, word) with the word replaced by its number and the
-   position by its place. This table is written once.
+   position by its place. This table is written once, bucketed by block.
 2. Words. The distinct words of all blocks are shuffled by their hash, so equal words
    of all blocks meet in one task and are encoded there once.
-3. Ids return to their block, and each document is put together by position.
+3. Ids return to their block, and each document is put together by position, and its ids are decoded by joining the token-byte table.
 
 A frequent word is one entry per block, however often it occurs, so no key is hot,
 and texts never move: the shuffles carry word numbers and distinct words.
@@ -16,6 +16,7 @@ and texts never move: the shuffles carry word numbers and distinct words.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +27,13 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from pairloom.llm.common import first_column, pinned, text_slices
+from pairloom.llm.common import first_column, scratch_path, text_slices
 from pairloom.llm.vocabulary import WHITE
 
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 BLOCK_WORDS = 500_000
 _CACHE = 500_000
 _SPLIT = b"\xff"  # never part of UTF-8 text
@@ -92,7 +93,7 @@ def _pre_tokens(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
         compiled = regex.compile(source)
         names = ["block", "bucket", "keys", "counts", "payload"]
         number = TaskContext.get().partitionId() << 24
-        keys_type = pa.list_(first_type)
+        keys_type = pa.list_(key_type)
 
         def rows(bucket, keys, counts, payload):
             n = len(payload)
@@ -122,9 +123,7 @@ def _pre_tokens(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
                 block, number = _Block(compiled), number + 1
         yield from dictionary(block)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    first_type = to_arrow_type(kind)
+    key_type = to_arrow_type(kind)
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("keys", T.ArrayType(kind)),
         T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("payload", T.BinaryType()),
@@ -157,83 +156,91 @@ def _encode_words(words: DataFrame, ranks, pattern: str) -> DataFrame:
     return words.mapInArrow(run, "block bigint, payload binary")
 
 
+def _bytes_of(ids: np.ndarray, table: list[bytes | None]) -> bytes:
+    return b"".join([table[i] for i in ids.tolist()])
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``ids`` (array of int) of each whole text, as the tokenizer library gives them.
+    """``key``, ``n_tokens``, ``ids`` and ``decoded`` of each whole text, as the tokenizer library encodes it.
 
-    A null or empty text has no ids; a null key stays null; each of repeated rows has
-    its own result row; other columns are ignored, whatever their names; an empty
-    table gives an empty result. ``docs`` is read once.
+    ``ids`` is binary: the ids as little-endian unsigned 32-bit numbers. ``decoded``
+    are the bytes of the ids by the token-byte table. A null or empty text has no ids;
+    a null key stays null; each of repeated rows has its own result row; other columns
+    are ignored, whatever their names; an empty table gives an empty result. ``docs``
+    is read once.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = pinned(_pre_tokens(docs.select(docs[key].alias("key"), docs[text].alias("text")), pattern, buckets))
-    shared = spark.sparkContext.broadcast(ranks)
+    tokens = _pre_tokens(docs.select(docs[key].alias("key"), docs[text].alias("text")), pattern, buckets)
+    name = f"pre_tokens_{uuid.uuid4().hex}"
+    # Bucketed by block, so that only words and ids are shuffled, not the documents' numbers.
+    tokens.write.bucketBy(buckets, "block").option("path", scratch_path(spark, name)).option("compression", "uncompressed").saveAsTable(name)
+    blocks = spark.table(name)
+    shared, bytes_of = spark.sparkContext.broadcast(ranks), spark.sparkContext.broadcast(token_bytes(ranks))
     words = blocks.where("bucket is not null").select("block", "bucket", "payload").repartition(buckets, "bucket")
     ids_of = _encode_words(words, shared, pattern)
     parts = blocks.where("bucket is null").select("block", "keys", "counts", "payload")
 
-    def join(left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def join(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
         codes, sizes, flats = [], [], []
-        for batch in right:
-            for data in first_column(batch, "payload").to_pylist():
-                a, b = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
-                codes.append(_unpacked(data[8:8 + a]))
-                sizes.append(_unpacked(data[8 + a:8 + a + b]).astype(np.int64))
-                flats.append(_unpacked(data[8 + a + b:]))
+        for data in right.column("payload").to_pylist():
+            a, b = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
+            codes.append(_unpacked(data[8:8 + a]))
+            sizes.append(_unpacked(data[8 + a:8 + a + b]).astype(np.int64))
+            flats.append(_unpacked(data[8 + a + b:]))
         # Ids of the block's words in the order of the words' numbers.
         code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
         size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         flat = np.concatenate(flats) if flats else np.zeros(0, np.uint32)
         length, start = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
         length[code], start[code] = size, np.cumsum(size) - size
-        for batch in left:
+        table = bytes_of.value
+        for batch in left.to_batches():
             for row in range(batch.num_rows):
                 keys, counts = first_column(batch, "keys").slice(row, 1).flatten(), first_column(batch, "counts")[row].as_py()
                 word = _unpacked(first_column(batch, "payload")[row].as_py())
                 n = length[word]
                 ends = np.cumsum(n)
                 ids = flat[np.repeat(start[word] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-                offsets = np.r_[0, ends][np.r_[0, np.cumsum(counts, dtype=np.int64)]]
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([keys, lists], names=[key, "ids"])
-
-    schema = T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return _cogrouped(parts, ids_of, join, schema)
+                cut = np.r_[0, ends][np.r_[0, np.cumsum(counts, dtype=np.int64)]].tolist()
+                rows = [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([
+                    keys, pa.array(np.diff(cut), pa.int64()), pa.array([r.astype("<u4").tobytes() for r in rows], pa.binary()),
+                    pa.array([_bytes_of(r, table) for r in rows], pa.binary()),
+                ], names=form.names)
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(join(left, right)), form)
 
-def _cogrouped(parts: DataFrame, ids_of: DataFrame, join, schema: T.StructType) -> DataFrame:
-    """Both sides of each block in one task, passed on as Arrow batches."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+    schema = T.StructType([
+        T.StructField(key, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType()),
+    ])
     form = to_arrow_schema(schema)
+    return parts.groupBy("block").cogroup(ids_of.groupBy("block")).applyInArrow(run, schema)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [b.rename_columns(form.names) if b.schema.names != form.names else b for b in join(iter(left.to_batches()), iter(right.to_batches()))]
-        return pa.Table.from_batches(out).cast(form) if out else form.empty_table()
 
-    return parts.groupBy("block").cogroup(ids_of.groupBy("block")).applyInArrow(run, schema)
+def token_bytes(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """The token-byte table: the bytes of each id, one entry per id of the vocabulary, hence small enough to broadcast."""
+    table: list[bytes | None] = [None] * (1 + max(ranks.values()))
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """``encoded`` with the bytes of its ``ids`` in column ``name``.
+    """``encoded`` with the bytes of its packed ``ids`` in column ``name``, which replaces one of that name.
 
-    The token-byte table has one entry per id of the vocabulary, so it is broadcast
-    and joined by position inside the task; an id outside the table raises. Null ids
-    give null bytes, no ids give empty bytes.
+    Null ids give null, no ids give empty bytes; an id outside the table raises.
     """
-    size = 1 + max(ranks.values())
-    table: list[bytes | None] = [None] * size
-    for token, rank in ranks.items():
-        table[rank] = token
-    shared = encoded.sparkSession.sparkContext.broadcast(table)
+    shared = encoded.sparkSession.sparkContext.broadcast(token_bytes(ranks))
+    kept = [f for f in encoded.schema.fields if f.name != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_id = shared.value
-        for batch in batches:
-            # Rows one after another: the ids of a batch of long texts need not fit as Python objects.
-            lists = first_column(batch, ids)
-            out = [None if not lists[i].is_valid else b"".join([of_id[t] for t in lists[i].values.to_pylist()]) for i in range(len(lists))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, name])
+        table = shared.value
+        for part in text_slices(batches, ids):
+            packed = first_column(part, ids).to_pylist()
+            out = [None if p is None else _bytes_of(np.frombuffer(p, "<u4"), table) for p in packed]
+            yield pa.RecordBatch.from_arrays([*[first_column(part, f.name) for f in kept], pa.array(out, pa.binary())], names=[*[f.name for f in kept], name])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(name, T.BinaryType())]))
+    return encoded.mapInArrow(run, T.StructType([*kept, T.StructField(name, T.BinaryType())]))

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import bpe, decontaminate, pii, simhash, token_counts, token_output, topk, toxicity, url_filter
-from pairloom.llm.common import first_column, read, scratch_path
+from pairloom.llm.common import read, scratch_path
 from pairloom.llm.vocabulary import MergeTable, rank_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,19 +21,6 @@ def query(run: Query) -> Query:
     return run
 
 
-def ids_sha256(encoded: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_tokens``, the digest of the ids as little-endian 32-bit integers, and ``decoded``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = first_column(batch, "ids")
-            rows = [lists[i].values.to_numpy(zero_copy_only=False).astype("<u4") for i in range(len(lists))]
-            sizes, sums = [len(r) for r in rows], [hashlib.sha256(r.tobytes()).hexdigest() for r in rows]
-            columns = [first_column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.string()), first_column(batch, "decoded")]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded"])
-
-    return encoded.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded binary")
-
-
 @query
 def op1_exact_top_k(spark, d):
     return topk.top_k(read(spark, d, "embeddings"), F.col("key") % 100 == 0, k=10)
@@ -44,9 +29,11 @@ def op1_exact_top_k(spark, d):
 @query
 def op2_byte_level_bpe(spark, d):
     ranks = rank_file(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = bpe.encode(read(spark, d, "documents"), ranks, public_tokenizers.PATTERN)
-    digests = ids_sha256(bpe.decode(encoded, ranks))
-    return digests.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe_digests(bpe.encode(read(spark, d, "documents"), ranks, public_tokenizers.PATTERN))
+
+
+def bpe_digests(encoded: DataFrame) -> DataFrame:
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query
