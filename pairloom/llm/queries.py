@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, decontaminate, pii, simhash, token_counts, token_output, topk, toxicity, url_filter
+from pairloom.llm import bpe, decontaminate, html_text, pii, simhash, token_counts, token_output, topk, toxicity, url_filter
 from pairloom.llm.common import read, scratch_path
 from pairloom.llm.vocabulary import MergeTable, rank_file
 
@@ -59,6 +59,12 @@ def op6_token_ids_orc(spark, d):
     return token_output.ids_crc32(token_output.read_token_ids(spark, path))
 
 
+@query
+def op7_html_text(spark, d):
+    found = html_text.extract(read(spark, d, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op8_token_counts(spark, d):
     table = MergeTable(public_tokenizers.path("byte_bpe_50k.json"))
