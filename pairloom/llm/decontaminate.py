@@ -177,8 +177,8 @@ def _document_hits(docs: DataFrame, tables: list[tuple[int, str]], bloom: np.nda
 
 
 def _best_overlap(same: np.ndarray, window: int, share: float) -> tuple[int, int]:
-    """Length and matches of the longest stretch that begins and ends in a match and whose every window of
-    ``window`` tokens matches by ``share``; (0, 0) if there is none of at least ``window`` tokens."""
+    """Length and matches of the longest stretch whose every window of ``window`` tokens matches by ``share``;
+    (0, 0) if there is none."""
     if len(same) < window:
         return 0, 0
     sums = np.r_[0, np.cumsum(same)]

@@ -27,7 +27,8 @@ _FIND = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_CANDIDATE = r"(?<![A-Za-z0-9])[A-Za-z]{0,40}+[0-9][A-Za-z0-9]*+(?:[@._+/-][A-Za-z0-9]++)*+"
+# A run of letters and digits with inner separators that holds a digit.
+_CANDIDATE = r"(?<![A-Za-z0-9@._+/-])(?=[A-Za-z@._+/-]*+[0-9])[A-Za-z0-9]++(?:[@._+/-]++[A-Za-z0-9]++)*+"
 _CHUNK = 256
 _CONTEXT = 60
 
@@ -153,6 +154,17 @@ def discovered(docs: DataFrame, rounds: int = 3, least: int = 3, good: float = 0
         F.sort_array(F.collect_list(F.struct(F.col("of").alias("kind"), "start", "end"))).alias("found"))
 
 
+def _spans_of(docs: DataFrame, rounds: int, least: int, good: float, text: str) -> DataFrame:
+    """The rows of ``docs`` as struct ``row``, so that no column name can clash, with ``text``, ``base`` and ``spans``."""
+    new = pinned(discovered(docs.select(F.col(f"`{text}`").alias("text")), rounds, least, good))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    base = F.concat(*[_places(f"_{k}", n) for n, k in enumerate(KINDS)])
+    found = with_base_spans(rows).select("row", "text", base.alias("base"), F.md5("_text").alias("text_md5"))
+    found = lookup_join(found, new, "text_md5", "left", spread_by=["row"])
+    spans = F.when(F.col("found").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "found")))
+    return found.select("row", "text", "base", spans.alias("spans"))
+
+
 def find_pii(docs: DataFrame, rounds: int = 3, least: int = 3, good: float = 0.8, text: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (kind number, start, end) in order, in code points, end exclusive.
 
@@ -161,14 +173,8 @@ def find_pii(docs: DataFrame, rounds: int = 3, least: int = 3, good: float = 0.8
     columns but any named ``base`` or ``spans``; repeated rows repeat; an empty table
     gives an empty result.
     """
-    new = pinned(discovered(docs, rounds, least, good, text))
-    kept = [c for c in docs.columns if c not in ("base", "spans")]
-    df = with_base_spans(docs.select(*kept), text)
-    base = F.concat(*[_places(f"_{k}", n) for n, k in enumerate(KINDS)])
-    df = df.withColumn("base", base).withColumn("text_md5", F.md5("_text")).select(*kept, "base", "text_md5")
-    df = lookup_join(df, new, "text_md5", "left", spread_by=["base", *kept[:1]])
-    spans = F.when(F.col("found").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "found")))
-    return df.select(*kept, "base", spans.alias("spans"))
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("base", "spans")]
+    return _spans_of(docs, rounds, least, good, text).select(*kept, "base", "spans")
 
 
 def of_kind(spans: str, number: int) -> Column:
@@ -181,19 +187,25 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
+def redacted(docs: DataFrame, text: str = "text", rounds: int = 3, least: int = 3, good: float = 0.8) -> DataFrame:
     """``docs`` with each span of personal data replaced by its kind in brackets, as in ``[EMAIL]``.
 
-    Of overlapping spans the later gives way, but all their text goes. Other columns stay.
+    Of overlapping spans the later gives way, but all their text goes. Other columns
+    stay, whatever their names; a null text stays null.
     """
-    df = find_pii(docs, text=text)
+    df = _spans_of(docs, rounds, least, good, text)
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    clipped = F.transform("_ordered", lambda s, i: F.struct(
-        F.greatest(s["start"], F.coalesce(F.array_max(F.transform(F.slice(F.col("_ordered"), F.lit(1), i), lambda p: p["end"])), F.lit(0))).alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    df = df.withColumn("ordered", ordered)
+    earlier = F.transform("ordered", lambda s, i: F.struct(
+        F.greatest(s["start"], F.coalesce(F.array_max(F.transform(F.slice(F.col("ordered"), F.lit(1), i), lambda p: p["end"])), F.lit(0))).alias("start"),
+        s["end"].alias("end"), s["kind"].alias("kind")))
+    df = df.withColumn("clear", F.filter(earlier, lambda s: s["start"] < s["end"]))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    pieces = F.transform("_clear", lambda s, i: F.concat(
-        F.substring(F.col(text), F.when(i > 0, F.col("_clear")[i - 1]["end"]).otherwise(0) + 1, s["start"] - F.when(i > 0, F.col("_clear")[i - 1]["end"]).otherwise(0)), names[s["kind"]]))
-    rest = F.substring(F.col(text), F.element_at("_clear", -1)["end"] + 1, F.length(text))
-    df = df.withColumn("_ordered", ordered).withColumn("_clear", F.filter(clipped, lambda s: s["start"] < s["end"]))
-    masked = F.when(F.size("_clear") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text))
-    return df.select(*[masked.alias(text) if c == text else F.col(c) for c in docs.columns])
+
+    def piece(s: Column, i: Column) -> Column:
+        last = F.when(i > 0, F.get("clear", i - 1)["end"]).otherwise(0)
+        return F.concat(F.substring("text", last + 1, s["start"] - last), names[s["kind"]])
+
+    rest = F.substring("text", F.element_at("clear", -1)["end"] + 1, F.length("text"))
+    masked = F.when(F.size("clear") > 0, F.concat(F.array_join(F.transform("clear", piece), ""), rest)).otherwise(F.col("text"))
+    return df.select(*[masked.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

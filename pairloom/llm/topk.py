@@ -23,13 +23,13 @@ from pairloom.operators.ordering import with_position
 
 _QUERY_BLOCK, _BLOCK, _CHUNK = 1024, 8192, 1024
 _FLOAT_EXACT = 2.0 ** 53
+_LOWEST = -(1 << 63)
 
 
 def quantised(embeddings: DataFrame, key: str, vector: str, scale: float = 1024.0) -> DataFrame:
     """``key``, ``ints`` = floor(scale * x), ``dim`` and ``norm`` of the vectors without null or non-finite components.
 
-    Repeated equal rows are one; rows with a null key or vector take no part. Products
-    beyond the range of a long are held at its ends, as Spark's floor does.
+    Repeated equal rows are one; rows with a null key or vector take no part.
     """
     rows = embeddings.select(embeddings[key].alias("key"), embeddings[vector].alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
@@ -83,11 +83,14 @@ def _search(pairs: DataFrame, turned: dict[int, np.ndarray], k: int) -> DataFram
     shared = pairs.sparkSession.sparkContext.broadcast(turned)  # dimension squared numbers
 
     def best(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((ids, [-s for s in scores.tolist()] if scores.dtype == object else -scores))
+        order = np.lexsort((ids, -scores))
         ids, scores = ids[order], scores[order]
         first = np.sort(np.unique(ids, return_index=True)[1])[:k]
         return ids[first], scores[first]
 
+    def wide(scores: np.ndarray) -> np.ndarray:
+        return np.array([min(max(int(s), _LOWEST + 1), -_LOWEST - 1) for s in scores], np.int64)
+
     def block(query: pa.StructArray, candidate: pa.StructArray, dim: int):
         q_id, c_id = query.field("key").to_numpy(), candidate.field("key").to_numpy()
         q_int, c_int = _matrix(query.field("ints"), len(query)), _matrix(candidate.field("ints"), len(candidate))
@@ -99,7 +102,7 @@ def _search(pairs: DataFrame, turned: dict[int, np.ndarray], k: int) -> DataFram
         head = max(1, dim // 4)
         q_turned, c_turned = q @ axes, c @ axes
         q_rest, c_rest = np.linalg.norm(q_turned[:, head:], axis=1), np.linalg.norm(c_turned[:, head:], axis=1)
-        found = [(c_id[:0], np.zeros(0, np.int64 if exact else object))] * len(q)
+        found = [(c_id[:0], np.zeros(0, np.int64))] * len(q)
         for start in range(0, len(c), _CHUNK):
             stop = start + _CHUNK
             slack = 1 + 1e-9 * q_norm * c_norm[start]
@@ -111,16 +114,15 @@ def _search(pairs: DataFrame, turned: dict[int, np.ndarray], k: int) -> DataFram
             for row, at in zip(open_rows.tolist(), hit, strict=True):
                 at = start + np.flatnonzero(at & (c_id[start:stop] != q_id[row]))
                 if len(at):
-                    scores = (c[at] @ q[row]).astype(np.int64) if exact else c_int[at].astype(object) @ q_int[row].astype(object)
+                    scores = (c[at] @ q[row]).astype(np.int64) if exact else wide(c_int[at].astype(object) @ q_int[row].astype(object))
                     ids, values = found[row]
                     found[row] = best(np.concatenate([ids, c_id[at]]), np.concatenate([values, scores]))
                     if len(found[row][0]) == k:
                         threshold[row] = max(threshold[row], float(found[row][1][-1]))
-        low, high = -(1 << 63), (1 << 63) - 1
         place = query.field("position").to_numpy()
         sizes = [len(ids) for ids, _ in found]
         ids = np.concatenate([ids for ids, _ in found]) if found else c_id[:0]
-        scores = [min(max(int(s), low), high) for _, values in found for s in values.tolist()]
+        scores = np.concatenate([values for _, values in found]) if found else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(place, sizes)), pa.array(np.repeat(q_id, sizes)), pa.array(ids), pa.array(scores, pa.int64())], names=["query_row", "query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +139,8 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 10, key: str = "vec_
     ``is_query`` is a condition on column ``key``. Every other row's key is a candidate;
     ties go to the smaller key. Vectors are compared with those of their own length.
     Where a key has several vectors its best score counts. A query without any candidate
-    has no row; an empty table gives an empty result; other columns are ignored.
+    has no row; an empty table gives an empty result; other columns are ignored. A
+    product beyond plus or minus the largest long counts as that number.
     """
     vectors = pinned(quantised(embeddings, key, vector, scale))
     turned = rotations(vectors)

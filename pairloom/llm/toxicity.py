@@ -162,7 +162,8 @@ def fit(
         return Lexicon(curve=(math.log((all_pos + 1) / (all_neg + 9)), 0.0, 0.0))
     counts = rows.mapInArrow(count, "feature string, pos bigint, neg bigint").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     rate = all_pos / (all_pos + all_neg)
-    strong = counts.where((F.col("pos") >= least_rows) & (F.col("pos") > 4 * rate * (F.col("pos") + F.col("neg"))))
+    # Precision at least halfway from the base rate to one.
+    strong = counts.where((F.col("pos") >= least_rows) & (F.col("pos") > (1 + rate) / 2 * (F.col("pos") + F.col("neg"))))
     value = F.col("pos") * F.log(F.col("pos") / (F.col("pos") + F.col("neg")) / rate)
     top = [r["feature"] for r in strong.orderBy(value.desc(), "feature").limit(candidates).collect()]
     number = {f: i for i, f in enumerate(top)}
