@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from pairloom.llm.common import first_column, scratch_path, text_slices
+from pairloom.llm.common import first_column, scratch_path, text_slices, tidied
 from pairloom.llm.vocabulary import WHITE
 
 BLOCK_CHARS = 16_000_000
-BLOCK_WORDS = 500_000
-_CACHE = 500_000
+BLOCK_WORDS = 300_000
+_CACHE = 200_000
 _SPLIT = b"\xff"  # never part of UTF-8 text
 _RUN = re.compile(r"\s \s|\s \Z")
 
@@ -128,7 +128,7 @@ def _pre_tokens(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
         T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("keys", T.ArrayType(kind)),
         T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("payload", T.BinaryType()),
     ])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def _encode_words(words: DataFrame, ranks, pattern: str) -> DataFrame:
@@ -153,7 +153,7 @@ def _encode_words(words: DataFrame, ranks, pattern: str) -> DataFrame:
                 packed = b"".join([size.to_bytes(4, "little"), len(sizes).to_bytes(4, "little"), data[4:4 + size], sizes, flat])
                 yield pa.RecordBatch.from_arrays([first_column(batch, "block").slice(row, 1), pa.array([packed])], names=["block", "payload"])
 
-    return words.mapInArrow(run, "block bigint, payload binary")
+    return words.mapInArrow(tidied(run), "block bigint, payload binary")
 
 
 def _bytes_of(ids: np.ndarray, table: list[bytes | None]) -> bytes:
@@ -211,6 +211,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
                 ], names=form.names)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(list(join(left, right)), form)
 
     schema = T.StructType([
@@ -243,4 +244,4 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", name:
             out = [None if p is None else _bytes_of(np.frombuffer(p, "<u4"), table) for p in packed]
             yield pa.RecordBatch.from_arrays([*[first_column(part, f.name) for f in kept], pa.array(out, pa.binary())], names=[*[f.name for f in kept], name])
 
-    return encoded.mapInArrow(run, T.StructType([*kept, T.StructField(name, T.BinaryType())]))
+    return encoded.mapInArrow(tidied(run), T.StructType([*kept, T.StructField(name, T.BinaryType())]))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.session import pinned, scratch_path, shared_dir
 
-__all__ = ["first_column", "pinned", "read", "scratch_path", "shared_dir", "text_slices"]
+__all__ = ["first_column", "pinned", "read", "scratch_path", "shared_dir", "text_slices", "tidied"]
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,3 +36,15 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
 
 def first_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` that gives free memory back at its end: Spark keeps idle Python workers, and they would keep it."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped

@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.common import first_column, pinned, text_slices
+from pairloom.llm.common import first_column, pinned, text_slices, tidied
 from pairloom.operators.joins import lookup_join
 
 # Kept places (1) of each mask: every place but the ends is ignored by one of the first three.
 MASKS = ("101101101101", "110110110111", "111011011011", "111111111")
 LEAST_TOKENS = 5
 _WORD = re.compile(r"\w+")
-_CACHE = 400_000
+_CACHE = 200_000
 _PROBES = 8
 _LEAST_BITS, _MOST_BITS = 1 << 16, 1 << 28
 
@@ -82,7 +82,7 @@ def _items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["item", "item_key", "item_tokens"])
 
     schema = T.StructType([T.StructField("item", T.LongType()), T.StructField("item_key", benchmark.schema[key].dataType), T.StructField("item_tokens", T.BinaryType())])
-    return benchmark.select(benchmark[key].alias("key"), benchmark[text].alias("text")).mapInArrow(run, schema)
+    return benchmark.select(benchmark[key].alias("key"), benchmark[text].alias("text")).mapInArrow(tidied(run), schema)
 
 
 def _item_seeds(items: DataFrame, tables: list[tuple[int, str]]) -> DataFrame:
@@ -98,7 +98,7 @@ def _item_seeds(items: DataFrame, tables: list[tuple[int, str]]) -> DataFrame:
                     columns = [pa.array([table] * n, pa.int32()), pa.array(hashes.view(np.int64)), pa.array([item] * n, pa.int64()), pa.array(range(n), pa.int32())]
                     yield pa.RecordBatch.from_arrays(columns, names=["table", "hash", "item", "item_place"])
 
-    return items.mapInArrow(run, "table int, hash bigint, item bigint, item_place int")
+    return items.mapInArrow(tidied(run), "table int, hash bigint, item bigint, item_place int")
 
 
 def _probes(hashes: np.ndarray, probe: int, bits: int) -> np.ndarray:
@@ -119,7 +119,7 @@ def _bloom(seeds: DataFrame) -> np.ndarray:
             at = np.concatenate([_probes(hashes, p, bits) for p in range(_PROBES)])
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bit"])
 
-    words = seeds.select("hash").mapInArrow(run, "word int, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    words = seeds.select("hash").mapInArrow(tidied(run), "word int, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[words.column("word").to_numpy()] = words.column("bit").to_numpy()
     return out.view(np.uint64)
@@ -173,7 +173,7 @@ def _document_hits(docs: DataFrame, tables: list[tuple[int, str]], bloom: np.nda
         T.StructField("row", T.LongType()), T.StructField("doc_key", kind), T.StructField("doc_tokens", T.BinaryType()),
         T.StructField("tables", T.ArrayType(T.IntegerType())), T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType())),
     ])
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(tidied(run), schema)
 
 
 def _best_overlap(same: np.ndarray, window: int, share: float) -> tuple[int, int]:
@@ -234,7 +234,7 @@ def find_contaminated(
             yield pa.RecordBatch.from_arrays([first_column(batch, "doc_key"), first_column(batch, "item_key"), pa.array(size, pa.int32()), pa.array(matched, pa.int32())], names=[key, "item", "n_tokens", "n_matched"])
 
     schema = T.StructType([T.StructField(key, kinds["doc_key"]), T.StructField("item", kinds["item_key"]), T.StructField("n_tokens", T.IntegerType()), T.StructField("n_matched", T.IntegerType())])
-    checked = laid.mapInArrow(run, schema).where("n_tokens > 0").withColumnRenamed("item", item_key)
+    checked = laid.mapInArrow(tidied(run), schema).where("n_tokens > 0").withColumnRenamed("item", item_key)
     best = checked.groupBy(key, item_key).agg(F.max(F.struct("n_tokens", "n_matched")).alias("best"))
     return best.select(key, item_key, "best.n_tokens", "best.n_matched")
 

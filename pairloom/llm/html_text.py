@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.common import first_column, pinned, text_slices
+from pairloom.llm.common import first_column, pinned, text_slices, tidied
 from pairloom.llm.url_filter import host_and_path
 from pairloom.operators.joins import lookup_join
 
@@ -230,7 +230,7 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: floa
                 hashes += [None, *found]  # the page itself
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "subtree"])
 
-    counts = pinned(pages.select("host", "html").mapInArrow(run, "host string, subtree bigint").groupBy("host", "subtree").agg(F.count("*").alias("n")).where(f"subtree is null or n >= {least_pages}"))
+    counts = pinned(pages.select("host", "html").mapInArrow(tidied(run), "host string, subtree bigint").groupBy("host", "subtree").agg(F.count("*").alias("n")).where(f"subtree is null or n >= {least_pages}"))
     sizes = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
     many = counts.where("subtree is not null").join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
     return many.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("template"))
@@ -254,4 +254,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             yield pa.RecordBatch.from_arrays([first_column(part, "key"), first_column(part, "url"), pa.array(texts, pa.string())], names=[key, "url", "text"])
 
     schema = T.StructType([T.StructField(key, pages.schema[key].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
-    return known.select("key", "url", "html", "template").mapInArrow(run, schema)
+    return known.select("key", "url", "html", "template").mapInArrow(tidied(run), schema)

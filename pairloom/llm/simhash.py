@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.common import first_column, pinned, text_slices
+from pairloom.llm.common import first_column, pinned, text_slices, tidied
 from pairloom.llm.components import components
 from pairloom.operators.joins import lookup_join
 
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = SEED, key: str =
             yield pa.RecordBatch.from_arrays([first_column(part, "key"), pa.array(found, pa.int64())], names=[key, "fingerprint"])
 
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("fingerprint", T.LongType())])
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(tidied(run), schema)
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -163,7 +163,7 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
         yield from flush()
 
     dealt = grouped.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "fingerprint")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(tidied(run), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:

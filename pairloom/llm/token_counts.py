@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pairloom.llm.common import first_column, text_slices
+from pairloom.llm.common import first_column, text_slices, tidied
 from pairloom.llm.vocabulary import WHITE, MergeTable
 
 _CACHE = 300_000
@@ -147,4 +147,4 @@ def count_tokens(docs: DataFrame, table: MergeTable, pattern: str, limit: int =
         T.StructField(key, docs.schema[key].dataType), T.StructField("n_bytes", T.LongType()),
         T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType()),
     ])
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(tidied(run), schema)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from pairloom.llm.common import first_column, text_slices
+from pairloom.llm.common import first_column, text_slices, tidied
 from pairloom.llm.vocabulary import WHITE, byte_letters
 
 _CACHE = 300_000
@@ -132,7 +132,7 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int
     ])
     order = ["key", F.xxhash64("text")]
     ordered = docs.select(docs[key].alias("key"), docs[text].alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered.mapInArrow(run, schema).write.options(**ORC_OPTIONS, **{"orc.bloom.filter.columns": key}).orc(path)
+    ordered.mapInArrow(tidied(run), schema).write.options(**ORC_OPTIONS, **{"orc.bloom.filter.columns": key}).orc(path)
 
 
 def read_token_ids(spark: SparkSession, path: str, key: str = "doc_id", key_type: T.DataType | None = None) -> DataFrame:
@@ -162,4 +162,4 @@ def ids_crc32(rows: DataFrame, ids: str = "ids", name: str = "ids_crc32") -> Dat
             columns = [first_column(batch, f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sums, pa.int64())], names=[*[f.name for f in kept], name])
 
-    return rows.mapInArrow(run, T.StructType([*kept, T.StructField(name, T.LongType())]))
+    return rows.mapInArrow(tidied(run), T.StructType([*kept, T.StructField(name, T.LongType())]))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import first_column, pinned
+from pairloom.llm.common import first_column, pinned, tidied
 from pairloom.operators.ordering import with_position
 
 _QUERY_BLOCK, _BLOCK, _CHUNK = 1024, 8192, 1024
@@ -62,7 +62,7 @@ def rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
             cells = pa.array(range(dim * dim), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([dim] * dim * dim, pa.int32()), cells, pa.array(gram.reshape(-1))], names=["dim", "cell", "value"])
 
-    sums = vectors.select("dim", "ints").mapInArrow(run, "dim int, cell bigint, value double").groupBy("dim", "cell").agg(F.sum("value").alias("value")).toPandas()
+    sums = vectors.select("dim", "ints").mapInArrow(tidied(run), "dim int, cell bigint, value double").groupBy("dim", "cell").agg(F.sum("value").alias("value")).toPandas()
     out = {}
     for dim, cells in sums.groupby("dim"):
         gram = np.zeros(dim * dim)
@@ -130,7 +130,7 @@ def _search(pairs: DataFrame, turned: dict[int, np.ndarray], k: int) -> DataFram
             for i in range(batch.num_rows):
                 yield block(first_column(batch, "queries").slice(i, 1).flatten(), first_column(batch, "rows").slice(i, 1).flatten(), first_column(batch, "dim")[i].as_py())
 
-    return pairs.select("dim", "queries", "rows").mapInArrow(run, "query_row bigint, query_id bigint, vec_id bigint, score bigint")
+    return pairs.select("dim", "queries", "rows").mapInArrow(tidied(run), "query_row bigint, query_id bigint, vec_id bigint, score bigint")
 
 
 def top_k(embeddings: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: float = 1024.0) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.common import first_column, pinned, text_slices
+from pairloom.llm.common import first_column, pinned, text_slices, tidied
 
 # Letters of other scripts that look like Latin ones, and digits that stand for letters.
 _ALIKE = (
@@ -118,7 +118,7 @@ def _distinct(rows: DataFrame) -> DataFrame:
                 smallest.append(min(map(xxhash.xxh3_64_intdigest, shingles)) >> 1)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(smallest, pa.int64())], names=[*part.schema.names, "sketch"])
 
-    marked = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("sketch", T.LongType())]))
+    marked = rows.mapInArrow(tidied(run), T.StructType([*rows.schema.fields, T.StructField("sketch", T.LongType())]))
     picked = marked.groupBy("sketch", "y").agg(F.min_by(F.struct("key", "text"), F.struct("key", F.xxhash64("text"))).alias("row"))
     return picked.select("row.key", "row.text", "y")
 
@@ -160,7 +160,7 @@ def fit(
     all_pos, all_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not all_pos or not all_neg:
         return Lexicon(curve=(math.log((all_pos + 1) / (all_neg + 9)), 0.0, 0.0))
-    counts = rows.mapInArrow(count, "feature string, pos bigint, neg bigint").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = rows.mapInArrow(tidied(count), "feature string, pos bigint, neg bigint").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     rate = all_pos / (all_pos + all_neg)
     # Precision at least halfway from the base rate to one.
     strong = counts.where((F.col("pos") >= least_rows) & (F.col("pos") > (1 + rate) / 2 * (F.col("pos") + F.col("neg"))))
@@ -174,7 +174,7 @@ def fit(
             yield pa.RecordBatch.from_arrays([first_column(part, "y"), pa.array(found, pa.list_(pa.int32()))], names=["y", "found"])
 
     # At most ``sample`` rows of small numbers.
-    marked = rows.mapInArrow(incidence, "y int, found array<int>").where("size(found) > 0").collect()
+    marked = rows.mapInArrow(tidied(incidence), "y int, found array<int>").where("size(found) > 0").collect()
     of_feature: list[list[int]] = [[] for _ in top]
     for i, r in enumerate(marked):
         for f in r["found"]:
@@ -248,7 +248,7 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon, least_rows: int) -> list[str]
                 classes += [y] * len(around)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(classes, pa.int32())], names=["phrase", "y"])
 
-    counts = rows.mapInArrow(phrases, "phrase string, y int").groupBy("phrase").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
+    counts = rows.mapInArrow(tidied(phrases), "phrase string, y int").groupBy("phrase").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
     # At most one phrase per two rows of the bounded sample.
     return [r["phrase"] for r in counts.where((F.col("n") >= least_rows) & (F.col("pos") * 10 <= F.col("n"))).orderBy("phrase").collect()]
 
@@ -269,7 +269,7 @@ def _evidence(rows: DataFrame, lexicon: Lexicon, kept: list[str]) -> DataFrame:
 
     fields = [rows.schema[c] for c in ("id", *kept)]
     schema = T.StructType([*fields, T.StructField("weight", T.DoubleType()), T.StructField("n_words", T.LongType()), T.StructField("terms", T.ArrayType(T.StringType()))])
-    return rows.select("id", "text", *kept).mapInArrow(run, schema)
+    return rows.select("id", "text", *kept).mapInArrow(tidied(run), schema)
 
 
 def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -304,4 +304,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, ke
                 keep.append(1 / (1 + math.exp(-min(max(line, -700), 700))) < threshold)
             yield part.filter(pa.array(keep))
 
-    return docs.select(*fields).mapInArrow(run, docs.schema)
+    return docs.select(*fields).mapInArrow(tidied(run), docs.schema)
