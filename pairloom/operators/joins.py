@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 128 * 1024 * 1024
-_MAX_HOT = 1000
+_HOT_SHARE = 100_000
 _FAN_OUT = 64
 
 
+_NESTED = (T.StructType, T.MapType, T.ArrayType)
+
+
 def _width(field: T.StructField) -> Column:
     c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StructType, T.MapType)) or isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (*_NESTED, T.BinaryType)):
+        # Twice its length as text: a short number takes eight bytes.
+        return 2 * F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)) + 16
     if isinstance(kind, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(c), F.lit(0)) + 16
     if isinstance(kind, T.ArrayType):
@@ -29,14 +35,15 @@ def frame_bytes(df: DataFrame) -> int:
 
 
 def hot_keys(facts: DataFrame, key: list[str], spread_by: list[str]) -> DataFrame:
-    """The at most 1000 most frequent keys of a fixed sample of the rows.
+    """The keys with over a 100,000th of a fixed sample of the rows, so fewer than 100,000 keys.
 
     The sample and the tie order follow from the rows' own columns, so every
     evaluation names the same keys. They steer the join's layout, never its result.
     """
     sample = facts.where(F.pmod(F.xxhash64(*spread_by), F.lit(16)) == 0).select(*key)
-    counts = sample.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > 16)
-    return counts.orderBy(F.desc("_n"), *key).limit(_MAX_HOT).select(*key, F.lit(True).alias("_hot"))
+    counts = sample.groupBy(*key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.where((F.col("_n") > 16) & (F.col("_n") * _HOT_SHARE > total)).select(*key, F.lit(True).alias("_hot"))
 
 
 def salted_join(facts: DataFrame, dim: DataFrame, key: list[str], how: str, spread_by: list[str]) -> DataFrame:

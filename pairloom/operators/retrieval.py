@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.vectors import blend, cosine, unit
-from pairloom.operators.joins import lookup_join, salted_join
+from pairloom.operators.joins import BROADCAST_BYTES, frame_bytes, lookup_join, salted_join
 from pairloom.operators.ordering import top_k, with_position
 from pairloom.session import pinned
 
@@ -164,15 +164,15 @@ def ranked(scored: DataFrame, within: str | None = "query") -> DataFrame:
     return placed.withColumn("rank", F.col("rank") - 1)
 
 
-def described(found: DataFrame, descriptions: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+def described(found: DataFrame, descriptions: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Attach (item, description) to retrieval results.
 
     The result is the small side: it is broadcast against the descriptions while
-    its measured row count is within ``max_rows``. Beyond, both are shuffled, and
+    its measured size is within ``max_bytes``. Beyond, both are shuffled, and
     an item that many queries found is spread over tasks.
     """
     found = pinned(found)
-    if found.count() <= max_rows:
+    if frame_bytes(found) <= max_bytes:
         return descriptions.join(F.broadcast(found), "item", "inner")
     return salted_join(found, descriptions, ["item"], "inner", spread_by=["query", "rank"])
 

@@ -355,12 +355,13 @@ def union_splits(spark, d):
 
 @query
 def tanimoto_bits(spark, d):
-    """Sign bits of the vectors as two 32-bit words."""
+    """Sign bits of the vectors as 32-bit words."""
     def bits(c: str) -> Column:
         word = lambda at: F.aggregate(
             F.slice(c, at, 32), F.lit(0).cast("bigint"),
             lambda acc, x: F.shiftleft(acc, 1) + F.when(x > 0, 1).otherwise(0))
-        return F.array(word(1), word(33))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(c), F.lit(1)), F.lit(32))
+        return F.transform(starts, word)
 
     p = v.vec_pairs(spark, d).select("pair_id", bits("a").alias("a"), bits("b").alias("b"))
     return rounded(p.select("pair_id", V.tanimoto_bits("a", "b").alias("similarity")))
@@ -469,7 +470,7 @@ def featurize(spark, d):
 @query
 def word2vec_fit(spark, d):
     model = corpus.fit_word_vectors(_sentences(spark, d), vector_size=16, window=5, seed=SEED)
-    return corpus.word_vectors(model)
+    return corpus.word_vectors(model).select("word", F.size("vec").alias("width"))
 
 
 @query

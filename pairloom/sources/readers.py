@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,9 +16,26 @@ PAIR_COLUMNS = ("molecule", "caption")
 TRIPLE_COLUMNS = ("source", "chosen", "rejected")
 
 
+_SPLIT = ("_file", "_block")
+
+
+def _placed(scan: DataFrame) -> DataFrame:
+    """A file scan with each row's file and the start of its split."""
+    return scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+
+
 def _with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """A unique id per row in file order; not dense."""
-    return df.select(F.monotonically_increasing_id().alias(name), *df.columns)
+    """A unique id per row in file order (file path, then place in the file); not dense.
+
+    ``df`` comes from ``_placed``. Splits are read in any order and several by one
+    task, so a row's id is its split's rank with its number inside the task.
+    """
+    columns = [c for c in df.columns if c not in _SPLIT]
+    ranks = df.select(*_SPLIT).distinct().select(*_SPLIT, F.row_number().over(Window.orderBy(*_SPLIT)).alias("_rank"))
+    numbered = df.withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    # One row per split, not per row of data.
+    joined = numbered.join(F.broadcast(ranks), list(_SPLIT))
+    return joined.select((F.shiftleft(F.col("_rank").cast("bigint") - 1, 33) + F.col("_at")).alias(name), *columns)
 
 
 def read_table(spark: SparkSession, folder: str, name: str, key: str | None = None) -> DataFrame:
@@ -41,16 +58,16 @@ def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] | list[str
     files; ``multi_line=False`` splits large files whose fields have no line ends.
     """
     df = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"', inferSchema=False)
-    texts = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
-    return _with_row_id(texts, row_id) if row_id else texts
+    texts = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns]
+    return _with_row_id(_placed(df).select(*texts, *_SPLIT), row_id) if row_id else df.select(*texts)
 
 
-def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, PAIR_COLUMNS)
+def read_pairs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return read_csv(spark, path, PAIR_COLUMNS, multi_line=multi_line)
 
 
-def read_triples(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, TRIPLE_COLUMNS)
+def read_triples(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return read_csv(spark, path, TRIPLE_COLUMNS, multi_line=multi_line)
 
 
 def read_predictions(spark: SparkSession, path: str, direction: str) -> DataFrame:
@@ -59,11 +76,11 @@ def read_predictions(spark: SparkSession, path: str, direction: str) -> DataFram
     Quotes and backslashes come through unchanged; a caption's leading ``[CLS] `` is dropped.
     """
     source = DIRECTIONS[direction][3]
-    df = spark.read.csv(path, sep="\t", header=True, quote="", inferSchema=False)
+    df = _placed(spark.read.csv(path, sep="\t", header=True, quote="", inferSchema=False))
     text = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(""))
     output = without_leading_mark(text("output")) if direction == "smiles2caption" else text("output")
     return _with_row_id(
-        df.select(text(source).alias("source"), text("ground truth").alias("ground_truth"), output.alias("output")),
+        df.select(text(source).alias("source"), text("ground truth").alias("ground_truth"), output.alias("output"), *_SPLIT),
         "pair_id",
     )
 
@@ -71,7 +88,9 @@ def read_predictions(spark: SparkSession, path: str, direction: str) -> DataFram
 def flat_tree(df: DataFrame, json: Column | str, keep: list[str] | None = None) -> DataFrame:
     """(keep.., path, leaf) of JSON objects ``{group: [leaf | {group: [..]}]}`` of any depth.
 
-    One ``variant_explode`` per level, until no list holds an object any more.
+    A group that is an object instead of a list has its keys as leaves. A leaf that is
+    no string, or a group that is neither list nor object, raises. One
+    ``variant_explode`` per level, until no list holds an object any more.
     """
     keep = keep or []
     parsed = F.parse_json(F.col(json) if isinstance(json, str) else json)
@@ -81,13 +100,21 @@ def flat_tree(df: DataFrame, json: Column | str, keep: list[str] | None = None)
     while True:
         groups = nodes.sparkSession.sql(
             f"SELECT {names}, g.key AS name, g.value AS list FROM {{nodes}}, LATERAL variant_explode(node) AS g", nodes=nodes)
+        form = F.schema_of_variant("list")
+        wrong = F.raise_error(F.concat(F.lit("neither list nor object in the tree: "), form)).cast("boolean")
+        groups = groups.where(F.when(form.startswith("ARRAY") | form.startswith("OBJECT"), True).otherwise(wrong))
         groups = groups.select(*keep, F.concat("path", "name", F.lit(PATH_SEPARATOR)).alias("path"), "list")
+        keyed = groups.sparkSession.sql(
+            f"SELECT {names}, e.key AS leaf FROM {{groups}}, LATERAL variant_explode(list) AS e WHERE e.key IS NOT NULL", groups=groups)
+        keyed = keyed.select(*keep, F.concat("path", "leaf").alias("path"), "leaf")
         entries = groups.sparkSession.sql(
-            f"SELECT {names}, e.value AS node FROM {{groups}}, LATERAL variant_explode(list) AS e", groups=groups)
+            f"SELECT {names}, e.value AS node FROM {{groups}}, LATERAL variant_explode(list) AS e WHERE e.key IS NULL", groups=groups)
         kind = F.schema_of_variant("node")
-        leaves = entries.where(kind == "STRING").select(
+        odd = F.raise_error(F.concat(F.lit("leaf that is no string in the tree: "), kind)).cast("boolean")
+        leaves = entries.where(~kind.startswith("OBJECT") & F.when(kind == "STRING", True).otherwise(odd)).select(
             *keep, F.concat("path", F.variant_get("node", "$", "string")).alias("path"),
             F.variant_get("node", "$", "string").alias("leaf"))
+        leaves = leaves.unionByName(keyed)
         found = leaves if found is None else found.unionByName(leaves)
         nodes = entries.where(kind.startswith("OBJECT"))
         if nodes.first() is None:
@@ -105,15 +132,15 @@ def read_combos(spark: SparkSession, path: str) -> DataFrame:
     first = F.split_part(strip("value"), F.lit("\t"), F.lit(1))
     quoted = F.regexp_extract_all(first, F.lit(literal), F.lit(0))
     inner = F.transform(quoted, lambda q: F.regexp_replace(F.substr(q, F.lit(2), F.length(q) - 2), r"\\(.)", "$1"))
-    lines = spark.read.text(path).select(inner.alias("p"))
-    return _with_row_id(lines.select(F.get("p", 0).alias("p1"), F.get("p", 1).alias("p2")), "combo_id")
+    lines = _placed(spark.read.text(path)).select(inner.alias("p"), *_SPLIT)
+    return _with_row_id(lines.select(F.get("p", 0).alias("p1"), F.get("p", 1).alias("p2"), *_SPLIT), "combo_id")
 
 
 def read_wide_vectors(spark: SparkSession, path: str, width: int = 300, key_index: int = 3) -> DataFrame:
     """(row_id, key, vec): the key column and the last ``width`` columns as one array."""
     df = spark.read.csv(path, header=True, inferSchema=False)
     vec = F.array(*[F.col(f"`{c}`").cast("double") for c in df.columns[-width:]])
-    return _with_row_id(df.select(F.col(f"`{df.columns[key_index]}`").alias("key"), vec.alias("vec")), "row_id")
+    return _with_row_id(_placed(df).select(F.col(f"`{df.columns[key_index]}`").alias("key"), vec.alias("vec"), *_SPLIT), "row_id")
 
 
 def read_vectors(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -124,7 +151,7 @@ def read_vectors(spark: SparkSession, path: str, split: str | None = None) -> Da
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(sent_id, words) of a text file with one sentence per line."""
-    return _with_row_id(spark.read.text(path).select(spaced_words("value").alias("words")), "sent_id")
+    return _with_row_id(_placed(spark.read.text(path)).select(spaced_words("value").alias("words"), *_SPLIT), "sent_id")
 
 
 def record_kind(path: str) -> str:
@@ -140,18 +167,21 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     if record_kind(path) == "sdf":
         raise ValueError("read_ids takes smi or ism files; use read_records for sdf")
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType())])
-    return _with_row_id(spark.read.schema(schema).csv(path, sep="\t", quote=""), "row_id")
+    return _with_row_id(_placed(spark.read.schema(schema).csv(path, sep="\t", quote="")), "row_id")
 
 
 def read_records(spark: SparkSession, path: str, tags: list[str]) -> DataFrame:
-    """(row_id, tags..) of ``> <TAG>`` records that end in ``$$$$``; a missing tag is NULL."""
+    """(row_id, tags..) of ``> <TAG>`` records that end in ``$$$$``; a missing tag is NULL.
+
+    A value may have several lines; the blank line after it ends it.
+    """
     if record_kind(path) != "sdf":
         raise ValueError("read_records takes sdf files")
-    records = spark.read.text(path, lineSep="$$$$\n").where(strip("value") != "")
+    records = _placed(spark.read.text(path, lineSep="$$$$\n")).where(strip("value") != "")
     value = lambda tag: F.when(
         F.contains("value", F.lit(f"<{tag}>")),
-        F.regexp_extract("value", rf"(?m)^>[^\n]*<{re.escape(tag)}>[^\n]*\n([^\n]*)", 1))
-    return _with_row_id(records.select(*[value(t).alias(t) for t in tags]), "row_id")
+        F.regexp_extract("value", rf"(?m)^>[^\n]*<{re.escape(tag)}>[^\n]*\n([\s\S]*?)(?:\n\n|\n?\z)", 1))
+    return _with_row_id(records.select(*[value(t).alias(t) for t in tags], *_SPLIT), "row_id")
 
 
 def read_public_split(spark: SparkSession, path: str, split: str | None, columns: dict[str, str]) -> DataFrame:

@@ -102,3 +102,28 @@ def test_pairs_file(spark, tmp_path):
     assert (row.source, row.target) == ("alcohol", "CCO")
     assert readers.read_csv(spark, path, ("caption",), None).columns == ["caption"]
     assert readers.read_pairs(spark, path).select(F.count("*")).first()[0] == 1
+
+
+def test_records_keep_whole_values(spark, tmp_path):
+    path = str(tmp_path / "r.sdf")
+    rows = [("k1", "line1\nline2"), ("k2", ""), ("k3", "a\nb\nc"), ("k4", None)]
+    writers.write_records(spark.createDataFrame(rows, "key string, note string").coalesce(1), ["key", "note"], path)
+    got = readers.read_records(spark, path, ["key", "note"]).orderBy("row_id").collect()
+    assert [(r.key, r.note or "") for r in got] == [(k, v or "") for k, v in rows]
+    for bad in ("a\n\nb", "\na", "a\n", "x\n>  <key>", "a$$$$\nb"):
+        with pytest.raises(Exception, match="does not fit"):
+            writers.write_records(spark.createDataFrame([("k", bad)], "key string, note string"), ["key", "note"], str(tmp_path / str(hash(bad))))
+
+
+def test_lines_stay_lines(spark, tmp_path):
+    path = str(tmp_path / "l")
+    writers.write_lines(spark.createDataFrame([("a\nb", "c\td", None)], "x string, `y.z` string, w string"), ["x", "y.z", "w"], path)
+    assert [r.value for r in spark.read.text(path).collect()] == ["a b\tc d\t"]
+
+
+def test_row_ids_follow_the_files(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    for part, n in ((0, 3), (1, 4000), (2, 50)):
+        (tmp_path / "c" / f"part-{part}.txt").write_text("".join(f"w{part} n{i}\n" for i in range(n)))
+    got = [r.words for r in readers.read_corpus(spark, str(tmp_path / "c")).orderBy("sent_id").collect()]
+    assert got == [[f"w{part}", f"n{i}"] for part, n in ((0, 3), (1, 4000), (2, 50)) for i in range(n)]

@@ -98,3 +98,11 @@ def test_flat_tree_depths(spark):
     df = spark.createDataFrame([(json.dumps(tree),)], "tree string")
     got = sorted(r.path for r in flat_tree(df, "tree").collect())
     assert got == ["a__s__t__z", "a__s__y", "a__x", "b__x"]
+
+
+def test_flat_tree_takes_object_keys_and_refuses_other_leaves(spark):
+    paths = lambda tree: sorted(r.path for r in flat_tree(spark.createDataFrame([(json.dumps(tree),)], "tree string"), "tree").collect())
+    assert paths({"a": {"s": ["y"], "t": ["z"]}, "b": ["x", {"c": {"d": 1}}]}) == ["a__s", "a__t", "b__c__d", "b__x"]
+    for tree in ({"b": ["z", 3]}, {"b": ["z", None]}, {"b": "z"}, {"b": [["z"]]}):
+        with pytest.raises(Exception, match="in the tree"):
+            paths(tree)

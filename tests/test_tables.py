@@ -218,3 +218,17 @@ def test_train_vectors(spark):
     vecs = features.train_vectors(df, tokens, vector_size=4, window=2, seed=1)
     words = {r.word: len(r.vec) for r in vecs.collect()}
     assert set(words) >= {"a", "a_b", "UNK"} and set(words.values()) == {4} and "w1" not in words
+
+
+def test_nested_columns_are_measured(spark):
+    df = spark.range(100).select(
+        F.map_from_arrays(F.array(F.lit("key")), F.array(F.repeat(F.lit("v"), 10_000))).alias("m"),
+        F.struct(F.repeat(F.lit("s"), 10_000).alias("t")).alias("s"), F.array(F.array(F.repeat(F.lit("a"), 10_000))).alias("a"))
+    assert joins.frame_bytes(df) >= 3_000_000
+
+
+def test_vectors_of_mixed_width_raise(spark):
+    sentences = spark.createDataFrame([(1, ["a", "b"])], "sent_id bigint, words array<string>")
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0])], "word string, vec array<double>")
+    with pytest.raises(ValueError, match="1 to 2"):
+        corpus.sentence_vectors(sentences, vectors)
