@@ -25,12 +25,13 @@ def _join(a: str) -> str:
 
 DOCS = f"""
 docs AS MATERIALIZED (SELECT doc_id, lang, text, {_words('text')} AS g FROM documents),
-ep AS MATERIALIZED (
-  SELECT doc_id AS pair_id, lang, text AS source, g,
-         CASE WHEN doc_id % 7 = 0 THEN g ELSE list_filter(g, lambda x, i: (i - 1) % 5 <> 4) END AS o,
+pairs AS MATERIALIZED (
+  SELECT doc_id AS pair_id, lang, coalesce(lang, '') || ' ' || coalesce(text, '') AS source, coalesce(text, '') AS ground_truth,
+         CASE WHEN doc_id % 7 = 0 THEN coalesce(text, '')
+              ELSE regexp_replace(coalesce(text, ''), '((?:[^ ]+ ){{3}}[^ ]+) [^ ]+', '\\1', 'g') END AS output,
          doc_id % 11 <> 0 AS valid
-  FROM docs WHERE len(g) > 0),
-pairs AS (SELECT pair_id, lang, source, {_join('g')} AS ground_truth, {_join('o')} AS output, valid FROM ep)"""
+  FROM docs),
+ep AS MATERIALIZED (SELECT *, {_words('ground_truth')} AS g, {_words('output')} AS o FROM pairs)"""
 
 TURNS = f"""
 tp AS MATERIALIZED (
@@ -132,8 +133,18 @@ rest AS (SELECT {by}round(avg(rouge_l.f), 6) AS rouge_l, round(avg(meteor), 6) A
 SELECT {by}n_pairs, 'alnum' AS tokenizer, bleu2, bleu4, rouge1, rouge2, rouge_l, meteor FROM bl JOIN rm {using} JOIN rest {using}"""
 
 
-def _fold(c: str) -> str:
-    return f"regexp_replace({c}, '[^a-zA-Z0-9 ]', '', 'g')"
+# DuckDB's edit distance counts bytes: each other character of the turns becomes an unused control character, all different.
+SINGLE = """
+odd AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\\x00-\\x7f]')) AS c FROM conversations),
+free AS (SELECT chr(i::INT) AS f, row_number() OVER (ORDER BY i) AS n FROM range(1, 32) r(i) WHERE i NOT IN (9, 10, 13)),
+swap AS (
+  SELECT coalesce(string_agg(c, '' ORDER BY n), '') AS c, coalesce(string_agg(f, '' ORDER BY n), '') AS f,
+         CASE WHEN count(*) < (SELECT count(*) FROM odd) THEN error('more characters than control characters') END AS fits
+  FROM (SELECT c, row_number() OVER (ORDER BY c) AS n FROM odd) JOIN free USING (n))"""
+
+
+def _distance(a: str, b: str) -> str:
+    return f"levenshtein(translate({a}, c, f), translate({b}, c, f))"
 
 
 def _rendered(template: str, source: str) -> str:
@@ -167,17 +178,34 @@ _UNWRAPPED = "replace(replace(replace(output, '[''', ''), ''']', ''), '\\n', '')
 
 PROPS = f"""
 items AS (SELECT item_id, {_words('text')} AS t FROM benchmark),
-leaves AS (SELECT item_id AS prop_id, array_to_string(t[1:CASE WHEN item_id % 5 = 0 THEN 2 ELSE 1 END], ' ') AS leaf FROM items WHERE len(t) > 0),
-props AS (SELECT prop_id, 'cat' || prop_id % 3 || CASE WHEN prop_id % 4 = 0 THEN '' ELSE '__sub' || prop_id % 2 END || '__' || leaf AS path, leaf FROM leaves)"""
+spots AS (
+  SELECT item_id, 0 AS two, generate_subscripts(t, 1) AS i, unnest(t) AS leaf FROM items
+  UNION ALL SELECT item_id, 1, i, t[i] || ' ' || t[i + 1] FROM (SELECT item_id, t, unnest(range(1, len(t))) AS i FROM items)),
+leaves AS MATERIALIZED (
+  SELECT item_id, leaf, item_id * 100000 + row_number() OVER (PARTITION BY item_id ORDER BY min(two), min(i)) - 1 AS prop_id FROM spots GROUP BY item_id, leaf),
+props AS MATERIALIZED (
+  SELECT prop_id, 'cat' || item_id % 3 || CASE WHEN item_id % 4 = 0 THEN '' ELSE '__sub' || item_id % 2 END || '__' || leaf AS path, leaf FROM leaves)"""
+
+def _tokens(c: str) -> str:
+    return f"array_to_string(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+|[^\\s]'), ' ')"
+
+
+def _held(name: str, text: str) -> str:
+    """(pair_id, key, yes): the keys that a text holds."""
+    return f"""{name} AS MATERIALIZED (
+  SELECT pair_id, key, true AS yes FROM (SELECT pair_id, ' ' || {_tokens(text)} || ' ' AS t FROM pairs), keys WHERE contains(t, ' ' || key || ' '))"""
+
 
 CONFUSION = f"""{DOCS}, {PROPS},
-keyed AS (SELECT DISTINCT path, array_to_string(regexp_extract_all(lower(string_split(path, '__')[-1]), '[\\p{{L}}\\p{{N}}]+|[^\\s]'), ' ') AS key FROM props),
-tested AS (
-  SELECT path, contains(' ' || ground_truth || ' ', ' ' || key || ' ') AS gt, contains(' ' || output || ' ', ' ' || key || ' ') AS ot
-  FROM pairs, keyed),
+keyed AS MATERIALIZED (SELECT DISTINCT path, {_tokens("string_split(path, '__')[-1]")} AS key FROM props),
+keys AS MATERIALIZED (SELECT DISTINCT key FROM keyed),
+{_held('gs', 'ground_truth')}, {_held('os', 'output')},
+sided AS (SELECT pair_id, key, coalesce(g.yes, false) AS gt, coalesce(o.yes, false) AS ot FROM gs g FULL JOIN os o USING (pair_id, key)),
+seen AS (
+  SELECT key, count(*) FILTER (gt AND ot) AS tp, count(*) FILTER (gt AND NOT ot) AS fn, count(*) FILTER (NOT gt AND ot) AS fp FROM sided GROUP BY key),
 counts AS (
-  SELECT path, count(*) FILTER (gt AND ot) AS tp, count(*) FILTER (gt AND NOT ot) AS fn,
-         count(*) FILTER (NOT gt AND ot) AS fp, count(*) FILTER (NOT gt AND NOT ot) AS tn FROM tested GROUP BY path),
+  SELECT path, coalesce(tp, 0) AS tp, coalesce(fn, 0) AS fn, coalesce(fp, 0) AS fp,
+         (SELECT count(*) FROM pairs) - coalesce(tp, 0) - coalesce(fn, 0) - coalesce(fp, 0) AS tn FROM keyed LEFT JOIN seen USING (key)),
 """
 
 
@@ -203,22 +231,27 @@ macro AS (SELECT metric, array_to_string(path, '__') AS path, round(value, 6) AS
   (FROM level2 UNION ALL FROM level1 UNION ALL FROM level0))"""
 
 
+COMBOS = """combos AS (SELECT a.prop_id AS combo_id, a.path AS p1, b.path AS p2 FROM props a JOIN props b ON b.prop_id = a.prop_id + 1
+  WHERE contains(a.leaf, ' ') AND contains(b.leaf, ' '))"""
+
+
 def _combo_sql(compat: bool) -> str:
     negative = "NOT (g1 AND g2) AND (NOT o1 OR o2)" if compat else "NOT (g1 AND g2) AND NOT (o1 AND o2)"
-    return f"""combos AS (SELECT a.prop_id AS combo_id, a.path AS p1, b.path AS p2 FROM props a JOIN props b ON b.prop_id = a.prop_id + 1),
-ck AS (SELECT combo_id, k1.key AS k1, k2.key AS k2 FROM combos JOIN keyed k1 ON k1.path = p1 JOIN keyed k2 ON k2.path = p2),
-cells AS (
-  SELECT contains(' ' || ground_truth || ' ', ' ' || k1 || ' ') AS g1, contains(' ' || ground_truth || ' ', ' ' || k2 || ' ') AS g2,
-         contains(' ' || output || ' ', ' ' || k1 || ' ') AS o1, contains(' ' || output || ' ', ' ' || k2 || ' ') AS o2 FROM pairs, ck),
+    return f"""{COMBOS},
+ck AS MATERIALIZED (SELECT combo_id, k1.key AS k1, k2.key AS k2 FROM combos JOIN keyed k1 ON k1.path = p1 JOIN keyed k2 ON k2.path = p2),
+halves AS (SELECT combo_id, k1 AS key, true AS one FROM ck UNION ALL SELECT combo_id, k2, false FROM ck),
+met AS (
+  SELECT bool_or(one AND gt) AS g1, bool_or(NOT one AND gt) AS g2, bool_or(one AND ot) AS o1, bool_or(NOT one AND ot) AS o2
+  FROM halves JOIN sided USING (key) GROUP BY pair_id, combo_id),
 combo AS (SELECT count(*) FILTER (g1 AND g2 AND o1 AND o2) AS tp, count(*) FILTER (g1 AND g2 AND NOT (o1 AND o2)) AS fn,
-  count(*) FILTER (NOT (g1 AND g2) AND o1 AND o2) AS fp, count(*) FILTER ({negative}) AS tn FROM cells)"""
+  count(*) FILTER (NOT (g1 AND g2) AND o1 AND o2) AS fp,
+  (SELECT count(*) FROM pairs) * (SELECT count(*) FROM ck) - count(*) FILTER (NOT ({negative})) AS tn FROM met)"""
 
 
 def _heldout(text: str) -> str:
-    return f"""WITH {CONFUSION} {_combo_sql(False)},
-texts AS (SELECT source, ground_truth, output, ' ' || array_to_string(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+|[^\\s]'), ' ') || ' ' AS t FROM pairs)
-SELECT DISTINCT source, ground_truth, output FROM texts WHERE EXISTS (
-  SELECT 1 FROM ck WHERE contains(t, ' ' || k1 || ' ') AND contains(t, ' ' || k2 || ' '))"""
+    return f"""WITH {CONFUSION} {_combo_sql(False)}, {_held('hs', text)},
+kept AS (SELECT DISTINCT a.pair_id FROM hs a JOIN ck ON a.key = k1 JOIN hs b ON b.pair_id = a.pair_id AND b.key = k2)
+SELECT DISTINCT source, ground_truth, output FROM pairs JOIN kept USING (pair_id)"""
 
 
 VECS = """
@@ -280,20 +313,20 @@ ORACLES: dict[str, str] = {
     "rouge_1_2": f"""WITH {DOCS}, {_clip('ep', 2)}, {ROUGE} SELECT count(DISTINCT pair_id) AS n_pairs,
       round(avg(p) FILTER (n = 1), 6) AS rouge1_p, round(avg(r) FILTER (n = 1), 6) AS rouge1_r, round(avg(f) FILTER (n = 1), 6) AS rouge1_f,
       round(avg(p) FILTER (n = 2), 6) AS rouge2_p, round(avg(r) FILTER (n = 2), 6) AS rouge2_r, round(avg(f) FILTER (n = 2), 6) AS rouge2_f FROM rouge_f""",
-    "rouge_l": f"""WITH {DOCS}, s AS (SELECT pair_id, (len(o) > 0)::INT::DOUBLE AS p, len(o) / len(g) AS r FROM ep)
+    "rouge_l": f"""WITH {DOCS}, s AS (SELECT pair_id, (len(o) > 0)::INT::DOUBLE AS p, coalesce(len(o) / nullif(len(g), 0), 0.0) AS r FROM ep)
       SELECT pair_id, round(p, 6) AS rouge_l_p, round(r, 6) AS rouge_l_r, round({_f('p', 'r')}, 6) AS rouge_l_f FROM s""",
     "rouge_l_turns": f"WITH RECURSIVE {TURNS}, {_lcs('tp')} SELECT pair_id, round(p, 6) AS rouge_l_p, round(r, 6) AS rouge_l_r, round(f, 6) AS rouge_l_f FROM rouge_l",
     "meteor_exact": f"WITH {DOCS}, {_meteor('ep')} SELECT pair_id, round(meteor, 6) AS meteor FROM meteor",
     "char_bleu": f"""WITH {DOCS}, ch AS MATERIALIZED (SELECT pair_id, string_split(ground_truth, '') AS g, string_split(output, '') AS o FROM pairs),
       {_clip('ch', 4)}, {_bleu_rows()} SELECT any_value(n_pairs) AS n_pairs, {_bleu(0.25, 4, 'char_bleu')} FROM per_n""",
     "exact_match": f"WITH {DOCS} SELECT count(*) AS n_pairs, round(avg((output = ground_truth)::INT), 6) AS exact_match, round(avg((output = ground_truth AND valid)::INT), 6) AS exact_match_valid FROM pairs",
-    "mean_levenshtein": f"WITH {TURNS} SELECT count(*) AS n_pairs, round(avg(levenshtein({_fold('output')}, {_fold('ground_truth')})), 6) AS levenshtein FROM tp",
-    "molecule_scorecard": f"""WITH {TURNS}, f AS (SELECT pair_id, role, {_fold('ground_truth')} AS gt, {_fold('output')} AS ot FROM tp),
+    "mean_levenshtein": f"WITH {TURNS}, {SINGLE} SELECT count(*) AS n_pairs, round(avg({_distance('output', 'ground_truth')}), 6) AS levenshtein FROM tp, swap WHERE fits IS NULL",
+    "molecule_scorecard": f"""WITH {TURNS}, {SINGLE}, f AS (SELECT pair_id, role, ground_truth AS gt, output AS ot FROM tp),
       ch AS MATERIALIZED (SELECT pair_id, CASE WHEN gt = '' THEN [] ELSE string_split(gt, '') END AS g, CASE WHEN ot = '' THEN [] ELSE string_split(ot, '') END AS o FROM f),
       {_clip('ch', 4)}, {_bleu_rows()},
       bl AS (SELECT any_value(n_pairs) AS n_pairs, {_bleu(0.25, 4, 'char_bleu')} FROM per_n),
-      rest AS (SELECT round(avg((lower(gt) = lower(ot) AND role <> 'system')::INT), 6) AS exact_match, round(avg(levenshtein(ot, gt)), 6) AS levenshtein,
-        round(avg((role <> 'system')::INT), 6) AS validity FROM f)
+      rest AS (SELECT round(avg((lower(gt) = lower(ot) AND role <> 'system')::INT), 6) AS exact_match, round(avg({_distance('ot', 'gt')}), 6) AS levenshtein,
+        round(avg((role <> 'system')::INT), 6) AS validity FROM f, swap WHERE fits IS NULL)
       SELECT n_pairs, char_bleu, exact_match, levenshtein, validity FROM bl, rest""",
     "validity": f"""WITH {DOCS} SELECT count(*) AS n_pairs, count(*) FILTER (NOT valid) AS n_invalid, round(avg((lang <> 'de' AND valid)::INT), 6) AS validity_both,
       round(avg(valid::INT), 6) AS validity_output, round(avg((lang <> 'de' AND valid AND output <> '')::INT), 6) AS validity_kept,
@@ -350,15 +383,15 @@ ORACLES: dict[str, str] = {
       SELECT pair_id, round(coalesce(count(*) FILTER (a AND b) / nullif(count(*) FILTER (a OR b), 0), 0.0), 6) AS similarity FROM z GROUP BY pair_id""",
     "tanimoto_counts": f"WITH {DOCS}, {_clip('ep', 1)} SELECT pair_id, round(coalesce(m / nullif(tg + th - m, 0), 0.0), 6) AS similarity FROM stats",
     "fingerprint_scorecard": f"""WITH {DOCS}, {_clip('ep', 1)},
-      s AS (SELECT *, len(list_intersect(g, o)) / len(list_distinct(list_concat(g, o))) AS set_sim, m / nullif(tg + th - m, 0) AS count_sim, array_to_string(o, ' ') AS output FROM stats)
+      s AS (SELECT *, coalesce(len(list_intersect(g, o)) / nullif(len(list_distinct(list_concat(g, o))), 0), 0.0) AS set_sim, coalesce(m / nullif(tg + th - m, 0), 0.0) AS count_sim FROM stats)
       SELECT round(avg(valid::INT), 6) AS validity, round(avg(CASE WHEN valid THEN set_sim ELSE 0 END), 6) AS set_similarity,
         round(avg(CASE WHEN valid THEN count_sim ELSE 0 END), 6) AS count_similarity,
         round(count(DISTINCT output) FILTER (valid) / nullif(count(*) FILTER (valid), 0), 6) AS uniqueness FROM s""",
     "vector_blend": f"""WITH {VECS}, z AS (SELECT pair_id, list_transform(range(1, len(a) + 1), lambda i: 0.25 * a[i] + 0.75 * b[i]) AS x FROM vp)
       SELECT pair_id AS key, round(list_sum(x), 6) AS total, round(sqrt(list_sum(list_transform(x, lambda e: e * e))), 6) AS length FROM z""",
     "vector_lookup": f"""WITH {DOCS}, k AS (SELECT label AS key, arg_max(embedding, vec_id)::DOUBLE[] AS vec FROM embeddings GROUP BY label)
-      SELECT pair_id, len(o) AS n_words, round(sqrt(list_sum(list_transform(vec, lambda x: x * x))), 6) AS length FROM ep JOIN k ON key = len(o)""",
-    "vector_lookup_misses": f"WITH {DOCS} SELECT count(*) AS misses FROM ep WHERE len(o) NOT IN (SELECT label FROM embeddings)",
+      SELECT pair_id, (len(o) % 12)::INT AS n_words, round(sqrt(list_sum(list_transform(vec, lambda x: x * x))), 6) AS length FROM ep JOIN k ON key = len(o) % 12""",
+    "vector_lookup_misses": f"WITH {DOCS} SELECT count(*) AS misses FROM ep WHERE len(o) % 12 NOT IN (SELECT label FROM embeddings)",
     "word2vec_fit": f"WITH {SENTENCES} SELECT word, 16 AS width FROM wc WHERE n >= 3",
     "word_counts": f"WITH {SENTENCES} SELECT word, n FROM wc",
     "corpus_file": f"WITH {SENTENCES} SELECT word, n FROM wc",
@@ -392,11 +425,11 @@ ORACLES: dict[str, str] = {
       SELECT pair_id, any_value(ids) FILTER (side = 'chosen') AS input_ids_chosen, any_value(mask) FILTER (side = 'chosen') AS attention_mask_chosen,
         any_value(ids) FILTER (side = 'rejected') AS input_ids_rejected, any_value(mask) FILTER (side = 'rejected') AS attention_mask_rejected
       FROM f GROUP BY pair_id""",
-    "prediction_file": f"WITH {DOCS} SELECT {_ONE_LINE('source')} AS source, ground_truth, output FROM pairs",
+    "prediction_file": f"WITH {DOCS} SELECT {_ONE_LINE('source')} AS source, {_ONE_LINE('ground_truth')} AS ground_truth, {_ONE_LINE('output')} AS output FROM pairs",
     "triple_file": f"WITH {TRIPLES} SELECT source, chosen, rejected FROM triples",
     "record_file": f"WITH {DOCS} SELECT pair_id, ground_truth FROM pairs",
-    "id_file": f"WITH {DOCS} SELECT pair_id, output FROM pairs",
+    "id_file": f"WITH {DOCS} SELECT pair_id, {_ONE_LINE('output')} AS output FROM pairs",
     "wide_vector_file": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS length FROM embeddings",
-    "combo_file": f"WITH {PROPS} SELECT a.path AS p1, b.path AS p2 FROM props a JOIN props b ON b.prop_id = a.prop_id + 1",
+    "combo_file": f"WITH {PROPS}, {COMBOS} SELECT p1, p2 FROM combos",
     "report_file": f"WITH {_MACRO} SELECT metric, path, value FROM macro",
 }

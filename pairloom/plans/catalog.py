@@ -35,11 +35,6 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     ])
 
 
-def folded(c: Column | str) -> Column:
-    """ASCII letters, digits and spaces only: the form in which edit distances are compared."""
-    return F.regexp_replace(c, "[^a-zA-Z0-9 ]", "")
-
-
 # Scores of prediction tables
 
 @query
@@ -108,15 +103,12 @@ def exact_match(spark, d):
 
 @query
 def mean_levenshtein(spark, d):
-    p = v.turn_pairs(spark, d).select(folded("output").alias("output"), folded("ground_truth").alias("ground_truth"))
-    return rounded(p.agg(F.count("*").alias("n_pairs"), overlap.levenshtein_mean("output", "ground_truth").alias("levenshtein")))
+    return rounded(v.turn_pairs(spark, d).agg(F.count("*").alias("n_pairs"), overlap.levenshtein_mean("output", "ground_truth").alias("levenshtein")))
 
 
 @query
 def molecule_scorecard(spark, d):
-    p = v.turn_pairs(spark, d).select(
-        "role", folded("output").alias("output"), folded("ground_truth").alias("ground_truth"))
-    return rounded(scorecards.molecule_scorecard(p, key=F.lower, valid=F.col("role") != "system"))
+    return rounded(scorecards.molecule_scorecard(v.turn_pairs(spark, d), key=F.lower, valid=F.col("role") != "system"))
 
 
 @query
@@ -396,14 +388,14 @@ def _keyed(spark, d):
 
 @query
 def vector_lookup(spark, d):
-    rows = v.eval_pairs(spark, d).select("pair_id", F.size(F.split("output", " ")).alias("n_words"))
+    rows = v.eval_pairs(spark, d).select("pair_id", (F.size(X.alnum_words("output")) % 12).alias("n_words"))
     found = retrieval.with_vectors(rows, _keyed(spark, d), "n_words", "vec_id", ["pair_id"])
     return rounded(found.select("pair_id", "n_words", V.norm("vec").alias("length")))
 
 
 @query
 def vector_lookup_misses(spark, d):
-    rows = v.eval_pairs(spark, d).select("pair_id", F.size(F.split("output", " ")).alias("n_words"))
+    rows = v.eval_pairs(spark, d).select("pair_id", (F.size(X.alnum_words("output")) % 12).alias("n_words"))
     return retrieval.lookup_misses(rows, _keyed(spark, d), "n_words")
 
 

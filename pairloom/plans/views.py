@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import CAP2MOL, MOL2CAP, PATH_SEPARATOR, alnum_words
+from pairloom.functions.ngrams import ngrams
+from pairloom.functions.text import PATH_SEPARATOR, alnum_words
 from pairloom.operators import pairs as P
 from pairloom.sources.readers import read_table
 
@@ -26,12 +27,15 @@ def embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eval_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """(pair_id, lang, source, ground_truth, output, valid): a document's words, and the same
-    words with every fifth left out (except in each seventh document, an exact prediction)."""
-    truth = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
-    # The test stops at the first letter or digit; the rewriting runs once, after the filter.
-    docs = documents(spark, d).where(F.lower("text").rlike("[a-z0-9]")).select(
-        F.col("doc_id").alias("pair_id"), "lang", F.col("text").alias("source"), truth.alias("ground_truth"))
+    """(pair_id, lang, source, ground_truth, output, valid): a document's text, and the same text with
+    every fifth word left out (except in each seventh document, an exact prediction).
+
+    ``source`` is the text after its language, so that the two sides of a pair differ.
+    """
+    text = F.coalesce("text", F.lit(""))
+    docs = documents(spark, d).select(
+        F.col("doc_id").alias("pair_id"), "lang", F.concat(F.coalesce("lang", F.lit("")), F.lit(" "), text).alias("source"),
+        text.alias("ground_truth"))
     thinned = F.regexp_replace("ground_truth", "((?:[^ ]+ ){3}[^ ]+) [^ ]+", "$1")
     return docs.select(
         *docs.columns, F.when(F.col("pair_id") % 7 == 0, F.col("ground_truth")).otherwise(thinned).alias("output"),
@@ -75,19 +79,24 @@ def raw_outputs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def properties(spark: SparkSession, d: str) -> DataFrame:
-    """(prop_id, path, leaf): phrases of one or two words of each benchmark text, under a small tree."""
+    """(prop_id, path, leaf): every word and every pair of neighbouring words of each benchmark text, under a small tree.
+
+    The phrases of one text are numbered in the order of their places, words before pairs.
+    """
     item = F.col("item_id")
-    tokens = read_table(spark, d, "benchmark", "item_id").select(item, alnum_words("text").alias("_t")).where(F.size("_t") > 0)
-    leaf = F.array_join(F.slice("_t", 1, F.when(item % 5 == 0, 2).otherwise(1)), " ")
+    tokens = read_table(spark, d, "benchmark", "item_id").select(item, alnum_words("text").alias("_t"))
+    phrases = F.array_distinct(F.concat(ngrams("_t", 1), ngrams("_t", 2)))
+    tokens = tokens.select(item, F.posexplode(phrases).alias("_n", "_leaf"))
+    leaf = F.col("_leaf")
     group = F.concat(F.lit("cat"), item % 3)
     sub = F.when(item % 4 == 0, F.lit("")).otherwise(F.concat(F.lit(f"{PATH_SEPARATOR}sub"), item % 2))
     return tokens.select(
-        item.alias("prop_id"), F.concat(group, sub, F.lit(PATH_SEPARATOR), leaf).alias("path"), leaf.alias("leaf"))
+        (item * 100000 + F.col("_n")).alias("prop_id"), F.concat(group, sub, F.lit(PATH_SEPARATOR), leaf).alias("path"), leaf.alias("leaf"))
 
 
 def property_trees(spark: SparkSession, d: str) -> DataFrame:
     """(prop_id, tree): one nested JSON object per property."""
-    item = F.col("prop_id")
+    item = F.floor(F.col("prop_id") / 100000)
     leaf = F.array("leaf")
     group = F.concat(F.lit("cat"), item % 3)
     nested = F.to_json(F.create_map(group, F.array(F.create_map(F.concat(F.lit("sub"), item % 2), leaf))))
@@ -96,8 +105,8 @@ def property_trees(spark: SparkSession, d: str) -> DataFrame:
 
 
 def combos(spark: SparkSession, d: str) -> DataFrame:
-    """(combo_id, p1, p2): each property with the next one."""
-    p = properties(spark, d)
+    """(combo_id, p1, p2): each phrase of two words with the next one of the same text."""
+    p = properties(spark, d).where(F.contains("leaf", F.lit(" ")))
     nxt = p.select((F.col("prop_id") - 1).alias("prop_id"), F.col("path").alias("p2"))
     return p.join(nxt, "prop_id").select(F.col("prop_id").alias("combo_id"), F.col("path").alias("p1"), "p2")
 
@@ -123,6 +132,3 @@ def word_table(spark: SparkSession, d: str, counts: DataFrame) -> DataFrame:
     size = v.agg(F.count("*").alias("n")).scalar()
     pointed = counts.where(F.col("n") > 3).select("word", (F.col("n") % size).alias("vec_id"))
     return pointed.join(v, "vec_id").select("word", "vec")
-
-
-MARKERS = (MOL2CAP, CAP2MOL)
