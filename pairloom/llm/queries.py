@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, decontaminate, html_text, pii, simhash, token_counts, token_output, topk, toxicity, url_filter
+from pairloom.llm import bpe, decontaminate, html_text, pii, simhash, token_counts, token_output, topk, toxicity, url_filter, warc
 from pairloom.llm.common import read, scratch_path
 from pairloom.llm.vocabulary import MergeTable, rank_file
 
@@ -84,3 +84,9 @@ def op10_pii(spark, d):
     found = pii.find_pii(read(spark, d, "documents").select("doc_id", "text"))
     counts = [F.size(pii.of_kind("base", n)).cast("long").alias(f"n_{kind}") for n, kind in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op11_warc(spark, d):
+    files = warc.write_warc(read(spark, d, "pages"), scratch_path(spark, "warc"))
+    return warc.pages_of(warc.read_warc(files, split_bytes=4 << 20, payloads=False))

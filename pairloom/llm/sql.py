@@ -73,3 +73,13 @@ SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.by_rule, CASE WHEN b.reject
 FROM ruled r JOIN placed p ON r.host = p.host AND r.path = p.path
 JOIN named n ON n.host = p.host AND n.template = p.template JOIN branches b ON b.host = n.host AND b.branch = n.branch
 """
+
+ORACLES["op11_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+sized AS (SELECT *, octet_length(encode(payload)) AS size FROM p),
+named AS (SELECT *, CASE WHEN size >= 1000 THEN max(page_id) OVER (PARTITION BY payload) END AS original FROM sized)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+       CASE WHEN original IS NOT NULL AND page_id IS DISTINCT FROM original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN original IS NOT NULL AND page_id IS DISTINCT FROM original THEN original END AS refers_to
+FROM named
+"""
