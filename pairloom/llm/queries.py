@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, decontaminate, html_text, pii, simhash, token_counts, token_output, topk, toxicity, url_filter, warc
+from pairloom.llm import bpe, decontaminate, html_text, pii, simhash, spelling, token_counts, token_output, topk, toxicity, url_filter, warc
 from pairloom.llm.common import read, scratch_path
 from pairloom.llm.vocabulary import MergeTable, rank_file
 
@@ -90,3 +90,8 @@ def op10_pii(spark, d):
 def op11_warc(spark, d):
     files = warc.write_warc(read(spark, d, "pages"), scratch_path(spark, "warc"))
     return warc.pages_of(warc.read_warc(files, split_bytes=4 << 20, payloads=False))
+
+
+@query
+def op12_spelling_variants(spark, d):
+    return spelling.spelling_variants(read(spark, d, "documents"))
