@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, decontaminate, html_text, pii, simhash, spelling, token_counts, token_output, topk, toxicity, url_filter, warc
+from pairloom.llm import bpe, decontaminate, html_text, lexical, pii, simhash, spelling, token_counts, token_output, topk, toxicity, url_filter, warc
 from pairloom.llm.common import read, scratch_path
 from pairloom.llm.vocabulary import MergeTable, rank_file
 
@@ -95,3 +95,8 @@ def op11_warc(spark, d):
 @query
 def op12_spelling_variants(spark, d):
     return spelling.spelling_variants(read(spark, d, "documents"))
+
+
+@query
+def op13_ranked_search(spark, d):
+    return lexical.ranked_search(read(spark, d, "documents"), read(spark, d, "benchmark"), k=10)

@@ -83,3 +83,22 @@ SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, sha1(payload) AS payload_
        CASE WHEN original IS NOT NULL AND page_id IS DISTINCT FROM original THEN original END AS refers_to
 FROM named
 """
+
+_TERMS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLES["op13_ranked_search"] = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {_TERMS.format("text")} AS terms FROM documents WHERE text IS NOT NULL),
+sums AS MATERIALIZED (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d),
+q AS MATERIALIZED (
+  SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest({_TERMS.format("text")}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+tf AS MATERIALIZED (
+  SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, sums GROUP BY term),
+impacts AS MATERIALIZED (
+  SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * n_docs) // n_terms)))) AS impact
+  FROM tf JOIN w USING (term), sums),
+scored AS (SELECT item_id, row, doc_id, CAST(sum(q * impact) AS BIGINT) AS score FROM q JOIN impacts USING (term) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS r FROM scored WHERE score > 0)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <= 10
+"""
