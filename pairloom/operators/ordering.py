@@ -45,29 +45,58 @@ def with_position(df: DataFrame, order_by: list[Column], name: str = "position",
     return placed.drop("_part", "_in_part", "_before")
 
 
-_DRIVER_SAFE_ROWS = 100_000
-
-
 def smallest(df: DataFrame, order_by: list[Column], n: int) -> DataFrame:
-    """The first ``n`` rows of the order: a merged top-n when it is small, else by exact position."""
-    if n <= _DRIVER_SAFE_ROWS:
-        return df.orderBy(*order_by).limit(n)
+    """The first ``n`` rows of the order, by exact position: they may be any number."""
     return with_position(df, order_by, "_place").where(F.col("_place") <= n).drop("_place")
 
 
+_DIGITS, _KEY_DIGITS = 4, 32
+
+
 def sample_rows(df: DataFrame, key: str, n: int | None = None, fraction: float | None = None, seed: int = 0) -> DataFrame:
-    """Exactly ``n`` rows, or ``fraction`` of the row count rounded half to even, without replacement."""
+    """Exactly ``n`` rows, or ``fraction`` of the row count rounded half to even, without replacement.
+
+    The rows with the smallest shuffle keys are kept by one filter: nothing is sorted or
+    moved. The limit is found digit by digit: each pass counts the keys by their next
+    digits among those that share the digits found so far, a bounded histogram, until a
+    whole group fits. Rows with one key are equal in order; any of them fill the rest.
+    """
     if (n is None) == (fraction is None):
         raise ValueError("give either n or fraction")
+    keys = df.select(shuffle_key(key, seed).alias("_key"))
     if n is None:
         n = round(fraction * df.count())
-    return smallest(df, [shuffle_key(key, seed), F.col(key)], n)
+    found, left = "", n
+    while left > 0 and len(found) < _KEY_DIGITS:
+        group = F.substring("_key", len(found) + 1, _DIGITS)
+        counts = sorted(map(tuple, keys.where(F.col("_key").startswith(found)).groupBy(group.alias("digits")).agg(F.count("*").alias("n")).collect()))
+        for digits, size in counts:
+            if size >= left:
+                found += digits
+                break
+            left -= size
+        else:
+            return df  # fewer rows than asked for
+        if size == left:
+            # All keys with these digits belong to the sample.
+            return df.where(F.substring(shuffle_key(key, seed), 1, len(found)) <= found)
+    if left <= 0:
+        return df.limit(0)
+    sample = df.where(shuffle_key(key, seed) < found)
+    return sample.unionByName(df.where(shuffle_key(key, seed) == found).limit(left))
+
+
+_SALTS = 64
 
 
 def top_k(scored: DataFrame, group: str, score: str, item: str, k: int = 20) -> DataFrame:
     """Best ``k`` items of each group with 0-based ``rank``; ties by item, ascending.
 
-    Spark keeps only ``k`` rows per group and partition before the shuffle.
+    Two steps: the best of each salted part of a group, then of the group. Spark also
+    keeps only ``k`` rows per part before each shuffle, so no task holds all candidates
+    of a group, however many tasks made them.
     """
-    order = Window.partitionBy(group).orderBy(F.desc(score), F.asc(item))
-    return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    order = [F.desc(score), F.asc(item)]
+    salted = scored.withColumn("_salt", F.pmod(F.xxhash64(item), F.lit(_SALTS)))
+    parts = salted.withColumn("rank", F.row_number().over(Window.partitionBy(group, "_salt").orderBy(*order)) - 1).where(F.col("rank") < k)
+    return parts.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).where(F.col("rank") < k).drop("_salt")

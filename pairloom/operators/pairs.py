@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import prompts
 from pairloom.functions.text import CAP2MOL, MOL2CAP, task_of
-from pairloom.operators.joins import salted_join
+from pairloom.operators.digests import distinct_rows, without_texts
 
 # Direction -> (source column, target column, marker, source header of a prediction file).
 DIRECTIONS = {
@@ -197,13 +197,13 @@ def longest_of_splits(*lengths: DataFrame) -> DataFrame:
 
 
 def first_per_key(pairs: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """One row per key with the value of its first row; combined map-side, so hot keys stay small."""
-    return pairs.groupBy(key).agg(F.min_by(value, order).alias(value))
+    """One row per key text with the value of its first row; ``order`` is a row id (distinct, not null)."""
+    return distinct_rows(pairs.select(key, value, order), [key], order).select(key, value)
 
 
-def excluding(rows: DataFrame, seen: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
-    """Rows whose key text does not occur in ``seen``; all copies of a frequent text spread out."""
-    return salted_join(rows, seen.select(key).distinct(), [key], "left_anti", spread_by)
+def excluding(rows: DataFrame, seen: DataFrame, key: str, row_id: list[str]) -> DataFrame:
+    """Rows whose key text does not occur in ``seen``; ``row_id`` tells the rows apart."""
+    return without_texts(rows, seen, key, row_id)
 
 
 def score_batches(df: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions import automaton
 from pairloom.functions.ngrams import ngrams
 from pairloom.functions.text import PATH_SEPARATOR, last_segment, ratio, segments, words
-from pairloom.operators.joins import lookup_join
+from pairloom.operators.digests import distinct_rows
+from pairloom.operators.joins import frame_bytes, lookup_join
 from pairloom.session import pinned
 
 Tokenizer = Callable[[Column], Column]
 METRICS = ("accuracy", "precision", "recall", "f1")
+# Size of a phrase table's values up to which every task holds it as a trie (some ten times as large).
+TRIE_BYTES = 16 << 20
 
 
 def phrase_key(path: Column | str, tokens: Tokenizer = words) -> Column:
@@ -45,14 +49,28 @@ def phrase_candidates(
     return of_text.select(row_id, "side", F.explode(F.array_distinct(grams)).alias("key"))
 
 
+def token_text(c: Column, tokens: Tokenizer = words) -> Column:
+    """A text's lower-cased tokens joined by a space."""
+    return F.array_join(tokens(F.lower(c)), " ")
+
+
 def phrase_hits(
-    pairs: DataFrame, keys: DataFrame, sides: dict[str, Column], tokens: Tokenizer = words, row_id: str = "pair_id"
+    pairs: DataFrame, keys: DataFrame, sides: dict[str, Column], tokens: Tokenizer = words, row_id: str = "pair_id",
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """(row_id, key, one boolean per side): the phrases each text contains contiguously.
 
-    Pairs without a hit leave no row.
+    Pairs without a hit leave no row. A phrase table of at most ``max_bytes`` (default:
+    ``TRIE_BYTES``), measured, walks over each text as a trie, and only hits become rows. A
+    larger one meets the texts' n-grams in an equi-join.
     """
     keys = keys.select("key").distinct()
+    if frame_bytes(keys) <= (TRIE_BYTES if max_bytes is None else max_bytes):
+        shared = automaton.shared_phrases(pairs.sparkSession, keys.toArrow().column("key").to_pylist())
+        found = F.explode(automaton.hits(shared, *[token_text(c, tokens) for c in sides.values()]))
+        rows = pairs.select(row_id, found.alias("_h"))
+        met = [(F.col("_h.sides").bitwiseAND(F.lit(1 << i)) != 0).alias(name) for i, name in enumerate(sides)]
+        return rows.select(row_id, "_h.key", *met)
     candidates = phrase_candidates(pairs, keys, sides, tokens, row_id)
     found = lookup_join(candidates, keys, "key", "left_semi", spread_by=[row_id, "side"])
     return found.groupBy(row_id, "key").agg(
@@ -131,6 +149,19 @@ def macro_average(per_path: DataFrame, metrics: tuple[str, ...] = METRICS) -> Da
     return report.select("metric", F.array_join("path", PATH_SEPARATOR).alias("path"), "value")
 
 
+def combo_keys(combos: DataFrame, tokens: Tokenizer = words) -> DataFrame:
+    """(combo_id, key1, key2) of (combo_id, p1, p2)."""
+    return combos.select("combo_id", phrase_key("p1", tokens).alias("key1"), phrase_key("p2", tokens).alias("key2"))
+
+
+def _shared_combos(keyed: DataFrame, max_bytes: int | None):
+    """The pairs of phrases for every task, or None when they are larger than the bound."""
+    if frame_bytes(keyed) > (TRIE_BYTES if max_bytes is None else max_bytes):
+        return None
+    held = keyed.toArrow()
+    return automaton.shared_pairs(keyed.sparkSession, list(zip(held.column("key1").to_pylist(), held.column("key2").to_pylist(), strict=True)))
+
+
 def combo_hits(
     pairs: DataFrame, combos: DataFrame, sides: dict[str, Column], tokens: Tokenizer = words, row_id: str = "pair_id"
 ) -> DataFrame:
@@ -149,30 +180,47 @@ def combo_hits(
     ])
 
 
-def combo_confusion(pairs: DataFrame, combos: DataFrame, tokens: Tokenizer = words, compat: bool = False) -> DataFrame:
+def combo_confusion(
+    pairs: DataFrame, combos: DataFrame, tokens: Tokenizer = words, compat: bool = False, max_bytes: int | None = None
+) -> DataFrame:
     """One row of counts over all texts and phrase pairs, with the four ratios.
 
     ``compat`` counts a true negative whenever the second phrase is predicted or the
     first is not, for rows whose truth lacks the pair: the published scores' rule.
     """
-    hits = combo_hits(pairs, combos, {"gt": F.col("ground_truth"), "out": F.col("output")}, tokens)
-    gt, out = F.col("gt1") & F.col("gt2"), F.col("out1") & F.col("out2")
-    counts = hits.agg(
-        F.count_if(gt & out).alias("tp"),
-        F.count_if(gt & ~out).alias("fn"),
-        F.count_if(~gt & out).alias("fp"),
-        # Only the first phrase predicted, no true pair: counted nowhere under ``compat``.
-        F.count_if(~gt & F.col("out1") & ~F.col("out2")).alias("_half"),
-    )
+    shared = _shared_combos(combo_keys(combos, tokens), max_bytes)
+    if shared:
+        # Pairs are counted inside the row that holds both texts: no row per text and pair.
+        row = pairs.select(automaton.pair_counts(shared, token_text(F.col("ground_truth"), tokens), token_text(F.col("output"), tokens)).alias("_c"))
+        counts = row.agg(*[F.coalesce(F.sum(f"_c.{c}"), F.lit(0)).alias("_half" if c == "half" else c) for c in ("tp", "fn", "fp", "half")])
+    else:
+        hits = combo_hits(pairs, combos, {"gt": F.col("ground_truth"), "out": F.col("output")}, tokens)
+        gt, out = F.col("gt1") & F.col("gt2"), F.col("out1") & F.col("out2")
+        counts = hits.agg(
+            F.count_if(gt & out).alias("tp"),
+            F.count_if(gt & ~out).alias("fn"),
+            F.count_if(~gt & out).alias("fp"),
+            # Only the first phrase predicted, no true pair: counted nowhere under ``compat``.
+            F.count_if(~gt & F.col("out1") & ~F.col("out2")).alias("_half"),
+        )
     cells = pairs.agg(F.count("*").alias("n")).scalar() * combos.agg(F.count("*").alias("n")).scalar()
     left_out = F.col("_half") if compat else F.col("fp")
     return with_ratios(counts.withColumn("tn", cells - F.col("tp") - F.col("fn") - left_out).drop("_half"))
 
 
 def heldout_rows(
-    pairs: DataFrame, combos: DataFrame, on: str = "ground_truth", tokens: Tokenizer = words
+    pairs: DataFrame, combos: DataFrame, on: str = "ground_truth", tokens: Tokenizer = words, max_bytes: int | None = None
 ) -> DataFrame:
-    """Distinct (source, ground_truth, output) whose ``on`` text has both phrases of some pair."""
-    hits = combo_hits(pairs, combos, {"hit": F.col(on)}, tokens)
-    kept = hits.where(F.col("hit1") & F.col("hit2")).select("pair_id").distinct()
-    return pairs.join(kept, "pair_id", "left_semi").select("source", "ground_truth", "output").distinct()
+    """Distinct (source, ground_truth, output) whose ``on`` text has both phrases of some pair.
+
+    Rows are kept or dropped where they are read; equal ones are found by a digest, so
+    only the kept rows' digests and ids are shuffled.
+    """
+    shared = _shared_combos(combo_keys(combos, tokens), max_bytes)
+    if shared:
+        kept = pairs.where(automaton.has_pair(shared, token_text(F.col(on), tokens)))
+    else:
+        hits = combo_hits(pairs, combos, {"hit": F.col(on)}, tokens)
+        whole = hits.where(F.col("hit1") & F.col("hit2")).select("pair_id").distinct()
+        kept = lookup_join(pairs, whole, "pair_id", "left_semi", spread_by=["pair_id"])
+    return distinct_rows(kept, ["source", "ground_truth", "output"], "pair_id").select("source", "ground_truth", "output")

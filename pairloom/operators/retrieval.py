@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,10 @@ from pairloom.operators.joins import BROADCAST_BYTES, frame_bytes, lookup_join,
 from pairloom.operators.ordering import top_k, with_position
 from pairloom.session import pinned
 
-_QUERY_BLOCK = 1024
+_QUERY_BLOCK, _ITEM_BLOCK = 1024, 2048
+# Size of the queries' values up to which every task holds them all, and of a cell of items beyond it.
+QUERY_BYTES, CELL_BYTES = 32 << 20, 64 << 20
+_ASKED_ITEMS = 10_000
 # Scores closer than this many decimals are ties; the item id decides then.
 _SCORE_DECIMALS = 12
 
@@ -67,21 +70,73 @@ def mean_unpaired_cosine(pairs: DataFrame) -> DataFrame:
 
 
 def _unit_matrix(vectors: pa.Array) -> np.ndarray:
+    if not len(vectors):
+        return np.zeros((0, 0))
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     matrix = flat.reshape(len(vectors), -1)
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(lengths == 0, 1.0, lengths)
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """The queries in blocks of about a thousand, so no task or driver holds them all."""
-    queries = pinned(queries.select("query", F.col("vec").cast("array<double>")))
-    blocks = -(-queries.count() // _QUERY_BLOCK)
-    for block in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block) if blocks > 1 else queries
-        table = part.toArrow()
-        if table.num_rows:
-            yield table.column(0).combine_chunks(), _unit_matrix(table.column(1).combine_chunks())
+def _ids(names: pa.Array) -> np.ndarray:
+    return names.to_numpy(zero_copy_only=False) if pa.types.is_integer(names.type) else np.array([*names.to_pylist(), None], object)[:-1]
+
+
+def _products(items: pa.Array, vectors: pa.Array, matrix: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first query, item ids, scores) of blocks of queries and items of bounded size."""
+    for start in range(0, len(items), _ITEM_BLOCK):
+        ids, units = _ids(items.slice(start, _ITEM_BLOCK)), _unit_matrix(vectors.slice(start, _ITEM_BLOCK))
+        for first in range(0, len(matrix), _QUERY_BLOCK):
+            yield first, ids, np.round(matrix[first:first + _QUERY_BLOCK] @ units.T, _SCORE_DECIMALS)
+
+
+# What a task does with the scores: takes the queries, then every batch of items, then ends.
+Consumer = Callable[[pa.Table], tuple[Callable[[pa.Array, pa.Array], Iterator[pa.RecordBatch]], Callable[[], Iterator[pa.RecordBatch]]]]
+
+
+def _against_all(queries: DataFrame, corpus: DataFrame, consumer: Consumer, schema: str, max_bytes: int | None) -> DataFrame:
+    """Every query against every item, in one plan of fixed size.
+
+    Queries of at most ``max_bytes`` (default: ``QUERY_BYTES``), measured, travel to the
+    tasks that read the items. More queries form parts of about that size and items form
+    cells; each part meets each cell in a task of its own, so neither side is ever whole
+    in one place.
+    """
+    limit = QUERY_BYTES if max_bytes is None else max_bytes
+    queries = pinned(queries)
+    items = corpus.select("item", F.col("vec").cast("array<double>").alias("vec"))
+    held = frame_bytes(queries)
+    if held <= limit:
+        shared = corpus.sparkSession.sparkContext.broadcast(queries.toArrow().combine_chunks())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            take, end = consumer(shared.value)
+            for batch in batches:
+                yield from take(batch.column(0), batch.column(1))
+            yield from end()
+
+        return items.mapInArrow(run, schema)
+    parts = max(1, -(-held // max(limit, 1)))
+    cells = max(1, -(-frame_bytes(items) // CELL_BYTES))
+    part = F.pmod(F.xxhash64("query"), F.lit(parts)).alias("_part")
+    cell = F.pmod(F.xxhash64("item"), F.lit(cells)).alias("_cell")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    left = queries.select(part, numbers(cells).alias("_cell"), *queries.columns)
+    right = items.select(numbers(parts).alias("_part"), cell, "item", "vec")
+
+    empty = corpus.sparkSession.createDataFrame([], schema).toArrow().schema
+
+    def meet(asked: pa.Table, some: pa.Table) -> pa.Table:
+        take, end = consumer(asked.drop_columns(["_part", "_cell"]).combine_chunks())
+        out = [b for batch in some.select(["item", "vec"]).to_batches() for b in take(batch.column(0), batch.column(1))]
+        out.extend(end())
+        return pa.Table.from_batches(out) if out else empty.empty_table()
+
+    return left.groupBy("_part", "_cell").cogroup(right.groupBy("_part", "_cell")).applyInArrow(meet, schema)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query", F.col("vec").cast("array<double>").alias("vec"))
 
 
 def _fields(queries: DataFrame, corpus: DataFrame) -> str:
@@ -89,70 +144,138 @@ def _fields(queries: DataFrame, corpus: DataFrame) -> str:
             f"item {corpus.schema['item'].dataType.simpleString()}, score double")
 
 
-def cosine_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(query, item, score) of every query with every item, from one pass over the corpus per block."""
-    schema = _fields(queries, corpus)
-    result = None
-    for names, matrix in _query_blocks(queries):
-        shared = corpus.sparkSession.sparkContext.broadcast((names, matrix))
-
-        def run(batches, shared=shared):
-            names, matrix = shared.value
-            for batch in batches:
-                scores = np.round(_unit_matrix(batch.column(1)) @ matrix.T, _SCORE_DECIMALS)
-                for at, name in enumerate(names):
-                    yield _records(name, batch.column(0), scores[:, at])
-
-        part = corpus.select("item", F.col("vec").cast("array<double>")).mapInArrow(run, schema)
-        result = part if result is None else result.unionByName(part)
-    return result if result is not None else corpus.sparkSession.createDataFrame([], schema)
-
-
-def _records(query: pa.Scalar, items: pa.Array, scores: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.repeat(query, len(items)), items, pa.array(scores)], names=["query", "item", "score"])
-
-
-def _best(names: pa.Array, matrix: np.ndarray, k: int, batches) -> Iterator[pa.RecordBatch]:
-    """Each query's best ``k`` items of one partition, kept while the batches pass."""
-    items, scores, kind = [np.array([], object)] * len(names), [np.zeros(0)] * len(names), None
-    for batch in batches:
-        ids, kind = np.array(batch.column(0).to_pylist(), object), batch.column(0).type
-        found = np.round(_unit_matrix(batch.column(1)) @ matrix.T, _SCORE_DECIMALS)
-        for q in range(len(names)):
-            score = found[:, q]
-            if len(score) > k:
-                near = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
-            else:
-                near = np.arange(len(score))
-            pool = np.concatenate([items[q], ids[near]])
-            value = np.concatenate([scores[q], score[near]])
-            rank = sorted(range(len(pool)), key=lambda i: (-value[i], pool[i]))[:k]
-            items[q], scores[q] = pool[rank], value[rank]
-    for name, pool, value in zip(names, items, scores):
-        if len(pool):
-            yield _records(name, pa.array(pool.tolist(), kind), value)
-
-
-def retrieve(queries: DataFrame, corpus: DataFrame, k: int = 20) -> DataFrame:
+def cosine_scores(queries: DataFrame, corpus: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """(query, item, score) of every query with every item."""
+    def consumer(asked: pa.Table):
+        names, matrix = asked.column("query").combine_chunks(), _unit_matrix(asked.column("vec").combine_chunks())
+
+        def take(items: pa.Array, vectors: pa.Array) -> Iterator[pa.RecordBatch]:
+            for start in range(0, len(items), _ITEM_BLOCK):
+                some = items.slice(start, _ITEM_BLOCK)
+                for first, _, scores in _products(some, vectors.slice(start, _ITEM_BLOCK), matrix):
+                    of = np.repeat(np.arange(first, first + len(scores)), len(some))
+                    each = some.take(pa.array(np.tile(np.arange(len(some)), len(scores))))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), each, pa.array(scores.reshape(-1))], names=["query", "item", "score"])
+
+        return take, lambda: iter(())
+
+    return _against_all(_asked(queries), corpus, consumer, _fields(queries, corpus), max_bytes)
+
+
+class _Best:
+    """Each query's best ``k`` items of the batches seen so far: (query, score, item) in three arrays."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.query, self.score, self.item = np.zeros(0, np.int64), np.zeros(0), None
+
+    def add(self, first: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        rows = slice(first, first + len(scores))
+        least = self.least[rows]
+        if len(ids) > self.k:
+            least = np.maximum(least, np.partition(scores, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+        query, at = np.nonzero(scores >= least[:, None])
+        if not len(query):
+            return
+        others = (self.query < first) | (self.query >= rows.stop)
+        query_all = np.r_[self.query[~others], query + first]
+        score_all = np.r_[self.score[~others], scores[query, at]]
+        item_all = ids[at] if self.item is None else np.concatenate([self.item[~others], ids[at]])
+        order = np.lexsort((np.unique(item_all, return_inverse=True)[1], -score_all, query_all))
+        query_all, score_all, item_all = query_all[order], score_all[order], item_all[order]
+        place = np.arange(len(order)) - np.searchsorted(query_all, query_all)
+        kept = place < self.k
+        full = place == self.k - 1
+        self.least[query_all[full]] = score_all[full]
+        self.query, self.score = np.r_[self.query[others], query_all[kept]], np.r_[self.score[others], score_all[kept]]
+        self.item = item_all[kept] if self.item is None else np.concatenate([self.item[others], item_all[kept]])
+
+
+def retrieve(queries: DataFrame, corpus: DataFrame, k: int = 20, max_bytes: int | None = None) -> DataFrame:
     """(query, item, score, rank): the ``k`` nearest items of each query by cosine.
 
-    ``queries``: (query, vec); ``corpus``: (item, vec). A task scores its items with
-    one matrix product and passes on ``k`` rows per query, never all scores.
+    ``queries``: (query, vec); ``corpus``: (item, vec). A task scores its items by matrix
+    products and passes on ``k`` rows per query, never all scores.
+    """
+    def consumer(asked: pa.Table):
+        names, matrix = asked.column("query").combine_chunks(), _unit_matrix(asked.column("vec").combine_chunks())
+        best, kind = _Best(len(names), k), None
+
+        def take(items: pa.Array, vectors: pa.Array) -> Iterator[pa.RecordBatch]:
+            nonlocal kind
+            kind = items.type
+            for first, ids, scores in _products(items, vectors, matrix):
+                best.add(first, ids, scores)
+            return iter(())
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if len(best.query):
+                found = [names.take(pa.array(best.query)), pa.array(best.item.tolist(), kind), pa.array(best.score)]
+                yield pa.RecordBatch.from_arrays(found, names=["query", "item", "score"])
+
+        return take, end
+
+    return top_k(_against_all(_asked(queries), corpus, consumer, _fields(queries, corpus), max_bytes), "query", "score", "item", k)
+
+
+def ranks_of(asked: DataFrame, queries: DataFrame, corpus: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """(query, item, score, rank) of the asked (query, item) pairs: the 0-based rank of the item among all items, ties by item.
+
+    No ranking is built: a task counts its items that come before each asked one, and the
+    counts are added up. Pairs whose query or item is unknown give no row; items must be
+    distinct.
     """
-    schema = _fields(queries, corpus)
-    result = None
-    for names, matrix in _query_blocks(queries):
-        shared = corpus.sparkSession.sparkContext.broadcast((names, matrix))
-
-        def run(batches, shared=shared):
-            yield from _best(*shared.value, k, batches)
-
-        part = corpus.select("item", F.col("vec").cast("array<double>")).mapInArrow(run, schema)
-        result = part if result is None else result.unionByName(part)
-    if result is None:
-        result = corpus.sparkSession.createDataFrame([], schema)
-    return top_k(result, "query", "score", "item", k)
+    vec = F.col("vec").cast("array<double>")
+    of_item = lookup_join(asked.select("query", "item").distinct(), corpus.select("item", vec.alias("_item_vec")), "item", "inner", spread_by=["query", "item"])
+    both = lookup_join(of_item, queries.select("query", vec.alias("_query_vec")), "query", "inner", spread_by=["query", "item"])
+    known = pinned(both.select("query", "item", F.round(cosine("_query_vec", "_item_vec"), _SCORE_DECIMALS).alias("score")))
+    # One row per query and lot of its asked items; a lot is bounded, a query's items are not.
+    lots = known.groupBy("query").agg(F.ceil(F.count("*") / _ASKED_ITEMS).cast("int").alias("_lots"))
+    dealt = lookup_join(known, lots, "query", "inner", spread_by=["item"]).withColumn("_lot", F.pmod(F.xxhash64("item"), F.col("_lots")))
+    packed = dealt.groupBy("query", "_lot").agg(F.collect_list(F.struct("item", "score")).alias("_asked"))
+    blocks = lookup_join(packed, queries.select("query", vec.alias("vec")), "query", "inner", spread_by=["query", "_lot"]).drop("_lot")
+
+    def consumer(table: pa.Table):
+        names, matrix = table.column("query").combine_chunks(), _unit_matrix(table.column("vec").combine_chunks())
+        lists = table.column("_asked").combine_chunks()
+        sizes = lists.value_lengths().to_numpy().astype(np.int64)
+        wanted = lists.flatten()
+        items, scores = _ids(wanted.field("item")), wanted.field("score").to_numpy()
+        starts, before = np.r_[0, np.cumsum(sizes)], np.zeros(len(wanted), np.int64)
+
+        def take(some: pa.Array, vectors: pa.Array) -> Iterator[pa.RecordBatch]:
+            for first, ids, found in _products(some, vectors, matrix):
+                for row, line in enumerate(found):
+                    span = slice(starts[first + row], starts[first + row + 1])
+                    limits, own = scores[span], items[span]
+                    ordered = np.sort(line)
+                    low, high = np.searchsorted(ordered, limits, "left"), np.searchsorted(ordered, limits, "right")
+                    before[span] += len(line) - high
+                    for n in np.flatnonzero(high > low):
+                        before[span.start + n] += int((ids[line == limits[n]] < own[n]).sum())
+                    # The asked item itself never comes before itself, however its score was rounded here.
+                    for at, n in zip(*_places(ids, own), strict=True):
+                        before[span.start + n] -= int(line[at] > limits[n])
+            return iter(())
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if len(wanted):
+                of = names.take(pa.array(np.repeat(np.arange(len(names)), sizes)))
+                yield pa.RecordBatch.from_arrays([of, wanted.field("item"), wanted.field("score"), pa.array(before)], names=["query", "item", "score", "rank"])
+
+        return take, end
+
+    counted = _against_all(blocks, corpus, consumer, f"{_fields(queries, corpus)}, rank bigint", max_bytes)
+    return counted.groupBy("query", "item", "score").agg(F.sum("rank").alias("rank"))
+
+
+def _places(ids: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``ids``, place in ``own``) of the items in both."""
+    order = np.argsort(ids, kind="stable")
+    at = np.searchsorted(ids[order], own)
+    within = np.flatnonzero(at < len(ids))
+    hit = within[ids[order[at[within]]] == own[within]]
+    return order[at[hit]], hit
 
 
 def ranked(scored: DataFrame, within: str | None = "query") -> DataFrame:

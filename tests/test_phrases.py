@@ -1,7 +1,10 @@
 import itertools
 import json
+import random
+import re
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import contains_phrase, last_segment, words
@@ -20,10 +23,11 @@ def combo_table(spark):
     return spark.createDataFrame(rows, "pair_id long, ground_truth string, output string")
 
 
+@pytest.mark.parametrize("limit", [None, 0])
 @pytest.mark.parametrize("compat", [False, True])
-def test_combo_truth_table(spark, combo_table, compat):
+def test_combo_truth_table(spark, combo_table, compat, limit):
     combos = spark.createDataFrame([(0, "c__P One", "d__q")], "combo_id long, p1 string, p2 string")
-    got = phrases.combo_confusion(combo_table, combos, compat=compat).first()
+    got = phrases.combo_confusion(combo_table, combos, compat=compat, max_bytes=limit).first()
     want = dict(tp=0, fn=0, fp=0, tn=0)
     for k, (g1, g2, o1, o2) in enumerate(itertools.product([0, 1], repeat=4)):
         n, g, o = k + 1, g1 and g2, o1 and o2
@@ -36,7 +40,10 @@ def test_combo_truth_table(spark, combo_table, compat):
         assert sum(want.values()) == combo_table.count()
 
 
-def test_hits_equal_nested_loop(spark):
+@pytest.mark.parametrize("limit", [None, 0])
+def test_hits_equal_nested_loop(spark, monkeypatch, limit):
+    if limit is not None:
+        monkeypatch.setattr(phrases, "TRIE_BYTES", limit)
     texts = [(0, "b c a"), (1, "ab c"), (2, "c b c"), (3, ""), (4, "a a, a")]
     df = spark.createDataFrame([(i, t, t[::-1]) for i, t in texts], "pair_id long, ground_truth string, output string")
     paths = spark.createDataFrame([("k__b c",), ("k__",), ("m__b c",), ("m__a a , a",), ("k__zz",)], "path string")
@@ -48,6 +55,38 @@ def test_hits_equal_nested_loop(spark):
     assert got == want and (3, "") in got
 
 
+@pytest.mark.parametrize("limit", [None, 0])
+def test_phrase_paths_agree(spark, limit):
+    """Trie and n-gram join against containment of every phrase in every text, nulls and overlaps included."""
+    draw = random.Random(6)
+    text = lambda: draw.choice([None, "", " ".join(draw.choices(["a", "b", "A", "ab", "é", ",", "a  b"], k=draw.randrange(12)))])
+    rows = [(i, text(), text()) for i in range(80)]
+    df = spark.createDataFrame(rows, "pair_id long, ground_truth string, output string").repartition(3)
+    keys = ["", "a", "a b", "a b a", "b a b", "ab", "a a a", ", a", "é", "zz", "a b a b a"]
+    frame = spark.createDataFrame([(k,) for k in keys + keys[:3]], "key string")
+    split = lambda t: re.findall(r"[^\W_]+|\S", t.lower())
+    inside = lambda k, t: t is not None and f" {k} " in f" {' '.join(split(t))} " if k else t is not None
+    got = {(r.pair_id, r.key): (r.gt, r.out) for r in phrases.phrase_hits(df, frame, {"gt": F.col("ground_truth"), "out": F.col("output")}, max_bytes=limit).collect()}
+    want = {(i, k): (inside(k, a), inside(k, b)) for i, a, b in rows for k in keys}
+    assert got == {at: v for at, v in want.items() if any(v)}
+    combos = spark.createDataFrame([(n, f"g__{a}", f"h__{b}") for n, (a, b) in enumerate(itertools.permutations(["a b", "é", "", "a", "zz"], 2))], "combo_id long, p1 string, p2 string")
+    pairs_of = [tuple(c.split("__")[1] for c in (r.p1, r.p2)) for r in combos.collect()]
+    kept = phrases.heldout_rows(df.withColumn("source", F.lit("s")), combos, max_bytes=limit).collect()
+    assert sorted(map(str, kept)) == sorted(str(Row(source="s", ground_truth=a, output=b)) for a, b in {
+        (a, b) for i, a, b in rows if any(inside(x, a) and inside(y, a) for x, y in pairs_of)})
+    scores = phrases.combo_confusion(df, combos, max_bytes=limit).first()
+    cells = [(inside(x, a) and inside(y, a), inside(x, b) and inside(y, b)) for _, a, b in rows for x, y in pairs_of]
+    assert (scores.tp, scores.fn, scores.fp, scores.tn) == tuple(cells.count(c) for c in ((True, True), (True, False), (False, True), (False, False)))
+
+
+def test_no_rows_without_a_hit(spark):
+    df = spark.createDataFrame([(0, "x y", "y")], "pair_id long, ground_truth string, output string")
+    keys = spark.createDataFrame([("y",)], "key string")
+    plan = phrases.prediction_hits(df, keys)._jdf.queryExecution().toString().split("Physical Plan")[1]
+    assert "Join" not in plan and "Exchange" not in plan
+    assert phrases.prediction_hits(df, keys.limit(0)).count() == 0
+
+
 def test_confusion_counts(spark):
     df = spark.createDataFrame(
         [(0, "a b", "a"), (1, "a", "b"), (2, "c", "c")], "pair_id long, ground_truth string, output string")

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.functions import lookups
 from pairloom.functions import vectors as V
-from pairloom.operators import corpus, joins, ordering, pairs, retrieval
+from pairloom.operators import corpus, digests, joins, ordering, pairs, retrieval
 from pairloom.plans import features
 
 
@@ -76,11 +77,17 @@ def test_sample_and_shuffle(spark):
         ordering.sample_rows(df, "k")
 
 
-def test_large_sample_takes_the_spread_path(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "_DRIVER_SAFE_ROWS", 10)
-    df = spark.range(300).withColumnRenamed("id", "k")
-    order = sorted(range(300), key=lambda k: hashlib.md5(f"{k}:1".encode()).hexdigest())
-    assert {r.k for r in ordering.sample_rows(df, "k", n=77, seed=1).collect()} == set(order[:77])
+@pytest.mark.parametrize("digits", [1, 4])
+def test_sample_limit_by_digits(spark, monkeypatch, digits):
+    monkeypatch.setattr(ordering, "_DIGITS", digits)
+    rows = [*range(300), *[7] * 40, *[9] * 40]  # repeated keys share their place in the order
+    df = spark.createDataFrame([(k, n) for n, k in enumerate(rows)], "k long, n long")
+    order = sorted(rows, key=lambda k: hashlib.md5(f"{k}:1".encode()).hexdigest())
+    for n in (0, 1, 77, 150, 200, 260, 300, 379, 380):
+        got = ordering.sample_rows(df, "k", n=n, seed=1)
+        assert sorted(r.k for r in got.collect()) == sorted(order[:n])
+    plan = ordering.sample_rows(df, "k", n=77, seed=1)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan.split("Physical Plan")[1]
 
 
 @pytest.fixture
@@ -97,14 +104,20 @@ def unit(m):
     return m / np.where(n == 0, 1, n)
 
 
-@pytest.mark.parametrize("block", [1024, 2])
-def test_retrieval_equals_brute_force(spark, vectors, monkeypatch, block):
+@pytest.mark.parametrize(("block", "limit"), [(1024, None), (2, None), (3, 0), (3, 150)])
+def test_retrieval_equals_brute_force(spark, vectors, monkeypatch, block, limit):
     monkeypatch.setattr(retrieval, "_QUERY_BLOCK", block)
+    monkeypatch.setattr(retrieval, "_ITEM_BLOCK", 16 * block)
+    monkeypatch.setattr(retrieval, "CELL_BYTES", 4096)
     data, corpus_vecs = vectors
     queries = corpus_vecs.where("item in (3, 5, 40, 99, 120)").select(F.col("item").alias("query"), "vec")
     scores = np.round(unit(data) @ unit(data).T, 12)
-    got = {(r.query, r["rank"]): r["item"] for r in retrieval.retrieve(queries, corpus_vecs, 7).collect()}
-    full = {(r.query, r["rank"]): r["item"] for r in retrieval.ranked(retrieval.cosine_scores(queries, corpus_vecs)).collect()}
+    got = {(r.query, r["rank"]): r["item"] for r in retrieval.retrieve(queries, corpus_vecs, 7, limit).collect()}
+    full = {(r.query, r["rank"]): r["item"] for r in retrieval.ranked(retrieval.cosine_scores(queries, corpus_vecs, limit)).collect()}
+    monkeypatch.setattr(retrieval, "_ASKED_ITEMS", 30)
+    asked = queries.select("query").join(corpus_vecs.select("item").where("item % 3 = 0 or item = 17"))
+    ranks = {(r.query, r["item"]): r["rank"] for r in retrieval.ranks_of(asked, queries, corpus_vecs, limit).collect()}
+    assert ranks == {(q, i): k for (q, k), i in full.items() if i % 3 == 0 or i == 17}
     for q in (3, 5, 40, 99, 120):
         order = sorted(range(200), key=lambda i: (-scores[q, i], i))
         assert [got[q, k] for k in range(7)] == order[:7]
@@ -115,6 +128,16 @@ def test_retrieval_equals_brute_force(spark, vectors, monkeypatch, block):
 def test_empty_queries(spark, vectors):
     none = vectors[1].where("item < 0").select(F.col("item").alias("query"), "vec")
     assert retrieval.retrieve(none, vectors[1]).count() == 0
+    assert retrieval.cosine_scores(none, vectors[1]).count() == 0
+    assert retrieval.ranks_of(none.select("query", F.lit(1).alias("item")), none, vectors[1]).count() == 0
+
+
+def test_text_items(spark):
+    items = spark.createDataFrame([(f"i{n}", [1.0, n / 9]) for n in range(30)] + [("a", [1.0, 0.0])], "item string, vec array<double>").repartition(4)
+    queries = spark.createDataFrame([("q", [2.0, 0.0])], "query string, vec array<double>")
+    assert [r["item"] for r in retrieval.retrieve(queries, items, 3).orderBy("rank").collect()] == ["a", "i0", "i1"]
+    asked = spark.createDataFrame([("q", "i0"), ("q", "i29"), ("q", "none"), ("p", "a"), ("q", "i0")], "query string, item string")
+    assert {r["item"]: r["rank"] for r in retrieval.ranks_of(asked, queries, items).collect()} == {"i0": 1, "i29": 30}
 
 
 def test_mean_cosines(spark, vectors):
@@ -163,14 +186,15 @@ def test_unknown_words(sentences, threshold):
     assert {r.word for r in corpus.rare_words(df, threshold).collect()} == {w for w, n in counts.items() if n <= threshold}
 
 
-@pytest.mark.parametrize("limit", [joins.BROADCAST_BYTES, 0])
-def test_sentence_vectors(spark, sentences, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "held"), [(joins.BROADCAST_BYTES, corpus.TABLE_BYTES), (joins.BROADCAST_BYTES, 100), (0, 1)])
+def test_sentence_vectors(spark, sentences, monkeypatch, limit, held):
     monkeypatch.setattr(joins.lookup_join, "__defaults__", ("inner", None, limit))
+    monkeypatch.setattr(lookups, "_CHUNK_VALUES", 4)  # a text's words are added in several steps
     df, rows = sentences
     table = {"a": [1.0, 0.5], "b": [0.0, 2.0], "UNK": [10.0, 10.0]}
     vecs = spark.createDataFrame(list(table.items()), "word string, vec array<double>")
     for unseen in (None, "UNK"):
-        got = {r.sent_id: r.vec for r in corpus.sentence_vectors(df, vecs, unseen).collect()}
+        got = {r.sent_id: r.vec for r in corpus.sentence_vectors(df, vecs, unseen, max_bytes=held).collect()}
         for i, ws in rows.items():
             found = [table.get(w, table["UNK"] if unseen else None) for w in ws]
             found = [v for v in found if v is not None]
@@ -179,16 +203,40 @@ def test_sentence_vectors(spark, sentences, monkeypatch, limit):
         corpus.sentence_vectors(df, vecs, "nope")
 
 
-def test_token_ids(spark, sentences):
+def test_vector_plan_has_no_token_rows(spark, sentences):
+    vecs = spark.createDataFrame([("a", [1.0])], "word string, vec array<double>")
+    plan = corpus.sentence_vectors(sentences[0], vecs)._jdf.queryExecution().toString().split("Physical Plan")[1]
+    assert "Generate" not in plan and "Join" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("held", [corpus.TABLE_BYTES, 60, 1])
+def test_token_ids(spark, sentences, held):
     df, rows = sentences
     ids = corpus.word_ids(corpus.word_counts(df))
     table = {r.word: r.id for r in ids.collect()}
     counts = Counter(w for ws in rows.values() for w in ws)
     assert sorted(table, key=table.get) == sorted(counts, key=lambda w: (-counts[w], w)) and min(table.values()) == 1
-    got = {r.sent_id: r.ids for r in corpus.token_ids(df, ids.where("word <> 'a'"), F.col("words"), 4, row_id="sent_id").collect()}
+    got = {r.sent_id: r.ids for r in corpus.token_ids(df, ids.where("word <> 'a'"), F.col("words"), 4, row_id="sent_id", max_bytes=held).collect()}
     assert got == {i: [0 if w == "a" else table[w] for w in ws[:4]] for i, ws in rows.items()}
 
 
+def test_null_words_and_texts(spark):
+    df = spark.createDataFrame([(1, ["a", None, "a"]), (2, None), (3, [])], "sent_id long, words array<string>")
+    vecs = spark.createDataFrame([("a", [1.0, 2.0]), ("U", [5.0, 5.0])], "word string, vec array<double>")
+    assert {r.sent_id: r.vec for r in corpus.sentence_vectors(df, vecs).collect()} == {1: [2.0, 4.0], 2: [], 3: []}
+    assert {r.sent_id: r.vec for r in corpus.sentence_vectors(df, vecs, "U").collect()} == {1: [7.0, 9.0], 2: [], 3: []}
+    table = spark.createDataFrame([("a", 4)], "word string, id int")
+    assert {r.sent_id: r.ids for r in corpus.token_ids(df, table, F.col("words"), row_id="sent_id").collect()} == {1: [4, 0, 4], 2: [], 3: []}
+
+
+def test_digests(spark):
+    rows = [(5, "a", None), (3, "a", ""), (4, "a", None), (1, "ab", "c"), (2, "a", "bc"), (6, None, None), (7, None, None)]
+    df = spark.createDataFrame(rows, "i long, x string, y string")
+    assert {r.i for r in digests.distinct_rows(df, ["x", "y"], "i").collect()} == {3, 4, 1, 2, 6}
+    seen = spark.createDataFrame([("a",), (None,), ("",)], "x string")
+    assert {r.i for r in digests.without_texts(df, seen, "x", ["i"]).collect()} == {1, 6, 7}
+
+
 def test_tokenised_pairs(spark):
     ranked = spark.createDataFrame([(1, "a b zz", "b"), (2, "", "a a")], "pair_id long, chosen string, rejected string")
     vocabulary = spark.createDataFrame([("a", 1), ("b", 2)], "word string, id int")
