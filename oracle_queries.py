@@ -133,6 +133,30 @@ rest AS (SELECT {by}round(avg(rouge_l.f), 6) AS rouge_l, round(avg(meteor), 6) A
 SELECT {by}n_pairs, 'alnum' AS tokenizer, bleu2, bleu4, rouge1, rouge2, rouge_l, meteor FROM bl JOIN rm {using} JOIN rest {using}"""
 
 
+def _word_scorecard() -> str:
+    """BLEU and METEOR on words, ROUGE on its own tokens."""
+    worded = TURNS
+    for side in ("a.text", "b.text"):
+        worded = worded.replace(_words(side), f"regexp_extract_all(lower({side}), '[\\p{{L}}\\p{{N}}]+|[^\\s]')")
+    return f"""SELECT w.n_pairs, 'words' AS tokenizer, w.bleu2, w.bleu4, r.rouge1, r.rouge2, r.rouge_l, w.meteor
+FROM (WITH {worded}, {_clip('tp', 4)}, {_bleu_rows()}, {_meteor('tp')},
+  bl AS (SELECT any_value(n_pairs) AS n_pairs, {_bleu(0.5, 2, 'bleu2')}, {_bleu(0.25, 4, 'bleu4')} FROM per_n)
+  SELECT bl.*, (SELECT round(avg(meteor), 6) FROM meteor) AS meteor FROM bl) w, ({_text_scorecard()}) r"""
+
+
+def _meteor_stems(table: str) -> str:
+    """Exact matches from the end, then stem matches from the end among the words left."""
+    free = lambda side, place: f"""(
+  SELECT pair_id, {place}, left(w, 4) AS s, row_number() OVER (PARTITION BY pair_id, left(w, 4) ORDER BY {place} DESC) AS k
+  FROM {side} ANTI JOIN mm USING (pair_id, {place}))"""
+    exact = _meteor(table).split("mc AS (")[0]
+    rest = "mc AS (" + _meteor(table).split("mc AS (")[1].replace("FROM mm WINDOW", "FROM every WINDOW")
+    return f"""{exact}
+stemmed AS (SELECT pair_id, i, j FROM {free('mh', 'i')} JOIN {free('mr', 'j')} USING (pair_id, s, k)),
+every AS (SELECT pair_id, i, j FROM mm UNION ALL SELECT pair_id, i, j FROM stemmed),
+{rest}"""
+
+
 # DuckDB's edit distance counts bytes: each other character of the turns becomes an unused control character, all different.
 SINGLE = """
 odd AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\\x00-\\x7f]')) AS c FROM conversations),
@@ -287,6 +311,16 @@ def _summary(rows: str) -> str:
 FROM {rows} LEFT JOIN sums USING (sent_id)"""
 
 
+def _elements(keys: str) -> str:
+    """Every element of the summed vectors, for the sentences in ``keys`` (sent_id)."""
+    return f"""
+cnt AS (SELECT sent_id, word, count(*) AS c FROM tok GROUP BY ALL),
+dims AS (SELECT sent_id, c, unnest(vec) AS x, generate_subscripts(vec, 1) AS d FROM cnt JOIN wt USING (word)),
+els AS (SELECT sent_id, d, CAST(CAST(sum(c * x) AS DECIMAL(18,3)) AS VARCHAR) AS x FROM dims GROUP BY ALL),
+vecs AS (SELECT sent_id, string_agg(x, ' ' ORDER BY d) AS vec FROM els GROUP BY sent_id)
+SELECT sent_id, coalesce(vec, ABSENT) AS vec FROM {keys} LEFT JOIN vecs USING (sent_id)"""
+
+
 _GLUED = "list_transform(range(1, len(g)), lambda i: g[i] || '_' || g[i + 1])"
 _ALT = ("list_filter(flatten(list_transform(range(1, len(g) + 1), lambda i: "
         "[g[i], CASE WHEN i < len(g) THEN g[i] || '_' || g[i + 1] END])), lambda x: x IS NOT NULL)")
@@ -310,6 +344,7 @@ ORACLES: dict[str, str] = {
     "text_scorecard_by_role": _text_scorecard("role"),
     "bleu_corpus": f"WITH {DOCS}, {_clip('ep', 4)}, {_bleu_rows()} SELECT any_value(n_pairs) AS n_pairs, {_bleu(0.5, 2, 'bleu2')}, {_bleu(0.25, 4, 'bleu4')} FROM per_n",
     "bleu_by_lang": f"WITH {DOCS}, {_clip('ep', 4)}, {_bleu_rows('lang')} SELECT lang, any_value(n_pairs) AS n_pairs, {_bleu(0.5, 2, 'bleu2')}, {_bleu(0.25, 4, 'bleu4')} FROM per_n GROUP BY lang",
+    "text_scorecard_words": _word_scorecard(),
     "rouge_1_2": f"""WITH {DOCS}, {_clip('ep', 2)}, {ROUGE} SELECT count(DISTINCT pair_id) AS n_pairs,
       round(avg(p) FILTER (n = 1), 6) AS rouge1_p, round(avg(r) FILTER (n = 1), 6) AS rouge1_r, round(avg(f) FILTER (n = 1), 6) AS rouge1_f,
       round(avg(p) FILTER (n = 2), 6) AS rouge2_p, round(avg(r) FILTER (n = 2), 6) AS rouge2_r, round(avg(f) FILTER (n = 2), 6) AS rouge2_f FROM rouge_f""",
@@ -317,6 +352,7 @@ ORACLES: dict[str, str] = {
       SELECT pair_id, round(p, 6) AS rouge_l_p, round(r, 6) AS rouge_l_r, round({_f('p', 'r')}, 6) AS rouge_l_f FROM s""",
     "rouge_l_turns": f"WITH RECURSIVE {TURNS}, {_lcs('tp')} SELECT pair_id, round(p, 6) AS rouge_l_p, round(r, 6) AS rouge_l_r, round(f, 6) AS rouge_l_f FROM rouge_l",
     "meteor_exact": f"WITH {DOCS}, {_meteor('ep')} SELECT pair_id, round(meteor, 6) AS meteor FROM meteor",
+    "meteor_stems": f"WITH {TURNS}, {_meteor_stems('tp')} SELECT pair_id, round(meteor, 9) AS meteor FROM meteor",
     "char_bleu": f"""WITH {DOCS}, ch AS MATERIALIZED (SELECT pair_id, string_split(ground_truth, '') AS g, string_split(output, '') AS o FROM pairs),
       {_clip('ch', 4)}, {_bleu_rows()} SELECT any_value(n_pairs) AS n_pairs, {_bleu(0.25, 4, 'char_bleu')} FROM per_n""",
     "exact_match": f"WITH {DOCS} SELECT count(*) AS n_pairs, round(avg((output = ground_truth)::INT), 6) AS exact_match, round(avg((output = ground_truth AND valid)::INT), 6) AS exact_match_valid FROM pairs",
@@ -345,6 +381,7 @@ ORACLES: dict[str, str] = {
       || {_INPUT} || chr(10) || chr(10) || '### Response:' || chr(10) || chosen, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM stripped""",
     "reward_pairs": f"WITH {TRIPLES} SELECT pair_id, source || chosen AS chosen, source || rejected AS rejected FROM triples",
     "inference_prompts": f"WITH {DOCS} SELECT pair_id, source, {_rendered(prompts.INFERENCE['mol2cap'], 'source')} AS prompt, ground_truth FROM pairs",
+    "scored_batches": f"WITH {DOCS} SELECT pair_id, source, ground_truth, replace({_rendered(prompts.INFERENCE['mol2cap'], 'source')}, 'e', '3') AS output FROM pairs",
     "prefix_prompts": f"WITH {DOCS} SELECT pair_id, ground_truth AS source, {_lit(prompts.TRANSLATE_PREFIX['cap2mol'])} || ground_truth AS prompt, source AS ground_truth FROM pairs",
     "task_union": f"""WITH {DOCS} SELECT pair_id, {_lit(prompts.TASK_INSTRUCTION['mol2cap'])} AS instruction, source AS input, ground_truth AS output FROM pairs
       UNION ALL SELECT pair_id, {_lit(prompts.TASK_INSTRUCTION['cap2mol'])}, ground_truth, source FROM pairs""",
@@ -363,6 +400,15 @@ ORACLES: dict[str, str] = {
     "clean_outputs_a": f"""WITH {RAW} SELECT pair_id, {_UNWRAPPED} AS output, replace({_UNWRAPPED}, '#', '') AS without_hash,
       replace(output[3:-3], '\\n', chr(10)) AS parsed FROM bare""",
     "clean_outputs_b": f"WITH {RAW} SELECT pair_id, split_part(trim(replace({_UNWRAPPED}, 'assistant', '')), ' ', 1) AS output FROM bare",
+    "contained_outputs": f"WITH {DOCS}, t AS (SELECT pair_id, {_tokens('output')} AS o, {_tokens('source')} AS s FROM pairs) SELECT pair_id, o = '' OR contains(' ' || s || ' ', ' ' || o || ' ') AS contained FROM t",
+    "special_tokens": f"""WITH {DOCS}, t AS (SELECT pair_id, list_filter(string_split('[CLS] ' || ground_truth || ' [SEP] [PAD]', ' ')[1:512], lambda x: x NOT IN ('[PAD]', '[CLS]', '[SEP]')) AS t FROM pairs)
+      SELECT pair_id, array_to_string(t, ' ') AS tokens, len(t)::INT AS n_tokens FROM t""",
+    "nested_counts": f"""WITH {CONFUSION.rstrip().rstrip(',')},
+      p AS (SELECT string_split(path, '__') AS p, tp FROM counts),
+      level2 AS (SELECT p[1] AS g, p[2] AS name, '{{' || string_agg('"' || p[3] || '":' || tp, ',' ORDER BY p[3]) || '}}' AS json FROM p WHERE len(p) = 3 GROUP BY ALL),
+      level1 AS (SELECT g, '{{' || string_agg('"' || name || '":' || json, ',' ORDER BY name) || '}}' AS json
+        FROM (FROM level2 UNION ALL SELECT p[1], p[2], tp::VARCHAR FROM p WHERE len(p) = 2) GROUP BY g)
+      SELECT '{{' || string_agg('"' || g || '":' || json, ',' ORDER BY g) || '}}' AS tree FROM level1""",
     "flatten_tree": f"WITH {PROPS} SELECT prop_id, path, leaf FROM props",
     "property_confusion": f"WITH {CONFUSION.rstrip().rstrip(',')} {_ratios('counts', 'path, tp, fn, fp, tn,')}",
     "property_macro": f"WITH {_MACRO} SELECT metric, path, value FROM macro",
@@ -378,6 +424,7 @@ ORACLES: dict[str, str] = {
       (SELECT round(avg(list_cosine_similarity(x.a, y.b)), 6) FROM vp x, vp y WHERE x.pair_id <> y.pair_id) AS negative_similarity""",
     "topk_retrieval": f"WITH {VECS} SELECT query, item, round(score, 6) AS score, rank, 'label ' || label AS description FROM placed WHERE rank < 20",
     "rank_all": f"WITH {VECS} SELECT query, item, round(score, 6) AS score, rank FROM placed",
+    "rank_asked": f"WITH {VECS} SELECT query, item, round(score, 6) AS score, rank FROM placed WHERE query = label",
     "union_splits": "SELECT vec_id AS id, CASE WHEN label < 8 THEN 'train' WHEN label = 8 THEN 'val' ELSE 'test' END AS split, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS length FROM embeddings",
     "tanimoto_bits": f"""WITH {VECS}, z AS (SELECT pair_id, unnest({_bit_fields('a')}) AS a, unnest({_bit_fields('b')}) AS b FROM vp)
       SELECT pair_id, round(coalesce(count(*) FILTER (a AND b) / nullif(count(*) FILTER (a OR b), 0), 0.0), 6) AS similarity FROM z GROUP BY pair_id""",
@@ -405,6 +452,7 @@ ORACLES: dict[str, str] = {
     "fragment_filter": f"""SELECT doc_id, array_to_string(list_filter({_FRAGMENTS}, lambda f: len({_words('f').replace('lambda t: t', 'lambda w: w')}) > 3), '.') AS large,
       array_to_string(list_filter({_FRAGMENTS}, lambda f: len({_words('f').replace('lambda t: t', 'lambda w: w')}) <= 3), '.') AS small FROM documents""",
     "sentence_vectors": f"WITH {SENTENCES}, {_summed('tok')} {_summary('(SELECT doc_id AS sent_id FROM docs)')}",
+    "sentence_vector_elements": f"WITH {SENTENCES}, {_elements('(SELECT doc_id AS sent_id FROM docs)')}".replace("ABSENT", "''"),
     "sentence_vectors_unknown": f"WITH {SENTENCES}, {_summed('tok', True)} {_summary('(SELECT doc_id AS sent_id FROM docs)')}",
     "featurize": f"""WITH {DOCS}, tok AS MATERIALIZED (SELECT doc_id AS sent_id, unnest({_ALT}) AS word FROM docs WHERE len(g) > 0),
       wc AS (SELECT word, count(*) AS n FROM tok GROUP BY word),
@@ -430,6 +478,12 @@ ORACLES: dict[str, str] = {
     "record_file": f"WITH {DOCS} SELECT pair_id, ground_truth FROM pairs",
     "id_file": f"WITH {DOCS} SELECT pair_id, {_ONE_LINE('output')} AS output FROM pairs",
     "wide_vector_file": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS length FROM embeddings",
+    "feature_file": f"""WITH {DOCS}, tok AS MATERIALIZED (SELECT doc_id AS sent_id, unnest({_ALT}) AS word FROM docs WHERE len(g) > 0),
+      wc AS (SELECT word, count(*) AS n FROM tok GROUP BY word),
+      wt AS (SELECT word, embedding::DOUBLE[] AS vec FROM wc JOIN embeddings ON vec_id = n % (SELECT count(*) FROM embeddings) WHERE n > 3),
+      {_elements('(SELECT doc_id AS sent_id FROM docs WHERE len(g) > 0)')}""".replace("ABSENT", "rtrim(repeat('0.000 ', (SELECT max(len(embedding)) FROM embeddings)))"),
+    "public_split": "SELECT conv_id AS chat, turn AS place, text AS content FROM conversations",
+    "row_numbers": "SELECT doc_id, sha256(coalesce(text, '')) AS digest, row_number() OVER (ORDER BY doc_id) AS position FROM documents",
     "combo_file": f"WITH {PROPS}, {COMBOS} SELECT p1, p2 FROM combos",
     "report_file": f"WITH {_MACRO} SELECT metric, path, value FROM macro",
 }

@@ -6,12 +6,14 @@ score is one map-side combined aggregate and can be grouped by any column.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.kernels import clipped_matches, lcs_length, meteor
+from pairloom.functions.lookups import TABLE_BYTES, mapped
 from pairloom.functions.text import ratio
+from pairloom.operators.joins import frame_bytes, lookup_join
+from pairloom.session import pinned
 
 
 def with_overlap(
@@ -76,6 +78,63 @@ def with_meteor(df: DataFrame, ref: str = "ref", hyp: str = "hyp", **options) ->
     return df.withColumn("meteor", meteor(ref, hyp, **options))
 
 
+def with_word_forms(df: DataFrame, tokens: list[str], forms: DataFrame, key: str = "pair_id", max_bytes: int = TABLE_BYTES) -> DataFrame:
+    """Add ``<tokens>_form`` for each token column: every lower-cased token's form in ``forms`` (word, form), itself without one.
+
+    Of several forms of a word the first in order counts. A table of at most
+    ``max_bytes``, measured, is looked up inside the row; of a larger one each row's
+    distinct words are joined and put back. ``key`` tells the rows apart.
+    """
+    forms = pinned(forms.groupBy(F.lower("word").alias("word")).agg(F.min(F.lower("form")).alias("form")))
+    lower = lambda c: F.transform(c, F.lower)
+    if frame_bytes(forms) <= max_bytes:
+        held = forms.toArrow()
+        table = df.sparkSession.sparkContext.broadcast(dict(zip(held.column("word").to_pylist(), held.column("form").to_pylist(), strict=True)))
+        return df.withColumns({f"{c}_form": mapped(lower(c), table) for c in tokens})
+    every = F.array_distinct(F.concat(*[F.coalesce(lower(c), F.array().cast("array<string>")) for c in tokens]))
+    words = df.select(key, F.explode(every).alias("word"))
+    found = lookup_join(words, forms, "word", "inner", spread_by=[key])
+    entries = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "form"))).alias("_forms"))
+    joined = df.join(entries, key, "left")
+    form = lambda t: F.coalesce(F.try_element_at("_forms", t), t)
+    return joined.withColumns({f"{c}_form": F.transform(lower(c), form) for c in tokens}).drop("_forms")
+
+
+def with_synonyms(df: DataFrame, tokens: str, synonyms: DataFrame, key: str = "pair_id", max_bytes: int = TABLE_BYTES) -> DataFrame:
+    """Add ``<tokens>_synonyms``: for each lower-cased token the words that ``synonyms`` (word, synonym) lets it stand for.
+
+    The table is looked up as in :func:`with_word_forms`.
+    """
+    pairs = synonyms.select(F.lower("word").alias("word"), F.lower("synonym").alias("synonym")).distinct()
+    sets = pinned(pairs.groupBy("word").agg(F.sort_array(F.collect_list("synonym")).alias("synonyms")))
+    lower = F.transform(tokens, F.lower)
+    name = f"{tokens}_synonyms"
+    if frame_bytes(sets) <= max_bytes:
+        held = sets.toArrow()
+        table = df.sparkSession.sparkContext.broadcast(dict(zip(held.column("word").to_pylist(), held.column("synonyms").to_pylist(), strict=True)))
+        return df.withColumn(name, mapped(lower, table, each=False))
+    words = df.select(key, F.explode(F.array_distinct(lower)).alias("word"))
+    found = lookup_join(words, sets, "word", "inner", spread_by=[key])
+    entries = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "synonyms"))).alias("_sets"))
+    joined = df.join(entries, key, "left")
+    return joined.withColumn(name, F.transform(lower, lambda t: F.try_element_at("_sets", t))).drop("_sets")
+
+
+def with_meteor_stages(
+    df: DataFrame, ref: str = "ref", hyp: str = "hyp", stems: DataFrame | None = None, synonyms: DataFrame | None = None,
+    key: str = "pair_id", **options,
+) -> DataFrame:
+    """Add the row's METEOR with the stem and synonym stages that a word table is given for: ``stems`` (word, form), ``synonyms`` (word, synonym)."""
+    columns, extra = df.columns, {}
+    if stems is not None:
+        df = with_word_forms(df, [ref, hyp], stems, key)
+        extra["stems"] = (f"{ref}_form", f"{hyp}_form")
+    if synonyms is not None:
+        df = with_synonyms(df, hyp, synonyms, key)
+        extra["synonyms"] = f"{hyp}_synonyms"
+    return with_meteor(df, ref, hyp, **extra, **options).select(*columns, "meteor")
+
+
 def levenshtein_mean(output: str, truth: str) -> Column:
     return F.avg(F.levenshtein(F.col(output), F.col(truth)))
 

@@ -149,6 +149,34 @@ def macro_average(per_path: DataFrame, metrics: tuple[str, ...] = METRICS) -> Da
     return report.select("metric", F.array_join("path", PATH_SEPARATOR).alias("path"), "value")
 
 
+def nested(values: DataFrame, value: str, group_by: list[str] | None = None) -> DataFrame:
+    """(group_by.., tree): the JSON object whose nested keys are the segments of ``path``, with ``value`` at its end.
+
+    The tree is folded from the deepest level up, one aggregate per level; keys are in
+    order. A path that is both a leaf and a group raises, and so does a path that occurs
+    twice in a group. A tree is one value, so it must fit into a row.
+    """
+    by = group_by or []
+    check_tree(values.select("path").distinct())
+    json = F.coalesce(F.to_json(F.struct(F.col(value).alias("v")), {"ignoreNullFields": "false"}), F.lit('{"v":null}'))
+    nodes = pinned(values.select(*by, segments("path").alias("_path"), F.regexp_extract(json, r"(?s)^\{\"v\":(.*)\}$", 1).alias("_json")))
+    twice = nodes.groupBy(*by, "_path").count().where("count > 1").first()
+    if twice:
+        raise ValueError(f"path occurs twice: {PATH_SEPARATOR.join(twice['_path'])}")
+    depth = nodes.agg(F.max(F.size("_path"))).first()[0] or 0
+    name = F.regexp_extract(F.to_json(F.array(F.element_at("_path", -1))), r"(?s)^\[(.*)\]$", 1)
+    folded = None
+    for size in range(depth, 0, -1):
+        level = nodes.where(F.size("_path") == size)
+        level = level if folded is None else level.unionByName(folded)
+        entry = F.struct(F.element_at("_path", -1).alias("key"), F.concat(name, F.lit(":"), F.col("_json")).alias("text"))
+        entries = F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["text"])
+        folded = level.groupBy(*by, F.slice("_path", 1, size - 1).alias("_path")).agg(F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}")).alias("_json"))
+    if folded is None:
+        return nodes.select(*by, F.col("_json").alias("tree"))
+    return folded.select(*by, F.col("_json").alias("tree"))
+
+
 def combo_keys(combos: DataFrame, tokens: Tokenizer = words) -> DataFrame:
     """(combo_id, key1, key2) of (combo_id, p1, p2)."""
     return combos.select("combo_id", phrase_key("p1", tokens).alias("key1"), phrase_key("p2", tokens).alias("key2"))

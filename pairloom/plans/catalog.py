@@ -39,22 +39,28 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 @query
 def text_scorecard(spark, d):
+    return rounded(scorecards.text_scorecard(v.turn_pairs(spark, d), X.alnum_words, tokenizer_name="alnum"))
+
+
+@query
+def text_scorecard_words(spark, d):
+    """The default tokens for BLEU and METEOR, ROUGE's own for ROUGE."""
     return rounded(scorecards.text_scorecard(v.turn_pairs(spark, d)))
 
 
 @query
 def text_scorecard_by_role(spark, d):
-    return rounded(scorecards.text_scorecard(v.turn_pairs(spark, d), group_by=["role"]))
+    return rounded(scorecards.text_scorecard(v.turn_pairs(spark, d), X.alnum_words, group_by=["role"], tokenizer_name="alnum"))
 
 
 @query
 def bleu_corpus(spark, d):
-    return rounded(scorecards.bleu_scorecard(v.eval_pairs(spark, d)))
+    return rounded(scorecards.bleu_scorecard(v.eval_pairs(spark, d), X.alnum_words))
 
 
 @query
 def bleu_by_lang(spark, d):
-    return rounded(scorecards.bleu_scorecard(v.eval_pairs(spark, d), group_by=["lang"]))
+    return rounded(scorecards.bleu_scorecard(v.eval_pairs(spark, d), X.alnum_words, group_by=["lang"]))
 
 
 @query
@@ -85,6 +91,16 @@ def meteor_exact(spark, d):
     return rounded(overlap.with_meteor(tokens).select("pair_id", "meteor"))
 
 
+@query
+def meteor_stems(spark, d):
+    """Exact and stem stages; a word's stem is its first four letters."""
+    tokens = v.turn_pairs(spark, d).select(
+        "pair_id", X.alnum_words("ground_truth").alias("ref"), X.alnum_words("output").alias("hyp"))
+    every = tokens.select(F.explode(F.concat("ref", "hyp")).alias("word")).distinct()
+    stems = every.select("word", F.substring("word", 1, 4).alias("form"))
+    return rounded(overlap.with_meteor_stages(tokens, stems=stems).select("pair_id", "meteor"), 9)
+
+
 @query
 def char_bleu(spark, d):
     scored = overlap.with_overlap(
@@ -218,6 +234,16 @@ def longest_lengths(spark, d):
         pairs.pair_lengths(split("mol2cap"), X.word_count), pairs.pair_lengths(split("cap2mol"), X.word_count))
 
 
+@query
+def scored_batches(spark, d):
+    """Prompts through a caller's batch function, its texts joined back to the prediction table."""
+    def predict(batch):
+        return batch[["pair_id"]].assign(output=batch["prompt"].str.replace("e", "3", regex=False))
+
+    prompted = pairs.inference_prompts(v.text_pairs(spark, d), "smiles2caption")
+    return pairs.prediction_table(prompted, pairs.score_batches(prompted, predict, "pair_id bigint, output string"))
+
+
 @query
 def dedupe_first(spark, d):
     return pairs.first_per_key(v.text_pairs(spark, d), "molecule", "caption", "pair_id")
@@ -270,6 +296,27 @@ def clean_outputs_b(spark, d):
 
 # Phrase metrics
 
+@query
+def contained_outputs(spark, d):
+    """Whether the words of the output stand in the words of the source, one after another."""
+    p = v.eval_pairs(spark, d)
+    return p.select("pair_id", X.contains_phrase(X.words("output"), X.words("source")).alias("contained"))
+
+
+@query
+def special_tokens(spark, d):
+    """Spaced tokens between marks, cut at 512, marks dropped."""
+    marked = F.concat(F.lit("[CLS] "), "ground_truth", F.lit(" [SEP] [PAD]"))
+    kept = X.without_special(X.truncated(F.split(marked, " "), X.MAX_TEXT_TOKENS))
+    return v.eval_pairs(spark, d).select("pair_id", F.array_join(kept, " ").alias("tokens"), F.size(kept).alias("n_tokens"))
+
+
+@query
+def nested_counts(spark, d):
+    """True positives of every property as one JSON tree."""
+    return phrases.nested(phrases.confusion(v.eval_pairs(spark, d), v.properties(spark, d)), "tp")
+
+
 @query
 def flatten_tree(spark, d):
     return readers.flat_tree(v.property_trees(spark, d), "tree", ["prop_id"])
@@ -337,6 +384,14 @@ def rank_all(spark, d):
     return rounded(retrieval.ranked(scored).select("query", "item", "score", "rank"))
 
 
+@query
+def rank_asked(spark, d):
+    """The place of every vector among all vectors by closeness to the mean of its label."""
+    e = v.embeddings(spark, d).select(F.col("vec_id").alias("item"), F.col("embedding").alias("vec"), "label")
+    asked = e.select(F.col("label").alias("query"), "item")
+    return rounded(retrieval.ranks_of(asked, v.centroids(spark, d), e.select("item", "vec")))
+
+
 @query
 def union_splits(spark, d):
     e = v.embeddings(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
@@ -441,6 +496,18 @@ def sentence_vectors(spark, d):
     return _summary(corpus.sentence_vectors(s, pinned(v.word_table(spark, d, corpus.word_counts(s)))), "sent_id")
 
 
+def _elements(vecs: DataFrame, key: str) -> DataFrame:
+    """Every element of the vector to three digits, as text."""
+    digits = F.transform("vec", lambda x: x.cast("decimal(18,3)").cast("string"))
+    return vecs.select(key, F.array_join(digits, " ").alias("vec"))
+
+
+@query
+def sentence_vector_elements(spark, d):
+    s = _sentences(spark, d)
+    return _elements(corpus.sentence_vectors(s, pinned(v.word_table(spark, d, corpus.word_counts(s)))), "sent_id")
+
+
 @query
 def sentence_vectors_unknown(spark, d):
     s = _sentences(spark, d)
@@ -539,6 +606,38 @@ def wide_vector_file(spark, d):
     return rounded(back.select(F.col("key").cast("bigint").alias("vec_id"), V.norm("vec").alias("length")))
 
 
+@query
+def feature_file(spark, d):
+    """Records file to feature file: texts read back, featurised, one column per element, written and read back."""
+    records, path = scratch_path(spark, "records.sdf"), scratch_path(spark, "features")
+    writers.write_records(v.documents(spark, d).select(F.col("doc_id").alias("ID"), F.regexp_replace("text", r"\s+", " ").alias("TEXT")), ["ID", "TEXT"], records)
+    rows = readers.read_records(spark, records, ["ID", "TEXT"]).select(F.col("ID").cast("bigint").alias("sent_id"), F.col("TEXT").alias("text"))
+    words = X.alnum_words("text")
+    table = pinned(v.word_table(spark, d, corpus.word_counts(corpus.corpus_sentences(rows, words, 1, "alt"))))
+    width = table.agg(F.max(F.size("vec"))).first()[0] or 0
+    writers.write_csv(features.feature_columns(features.featurize(rows, words, table).drop("text"), width), path)
+    back = readers.read_wide_vectors(spark, path, width, key_index=0)
+    return _elements(back.select(F.col("key").cast("bigint").alias("sent_id"), F.transform("vec", lambda x: F.coalesce(x, F.lit(0.0))).alias("vec")), "sent_id")
+
+
+@query
+def public_split(spark, d):
+    """All turns as the train split of a dataset folder, read back with other names."""
+    path = scratch_path(spark, "dataset")
+    v.conversations(spark, d).write.parquet(f"{path}/train")
+    return readers.read_public_split(spark, path, "train", {"conv_id": "chat", "turn": "place", "text": "content"})
+
+
+@query
+def row_numbers(spark, d):
+    """Lines written in the order of their ids: the reader's row ids give that order back."""
+    path = scratch_path(spark, "lines.smi")
+    docs = v.documents(spark, d).select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "doc_id")
+    writers.write_lines(docs.orderBy("doc_id"), ["digest", "doc_id"], path)
+    placed = ordering.with_position(readers.read_ids(spark, path), [F.col("row_id")])
+    return placed.select(F.col("name").cast("bigint").alias("doc_id"), F.col("id").alias("digest"), "position")
+
+
 @query
 def combo_file(spark, d):
     path = scratch_path(spark, "combos")

@@ -19,21 +19,25 @@ def _summed(df: DataFrame, group_by: list[str], columns: dict[str, Column]) -> D
 
 
 def text_scorecard(
-    pairs: DataFrame, tokens: Tokenizer = alnum_words, max_tokens: int | None = None, group_by: list[str] | None = None,
-    tokenizer_name: str = "alnum",
+    pairs: DataFrame, tokens: Tokenizer = words, max_tokens: int | None = None, group_by: list[str] | None = None,
+    tokenizer_name: str = "words", stems: DataFrame | None = None, synonyms: DataFrame | None = None, row_id: str = "pair_id",
 ) -> DataFrame:
     """BLEU-2, BLEU-4, METEOR and ROUGE-1/2/L of ``output`` against ``ground_truth``.
 
+    METEOR runs its exact stage, and the stem and synonym stages when ``stems`` (word,
+    form) and ``synonyms`` (word, synonym) are given; ``meteor_stages`` then names them.
+
     One scan; per-pair values are row-local, then one aggregate. BLEU and METEOR use
     ``tokens`` (cut at ``max_tokens``, special tokens dropped), ROUGE its own rule.
     Scores compare only within one tokenizer, so its name is part of the result.
     """
+    stages = ["exact", *(name for name, table in (("stem", stems), ("synonym", synonyms)) if table is not None)]
     side = lambda c: without_special(truncated(tokens(F.col(c)), max_tokens))
     scored = overlap.with_overlap(pairs, side("ground_truth"), side("output"), 4)
     rouge = "" if tokens is alnum_words and max_tokens is None else "rouge_"
     if rouge:
         scored = overlap.with_overlap(scored, alnum_words("ground_truth"), alnum_words("output"), 2, rouge)
-    scored = overlap.with_meteor(scored, "ref", "hyp")
+    scored = overlap.with_meteor_stages(scored, "ref", "hyp", stems, synonyms, row_id)
     scored = overlap.with_rouge_l(scored, f"{rouge}ref", f"{rouge}hyp")
     return _summed(scored, group_by or [], {
         "n_pairs": F.count("*"),
@@ -44,10 +48,11 @@ def text_scorecard(
         "rouge2": F.avg(overlap.rouge_n(2, rouge)["f"]),
         "rouge_l": F.avg("rouge_l_f"),
         "meteor": F.avg("meteor"),
+        **({"meteor_stages": F.lit("+".join(stages))} if len(stages) > 1 else {}),
     })
 
 
-def bleu_scorecard(pairs: DataFrame, tokens: Tokenizer = alnum_words, group_by: list[str] | None = None) -> DataFrame:
+def bleu_scorecard(pairs: DataFrame, tokens: Tokenizer = words, group_by: list[str] | None = None) -> DataFrame:
     """BLEU-2 and BLEU-4, overall or per group."""
     scored = overlap.with_overlap(pairs, tokens(F.col("ground_truth")), tokens(F.col("output")), 4)
     return _summed(scored, group_by or [], {

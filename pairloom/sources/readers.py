@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairloom.functions.text import PATH_SEPARATOR, spaced_words, strip, without_leading_mark
+from pairloom.functions.trees import tree_leaves
 from pairloom.operators.pairs import DIRECTIONS
 
 PAIR_COLUMNS = ("molecule", "caption")
@@ -89,36 +90,11 @@ def flat_tree(df: DataFrame, json: Column | str, keep: list[str] | None = None)
     """(keep.., path, leaf) of JSON objects ``{group: [leaf | {group: [..]}]}`` of any depth.
 
     A group that is an object instead of a list has its keys as leaves. A leaf that is
-    no string, or a group that is neither list nor object, raises. One
-    ``variant_explode`` per level, until no list holds an object any more.
+    no string, a group that is neither list nor object, and a key twice in one group raise.
+    Trees are walked inside their rows: one pass, whatever their depth.
     """
-    keep = keep or []
-    parsed = F.parse_json(F.col(json) if isinstance(json, str) else json)
-    nodes = df.select(*keep, F.lit("").alias("path"), parsed.alias("node"))
-    found = None
-    names = ", ".join(["path", *keep])
-    while True:
-        groups = nodes.sparkSession.sql(
-            f"SELECT {names}, g.key AS name, g.value AS list FROM {{nodes}}, LATERAL variant_explode(node) AS g", nodes=nodes)
-        form = F.schema_of_variant("list")
-        wrong = F.raise_error(F.concat(F.lit("neither list nor object in the tree: "), form)).cast("boolean")
-        groups = groups.where(F.when(form.startswith("ARRAY") | form.startswith("OBJECT"), True).otherwise(wrong))
-        groups = groups.select(*keep, F.concat("path", "name", F.lit(PATH_SEPARATOR)).alias("path"), "list")
-        keyed = groups.sparkSession.sql(
-            f"SELECT {names}, e.key AS leaf FROM {{groups}}, LATERAL variant_explode(list) AS e WHERE e.key IS NOT NULL", groups=groups)
-        keyed = keyed.select(*keep, F.concat("path", "leaf").alias("path"), "leaf")
-        entries = groups.sparkSession.sql(
-            f"SELECT {names}, e.value AS node FROM {{groups}}, LATERAL variant_explode(list) AS e WHERE e.key IS NULL", groups=groups)
-        kind = F.schema_of_variant("node")
-        odd = F.raise_error(F.concat(F.lit("leaf that is no string in the tree: "), kind)).cast("boolean")
-        leaves = entries.where(~kind.startswith("OBJECT") & F.when(kind == "STRING", True).otherwise(odd)).select(
-            *keep, F.concat("path", F.variant_get("node", "$", "string")).alias("path"),
-            F.variant_get("node", "$", "string").alias("leaf"))
-        leaves = leaves.unionByName(keyed)
-        found = leaves if found is None else found.unionByName(leaves)
-        nodes = entries.where(kind.startswith("OBJECT"))
-        if nodes.first() is None:
-            return found
+    found = df.select(*(keep or []), F.explode(tree_leaves(json)).alias("_leaf"))
+    return found.select(*(keep or []), "_leaf.path", "_leaf.leaf")
 
 
 def read_property_tree(spark: SparkSession, path: str) -> DataFrame:

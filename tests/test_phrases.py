@@ -145,3 +145,47 @@ def test_flat_tree_takes_object_keys_and_refuses_other_leaves(spark):
     for tree in ({"b": ["z", 3]}, {"b": ["z", None]}, {"b": "z"}, {"b": [["z"]]}):
         with pytest.raises(Exception, match="in the tree"):
             paths(tree)
+
+
+def test_nested_undoes_flat_tree(spark):
+    draw = random.Random(8)
+
+    def grown(depth, names):
+        entries = [f"{draw.choice('abé')}\"{n}" for n in range(draw.randrange(1, 4))]
+        return entries + ([{f"g{next(names)}": grown(depth - 1, names)} for _ in range(draw.randrange(1, 3))] if depth else [])
+
+    for depth in range(4):
+        names = itertools.count()
+        tree = {f"top{k}": grown(depth, names) for k in range(3)}
+        rows = flat_tree(spark.createDataFrame([(1, json.dumps(tree))], "id int, tree string"), "tree", ["id"])
+        back = phrases.nested(rows.select("id", "path", "leaf"), "leaf", ["id"]).first()
+
+        def as_maps(entries):
+            out = {e: e for e in entries if isinstance(e, str)}
+            for e in entries:
+                if isinstance(e, dict):
+                    out |= {k: as_maps(v) for k, v in e.items()}
+            return out
+
+        assert json.loads(back.tree) == {k: as_maps(v) for k, v in tree.items()}
+
+
+def test_nested_values_and_errors(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "metric string, path string, value double")
+    got = phrases.nested(frame([("f", "a__b", 0.5), ("f", "a__c", None), ("f", "x", 1.0), ("g", "d__b__c", 2.0)]), "value", ["metric"])
+    assert {r.metric: json.loads(r.tree) for r in got.collect()} == {"f": {"a": {"b": 0.5, "c": None}, "x": 1.0}, "g": {"d": {"b": {"c": 2.0}}}}
+    with pytest.raises(ValueError, match="both a leaf and a group"):
+        phrases.nested(frame([("f", "a", 1.0), ("f", "a__b", 1.0)]), "value")
+    with pytest.raises(ValueError, match="twice"):
+        phrases.nested(frame([("f", "a", 1.0), ("f", "a", 1.0)]), "value")
+    assert phrases.nested(frame([]), "value").count() == 0
+
+
+def test_flat_tree_is_one_pass(spark):
+    df = spark.createDataFrame([(1, '{"a": ["x"]}')], "id int, tree string")
+    plan = flat_tree(df, "tree", ["id"])._jdf.queryExecution().toString().split("Physical Plan")[1]
+    assert plan.count("Generate") == 1 and "Union" not in plan
+    for bad in ('{"a": [1]}', '{"a": "x"}', '["x"]', '{"a": ["x"], "a": ["y"]}', "{"):
+        with pytest.raises(Exception):
+            flat_tree(df.withColumn("tree", F.lit(bad)), "tree").collect()
+    assert flat_tree(df.withColumn("tree", F.lit(None).cast("string")), "tree").count() == 0

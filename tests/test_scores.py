@@ -127,6 +127,34 @@ def test_meteor_stages(spark):
     assert full == pytest.approx(1 - 0.5 * (1 / 3) ** 3)
 
 
+@pytest.mark.parametrize("limit", [None, 0])
+def test_meteor_tables(spark, monkeypatch, limit):
+    """Word tables held by the tasks or joined give the arrays that a caller would build by hand."""
+    if limit is not None:
+        for f in (overlap.with_word_forms, overlap.with_synonyms):
+            monkeypatch.setattr(f, "__defaults__", (*f.__defaults__[:-1], limit))
+    df = spark.createDataFrame(
+        [(1, ["cats", "run", "Big"], ["cat", "runs", "large"]), (2, [], ["x"]), (3, ["a"], []), (4, ["a", "b"], ["b", "a"]), (5, None, ["a"])],
+        "pair_id long, ref array<string>, hyp array<string>").repartition(2)
+    stems = spark.createDataFrame([("cats", "cat"), ("Runs", "run"), ("runs", "runz")], "word string, form string")
+    synonyms = spark.createDataFrame([("Large", "big"), ("large", "huge"), ("large", "big")], "word string, synonym string")
+    forms = {r.pair_id: (r.ref_form, r.hyp_form) for r in overlap.with_word_forms(df, ["ref", "hyp"], stems).collect()}
+    assert forms[1] == (["cat", "run", "big"], ["cat", "run", "large"]) and forms[4] == (["a", "b"], ["b", "a"]) and forms[2] == ([], ["x"])
+    sets = {r.pair_id: r.hyp_synonyms for r in overlap.with_synonyms(df, "hyp", synonyms).collect()}
+    assert sets[1] == [None, None, ["big", "huge"]] and sets[4] == [None, None]
+    score = lambda **k: {r.pair_id: r.meteor for r in overlap.with_meteor_stages(df, **k).collect()}
+    full = 1 - 0.5 * (1 / 3) ** 3
+    assert score()[1] == 0 and score(stems=stems, synonyms=synonyms)[1] == pytest.approx(full) and 0 < score(stems=stems)[1] < full
+    assert score(stems=stems, synonyms=synonyms)[2] == score()[3] == score(stems=stems)[5] == 0
+
+
+def test_scorecard_names_its_stages(spark):
+    df = spark.createDataFrame([(1, "the cats run", "the cat runs")], "pair_id long, ground_truth string, output string")
+    stems = spark.createDataFrame([("cats", "cat"), ("runs", "run")], "word string, form string")
+    plain, staged = scorecards.text_scorecard(df).first(), scorecards.text_scorecard(df, stems=stems).first()
+    assert staged.meteor_stages == "exact+stem" and staged.meteor > plain.meteor and plain.tokenizer == "words" and "meteor_stages" not in plain
+
+
 def test_wordpiece(spark):
     cut = kernels.wordpiece_tokenizer(["un", "##aff", "##able", "a"])
     df = spark.createDataFrame([(["unaffable", "a", "zz"],)], "t array<string>")
