@@ -16,20 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from pairloom.llm.common import first_column, text_slices, tidied
-from pairloom.llm.vocabulary import WHITE, byte_letters
+from pairloom.llm.common import first_column, pinned, text_slices, tidied
+from pairloom.llm.vocabulary import byte_letters
 
-_CACHE = 300_000
-_BATCH_TOKENS = 1 << 20
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile(f"[{WHITE}]+")
+_WORD_CACHE, _TOKEN_CACHE = 300_000, 600_000
+_SLICE_BYTES = 8 << 20
 # Letters that are their own NFC form and whose lower case does not depend on their neighbours.
-_WORD = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-įĲ-ɏ]+)([!-/:-@\\[-`{-~]*)\\Z")
+_WORD = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0132-\u024f]+\\Z")
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 ORC_OPTIONS = {
     "compression": "zstd",
@@ -40,13 +40,18 @@ ORC_OPTIONS = {
 }
 
 
+def strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordEncoder:
-    """Ids of whole texts by the library, each distinct word encoded once while it is remembered.
+    """Ids of whole texts by the library, each distinct word of a slice encoded once and remembered for a while.
 
     The file's normalizer and splitter never join across white space, so the ids of a
-    text are those of its words one after another. A word of Latin letters followed by
-    ASCII punctuation is two pre-tokens, which are remembered apart and go to the
-    library's model directly; every other word passes through the whole library.
+    text are those of its words one after another, and lower-casing A-Z first changes
+    none. A word of Latin letters followed by ASCII punctuation is two pre-tokens, which
+    are remembered apart and go to the library's model directly; every other word,
+    such as one with other white space inside, passes through the whole library.
     """
 
     def __init__(self, tokenizer: str):
@@ -55,34 +60,46 @@ class WordEncoder:
         self.model = self.library.model
         self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes | None] = {}
+
+    def token(self, word: str) -> bytes | None:
+        """Ids of a pre-token; None for a word that the whole library must see."""
+        if not _WORD.match(word):
+            return None
+        return self.merge(word if word.isascii() else word.lower())
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) > _CACHE:
+    def learned(self, words: pa.Array) -> list[bytes]:
+        """Ids of each of the distinct words as 32-bit integers."""
+        if len(self.words) > _WORD_CACHE:
             self.words.clear()
-        if len(self.tokens) > _CACHE:
+        if len(self.tokens) > _TOKEN_CACHE:
             self.tokens.clear()
-        words_of, tokens, odd = self.words, self.tokens, []
-        for word in words:
-            match = _WORD.match(word)
-            if match is None:
-                odd.append(word)
-                continue
-            head, tail = match.groups()
-            head = head.lower()
-            ids = tokens.get(head)
-            if ids is None:
-                ids = tokens[head] = self.merge(head)
-            if tail:
-                rest = tokens.get(tail)
-                if rest is None:
-                    rest = tokens[tail] = self.merge(tail)
-                ids += rest
-            words_of[word] = ids
-        for start in range(0, len(odd), 20_000):
-            some = odd[start:start + 20_000]
-            for word, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                words_of[word] = array("i", found.ids).tobytes()
+        tokens = self.tokens
+        heads = pc.ascii_rtrim(words, _PUNCTUATION)
+        coded = heads.dictionary_encode()
+        of_head = []
+        for head in strings(coded.dictionary):
+            if head not in tokens:
+                tokens[head] = self.token(head)
+            of_head.append(tokens[head])
+        found = [of_head[c] for c in coded.indices.to_pylist()]
+        longer = np.flatnonzero(pc.binary_length(words).to_numpy() > pc.binary_length(heads).to_numpy())
+        for at, word, head in zip(longer.tolist(), strings(words.take(pa.array(longer))), strings(heads.take(pa.array(longer))), strict=True):
+            if found[at] is not None:
+                tail = word[len(head):]
+                if tail not in tokens:
+                    tokens[tail] = self.merge(tail)
+                found[at] += tokens[tail]
+        odd = np.array([at for at, ids in enumerate(found) if ids is None], np.int64)
+        names = strings(words.take(pa.array(odd)))
+        new = [w for w in names if w not in self.words]
+        for start in range(0, len(new), 20_000):
+            some = new[start:start + 20_000]
+            for word, code in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.words[word] = array("i", code.ids).tobytes()
+        for at, word in zip(odd.tolist(), names, strict=True):
+            found[at] = self.words[word]
+        return found
 
     def merge(self, word: str) -> bytes:
         """Ids of one pre-token by the library's model, whose letters stand for bytes."""
@@ -92,13 +109,24 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        split = [_SPACE.split(t) if _SEPARATORS.search(t) else t.split() for t in texts]
-        every = set().union(*split) if split else set()
-        new = every.difference(self.words)
-        if new:
-            self.learn(every if len(self.words) > _CACHE else new)
-        known = self.words.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        ids, ends = self.flat(pa.array(texts, pa.string()))
+        return [part.tobytes() for part in np.split(ids, ends)[:-1]]
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, where each text's ids end); a null text has none."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        words = split.flatten().dictionary_encode()
+        of_distinct = self.learned(words.dictionary)
+        ids = np.frombuffer(b"".join(of_distinct), "<i4")
+        sizes = np.array([len(x) // 4 for x in of_distinct], np.int64)
+        if not len(sizes):
+            return ids, np.zeros(len(texts), np.int64)
+        codes = words.indices.to_numpy()
+        n = sizes[codes]
+        ends = np.r_[0, np.cumsum(n)]
+        shift = (np.cumsum(sizes) - sizes)[codes] - ends[:-1]
+        offsets = split.offsets.to_numpy()
+        return ids[np.repeat(shift, n) + np.arange(ends[-1])], ends[offsets[1:] - offsets[0]]
 
 
 def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
@@ -113,26 +141,39 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int
         tokenizer = file.read()  # a vocabulary of fixed size
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
     kind = docs.schema[key].dataType
-    end = np.array([end_id], "<i4").tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, offset = WordEncoder(shared.value), 0
-        for part in text_slices(batches):
-            found = [ids + end for ids in encoder.encode([t or "" for t in first_column(part, "text").to_pylist()])]
-            sizes = np.array([len(f) // 4 for f in found], np.int64)
+    width = "<u2" if max(end_id, Tokenizer.from_str(tokenizer).get_vocab_size() - 1) < 1 << 16 else "<i4"
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder(shared.value)
+        for part in text_slices(batches, limit=_SLICE_BYTES):
+            ids, ends = encoder.flat(first_column(part, "text"))
+            # Each text's ids with the end id behind them.
+            packed = np.insert(ids.astype(width), ends, end_id).view(np.uint8)
+            offsets = np.r_[0, ends + np.arange(1, len(ends) + 1)] * np.dtype(width).itemsize
+            column = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(packed)])
+            yield pa.RecordBatch.from_arrays([first_column(part, "key"), first_column(part, "hash"), column.cast(pa.binary())], names=["key", "hash", "packed"])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        offset = 0
+        for part in text_slices(batches, "packed", _SLICE_BYTES):
+            packed = first_column(part, "packed")
+            sizes = pc.binary_length(packed).to_numpy().astype(np.int64) // np.dtype(width).itemsize
             ends = np.cumsum(sizes)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
-            columns = [first_column(part, "key"), pa.array(offset + ends - sizes), pa.array(sizes), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "file_offset", "n_tokens", "ids"])
+            ids = np.frombuffer(b"".join(packed.to_pylist()), width).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([first_column(part, "key"), pa.array(offset + ends - sizes), pa.array(sizes), lists], names=[key, "file_offset", "n_tokens", "ids"])
             offset += int(sizes.sum())
 
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("hash"))
+    middle = T.StructType([T.StructField("key", kind), T.StructField("hash", T.LongType()), T.StructField("packed", T.BinaryType())])
+    # Written once: the range limits are found from the keys alone, and only packed ids are shuffled.
+    packed = pinned(rows.mapInArrow(tidied(encoded), middle))
     schema = T.StructType([
         T.StructField(key, kind), T.StructField("file_offset", T.LongType()), T.StructField("n_tokens", T.LongType()),
         T.StructField("ids", T.ArrayType(T.IntegerType())),
     ])
-    order = ["key", F.xxhash64("text")]
-    ordered = docs.select(docs[key].alias("key"), docs[text].alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered.mapInArrow(tidied(run), schema).write.options(**ORC_OPTIONS, **{"orc.bloom.filter.columns": key}).orc(path)
+    ordered = packed.repartitionByRange("key", "hash").sortWithinPartitions("key", "hash")
+    ordered.mapInArrow(tidied(numbered), schema).write.options(**ORC_OPTIONS, **{"orc.bloom.filter.columns": key}).orc(path)
 
 
 def read_token_ids(spark: SparkSession, path: str, key: str = "doc_id", key_type: T.DataType | None = None) -> DataFrame:
@@ -158,8 +199,10 @@ def ids_crc32(rows: DataFrame, ids: str = "ids", name: str = "ids_crc32") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = first_column(batch, ids)
-            sums = [zlib.crc32(lists[i].values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) if lists[i].is_valid else None for i in range(len(lists))]
+            places = lists.offsets.to_numpy().astype(np.int64) * 4
+            whole = memoryview(lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)).cast("B")
+            found = [zlib.crc32(whole[a:b]) if ok else None for a, b, ok in zip(places[:-1], places[1:], lists.is_valid().to_pylist(), strict=True)]
             columns = [first_column(batch, f.name) for f in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sums, pa.int64())], names=[*[f.name for f in kept], name])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.int64())], names=[*[f.name for f in kept], name])
 
     return rows.mapInArrow(tidied(run), T.StructType([*kept, T.StructField(name, T.LongType())]))
