@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from pairloom.llm.common import first_column, pinned, text_slices, tidied
+from pairloom.llm.common import first_column, scratch_path, text_slices, tidied
 from pairloom.llm.vocabulary import byte_letters
 
 _WORD_CACHE, _TOKEN_CACHE = 300_000, 600_000
@@ -167,7 +167,9 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("hash"))
     middle = T.StructType([T.StructField("key", kind), T.StructField("hash", T.LongType()), T.StructField("packed", T.BinaryType())])
     # Written once: the range limits are found from the keys alone, and only packed ids are shuffled.
-    packed = pinned(rows.mapInArrow(tidied(encoded), middle))
+    between = scratch_path(docs.sparkSession, "packed_ids")
+    rows.mapInArrow(tidied(encoded), middle).write.option("compression", "zstd").parquet(between)
+    packed = docs.sparkSession.read.schema(middle).parquet(between)
     schema = T.StructType([
         T.StructField(key, kind), T.StructField("file_offset", T.LongType()), T.StructField("n_tokens", T.LongType()),
         T.StructField("ids", T.ArrayType(T.IntegerType())),
