@@ -10,10 +10,12 @@ pattern covers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import pinned
+from pairloom.llm.common import pinned, whole_row
 from pairloom.operators.joins import lookup_join
 
 KINDS = ("email", "ip", "card", "phone")
@@ -29,18 +31,46 @@ _FIND = {
 }
 # A run of letters and digits with inner separators that holds a digit.
 _CANDIDATE = r"(?<![A-Za-z0-9@._+/-])(?=[A-Za-z@._+/-]*+[0-9])[A-Za-z0-9]++(?:[@._+/-]++[A-Za-z0-9]++)*+"
+# Letters and digits that a discovered identifier has at least; shorter runs are numbers of any kind.
+LEAST_CHARS = 6
 _CHUNK = 256
 _CONTEXT = 60
 
 
-def _before(lengths: Column) -> Column:
-    """Running sums of an array before each place, in chunks, so that long arrays stay far from quadratic work."""
-    def total(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0), lambda a, x: a + x)
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once a row; inside a function over an array it would be evaluated once an element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _running(values: Column, zero: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """The values before each place of an array joined to one, in chunks, so that long arrays stay far from quadratic work."""
+    def fold(part: Column) -> Column:
+        return F.aggregate(part, zero, join)
+
+    def within(every: Column) -> Column:
+        starts = F.when(F.size(every) > 0, F.sequence(F.lit(0), F.floor((F.size(every) - 1) / _CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+        chunks = F.transform(starts, lambda k: fold(F.slice(every, k * _CHUNK + 1, F.lit(_CHUNK))))
+
+        def placed(heads: Column) -> Column:
+            return F.transform(every, lambda _, i: join(
+                F.get(heads, F.floor(i / _CHUNK).cast("int")), fold(F.slice(every, F.floor(i / _CHUNK).cast("int") * _CHUNK + 1, i % _CHUNK))))
+
+        return _bound(chunks, lambda c: _bound(F.transform(c, lambda _, k: fold(F.slice(c, F.lit(1), k))), placed))
+
+    return _bound(values, within)
+
+
+def _later(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _sooner(a: Column, b: Column) -> Column:
+    return F.least(a, b)
 
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _CHUNK).cast("int")), lambda k: total(F.slice(lengths, k * _CHUNK + 1, F.lit(_CHUNK))))
-    heads = F.transform(chunks, lambda _, k: total(F.slice(chunks, F.lit(1), k)))
-    return F.transform(lengths, lambda _, i: heads[F.floor(i / _CHUNK).cast("int")] + total(F.slice(lengths, F.floor(i / _CHUNK).cast("int") * _CHUNK + 1, i % _CHUNK)))
+
+def _before(lengths: Column) -> Column:
+    """Running sums of an array before each place."""
+    return _running(lengths, F.lit(0), lambda a, x: a + x)
 
 
 def _occurrences(df: DataFrame, text: str, pattern: str, out: str, least: int = 0) -> DataFrame:
@@ -116,6 +146,31 @@ def _patterns(df: DataFrame) -> DataFrame:
     return df.select("*", F.explode(usable).alias("pattern"))
 
 
+def _apart(found: Column, base: Column) -> Column:
+    """The spans of ``found`` that overlap none of ``base``: both in one order by start, with the farthest end before and the next start behind each."""
+    mark = lambda spans, t: F.transform(spans, lambda s: F.struct(s["start"].alias("p"), F.lit(t).alias("t"), s["end"].alias("e"), s.alias("s")))
+    far = F.lit((1 << 31) - 1)
+
+    def kept(every: Column) -> Column:
+        ends = _running(F.transform(every, lambda x: F.when(x["t"] == 0, x["e"]).otherwise(0)), F.lit(0), _later)
+        starts = F.reverse(_running(F.reverse(F.transform(every, lambda x: F.when(x["t"] == 0, x["p"]).otherwise(far))), far, _sooner))
+        return _bound(ends, lambda a: _bound(starts, lambda b: F.transform(
+            F.filter(every, lambda x, i: (x["t"] == 1) & (F.get(a, i) <= x["p"]) & (F.get(b, i) >= x["e"])), lambda x: x["s"])))
+
+    return F.when(F.size(found) == 0, found).otherwise(_bound(F.array_sort(F.concat(mark(base, 0), mark(found, 1))), kept))
+
+
+def _scanned(docs: DataFrame, text: str) -> DataFrame:
+    """The rows as struct ``row``, so that no column name can clash, with ``text_md5``, the ``base`` spans, and ``seen``:
+    (kind, span) of every base span and of every candidate beside them. Written once: each text is scanned once."""
+    df = with_base_spans(docs.select(whole_row(docs), F.col(f"`{text}`").alias("text")))
+    df = _occurrences(df, "_text", _CANDIDATE, "_other", least=LEAST_CHARS)
+    base = F.concat(*[_places(f"_{k}", n) for n, k in enumerate(KINDS)])
+    apart = _apart(F.col("_other"), F.concat(*[F.col(f"_{k}") for k in KINDS]))
+    seen = F.concat(*[_marked(f"_{k}", n) for n, k in enumerate(KINDS)], _marked(apart, -1))
+    return pinned(df.select("row", F.md5("_text").alias("text_md5"), base.alias("base"), seen.alias("seen")))
+
+
 def discovered(docs: DataFrame, rounds: int = 3, least: int = 3, good: float = 0.8, text: str = "text") -> DataFrame:
     """``text_md5`` and ``found``, an array of (kind, start, end), for each text in which patterns discover identifiers.
 
@@ -123,14 +178,11 @@ def discovered(docs: DataFrame, rounds: int = 3, least: int = 3, good: float = 0
     discovers from score ``good`` on. Copies of a text count once. Scores, not texts,
     move in the rounds; each round is written to the shared folder.
     """
-    df = with_base_spans(docs.select(text), text)
-    df = _occurrences(df, "_text", _CANDIDATE, "_other", least=6)
-    every = F.concat(*[F.transform(f"_{k}", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"))) for k in KINDS])
-    tagged = F.concat(
-        *[_marked(f"_{k}", n) for n, k in enumerate(KINDS)],
-        _marked(F.filter("_other", lambda s: ~F.exists("_every", lambda e: (e["a"] < s["end"]) & (s["start"] < e["b"]))), -1),
-    )
-    rows = df.withColumn("_every", every).select("_text", F.explode(tagged).alias("x")).select(F.md5("_text").alias("text_md5"), "x.kind", "x.s")
+    return _discovered(_scanned(docs, text), rounds, least, good)
+
+
+def _discovered(scanned: DataFrame, rounds: int, least: int, good: float) -> DataFrame:
+    rows = scanned.select("text_md5", F.explode("seen").alias("x")).select("text_md5", "x.kind", "x.s")
     seen = pinned(_patterns(rows).select("text_md5", "kind", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.lower("s.value").alias("value"), "pattern"))
     edges = pinned(seen.groupBy("pattern", "value").agg(F.max("kind").alias("kind")))
     score = edges.where("kind >= 0").groupBy("value").agg(F.max("kind").alias("of")).select("value", "of", F.lit(1.0).alias("score"))
@@ -155,14 +207,12 @@ def discovered(docs: DataFrame, rounds: int = 3, least: int = 3, good: float = 0
 
 
 def _spans_of(docs: DataFrame, rounds: int, least: int, good: float, text: str) -> DataFrame:
-    """The rows of ``docs`` as struct ``row``, so that no column name can clash, with ``text``, ``base`` and ``spans``."""
-    new = pinned(discovered(docs.select(F.col(f"`{text}`").alias("text")), rounds, least, good))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-    base = F.concat(*[_places(f"_{k}", n) for n, k in enumerate(KINDS)])
-    found = with_base_spans(rows).select("row", "text", base.alias("base"), F.md5("_text").alias("text_md5"))
-    found = lookup_join(found, new, "text_md5", "left", spread_by=["row"])
+    """The rows of ``docs`` as struct ``row`` with ``text``, ``base`` and ``spans``."""
+    scanned = _scanned(docs, text)
+    new = pinned(_discovered(scanned, rounds, least, good))
+    found = lookup_join(scanned.drop("seen"), new, "text_md5", "left", spread_by=["row"])
     spans = F.when(F.col("found").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "found")))
-    return found.select("row", "text", "base", spans.alias("spans"))
+    return found.select("row", F.col(f"row.`{text}`").alias("text"), "base", spans.alias("spans"))
 
 
 def find_pii(docs: DataFrame, rounds: int = 3, least: int = 3, good: float = 0.8, text: str = "text") -> DataFrame:
@@ -196,9 +246,8 @@ def redacted(docs: DataFrame, text: str = "text", rounds: int = 3, least: int =
     df = _spans_of(docs, rounds, least, good, text)
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     df = df.withColumn("ordered", ordered)
-    earlier = F.transform("ordered", lambda s, i: F.struct(
-        F.greatest(s["start"], F.coalesce(F.array_max(F.transform(F.slice(F.col("ordered"), F.lit(1), i), lambda p: p["end"])), F.lit(0))).alias("start"),
-        s["end"].alias("end"), s["kind"].alias("kind")))
+    before = _running(F.transform("ordered", lambda s: s["end"]), F.lit(0), _later)
+    earlier = _bound(before, lambda far: F.transform("ordered", lambda s, i: F.struct(F.greatest(s["start"], F.get(far, i)).alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     df = df.withColumn("clear", F.filter(earlier, lambda s: s["start"] < s["end"]))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
