@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairloom.session import pinned, scratch_path, shared_dir
 
-__all__ = ["first_column", "pinned", "read", "scratch_path", "shared_dir", "text_slices", "tidied"]
+__all__ = ["first_column", "pinned", "read", "scratch_path", "shared_dir", "text_slices", "tidied", "whole_row"]
 
 SLICE_BYTES = 2 << 20
 
@@ -20,6 +21,11 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as the struct ``row``, so that no name can clash; ``select("row.*")`` gives them back."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row")
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with at most ``limit`` bytes of text (one row may hold more)."""
     for batch in batches:

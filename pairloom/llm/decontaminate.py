@@ -1,7 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed is a fixed mask over consecutive tokens; the ignored places may hold anything,
-so a substituted word does not hide a passage. Seeds of the benchmark meet equal seeds
+so a substituted word does not hide a passage. The masks are computed from the window
+and the share of tokens that must agree: whatever tokens of a window the rule lets
+differ, one mask ignores them all. Seeds of the benchmark meet equal seeds
 of the documents in a join on (mask, hash). A Bloom filter of the benchmark's seeds,
 of bounded size, keeps almost all other document seeds out of that join; it can only
 let too many pass. Each hit fixes how passage and document lie against each other, and
@@ -10,6 +12,8 @@ the overlap around it is verified token by token.
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -21,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.common import first_column, pinned, text_slices, tidied
+from pairloom.llm.common import first_column, pinned, text_slices, tidied, whole_row
 from pairloom.operators.joins import lookup_join
 
-# Kept places (1) of each mask: every place but the ends is ignored by one of the first three.
-MASKS = ("101101101101", "110110110111", "111011011011", "111111111")
-LEAST_TOKENS = 5
+# Masks per window length; more masks let each keep more places.
+MOST_MASKS = 4
+LEAST_TOKENS = 1
+_MOST_PATTERNS = 20_000
 _WORD = re.compile(r"\w+")
 _CACHE = 200_000
 _PROBES = 8
@@ -66,9 +71,48 @@ def _seed_hashes(tokens: np.ndarray, mask: str, table: int) -> np.ndarray:
     return _mixed(out)
 
 
-def _tables(short: list[int]) -> list[tuple[int, str]]:
-    """Numbered masks: the fixed ones, and a whole-item mask for each length of items too short for them."""
-    return [*enumerate(MASKS), *[(100 + n, "1" * n) for n in short]]
+def covering_masks(window: int, wrong: int) -> list[str]:
+    """Masks (1: kept place) of which, wherever ``wrong`` of ``window`` tokens are substituted, one fits a place that keeps none of them.
+
+    All masks keep the same number of places, the largest for which at most ``MOST_MASKS``
+    masks do; they are chosen greedily by the substitution patterns that they still miss. For
+    a window with too many patterns to list, one unbroken mask does: of ``wrong`` + 1 equal
+    stretches of the window, one has no substitution.
+    """
+    if wrong == 0:
+        return ["1" * window]
+    unbroken = "1" * max(1, window // (wrong + 1))
+    if math.comb(window, wrong) > _MOST_PATTERNS or window > 20:
+        return [unbroken]
+    patterns = [sum(1 << p for p in places) for places in itertools.combinations(range(window), wrong)]
+    for kept in range(window - wrong, len(unbroken), -1):
+        masks = []
+        for span in range(kept, window + 1):
+            for inner in itertools.combinations(range(1, span - 1), kept - 2) if kept > 1 else [()]:
+                mask = 1 | sum(1 << p for p in inner) | 1 << (span - 1)
+                placed = [mask << shift for shift in range(window - span + 1)]
+                masks.append((span, mask, {n for n, pattern in enumerate(patterns) if any(not pattern & p for p in placed)}))
+        chosen, missed = [], set(range(len(patterns)))
+        while missed and len(chosen) < MOST_MASKS:
+            span, mask, met = max(masks, key=lambda m: (len(m[2] & missed), -m[0], m[1]))
+            if not met & missed:
+                break
+            chosen.append("".join("1" if mask >> p & 1 else "0" for p in range(span)))
+            missed -= met
+        if not missed:
+            return chosen
+    return [unbroken]
+
+
+def _wrong(length: int, share: float) -> int:
+    """How many of ``length`` tokens may differ when ``share`` of them must agree."""
+    return length - math.ceil(share * length - 1e-9)
+
+
+def _tables(window: int, share: float, short: list[int]) -> list[tuple[int, str, int]]:
+    """(number, mask, length of the passages it is for; 0: all of at least ``window`` tokens)."""
+    lengths = [(0, window), *[(n, n) for n in short]]
+    return [(100 * n + at, mask, n) for n, w in lengths for at, mask in enumerate(covering_masks(w, _wrong(w, share)))]
 
 
 def _items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
@@ -85,13 +129,13 @@ def _items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
     return benchmark.select(benchmark[key].alias("key"), benchmark[text].alias("text")).mapInArrow(tidied(run), schema)
 
 
-def _item_seeds(items: DataFrame, tables: list[tuple[int, str]]) -> DataFrame:
+def _item_seeds(items: DataFrame, tables: list[tuple[int, str, int]], window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, packed in zip(first_column(batch, "item").to_pylist(), first_column(batch, "item_tokens").to_pylist(), strict=True):
                 tokens = np.frombuffer(packed, "<u8")
-                for table, mask in tables:
-                    if table >= 100 and len(tokens) != len(mask):
+                for table, mask, length in tables:
+                    if length != (len(tokens) if len(tokens) < window else 0):
                         continue
                     hashes = _seed_hashes(tokens, mask, table)
                     n = len(hashes)
@@ -136,7 +180,7 @@ def _passing(hashes: np.ndarray, bloom: np.ndarray) -> np.ndarray:
     return at
 
 
-def _document_hits(docs: DataFrame, tables: list[tuple[int, str]], bloom: np.ndarray, key: str, text: str) -> DataFrame:
+def _document_hits(docs: DataFrame, tables: list[tuple[int, str, int]], bloom: np.ndarray, key: str, text: str) -> DataFrame:
     """Documents with seeds that pass the filter: packed tokens and the seeds (table, hash, place)."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom)  # at most 32 MB
     kind = docs.schema[key].dataType
@@ -149,7 +193,7 @@ def _document_hits(docs: DataFrame, tables: list[tuple[int, str]], bloom: np.nda
             tokens = np.array([h for x in lists for h in x], np.uint64)
             doc, first = np.repeat(np.arange(len(lists)), sizes), np.cumsum(sizes) - sizes
             found = []
-            for table, mask in tables:
+            for table, mask, _ in tables:
                 hashes = _seed_hashes(tokens, mask, table)
                 at = _passing(hashes, bits)
                 at = at[doc[at] == doc[at + len(mask) - 1]]
@@ -173,7 +217,7 @@ def _document_hits(docs: DataFrame, tables: list[tuple[int, str]], bloom: np.nda
         T.StructField("row", T.LongType()), T.StructField("doc_key", kind), T.StructField("doc_tokens", T.BinaryType()),
         T.StructField("tables", T.ArrayType(T.IntegerType())), T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType())),
     ])
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(tidied(run), schema)
+    return docs.select(docs[f"`{key}`"].alias("key"), docs[f"`{text}`"].alias("text")).mapInArrow(tidied(run), schema)
 
 
 def _best_overlap(same: np.ndarray, window: int, share: float) -> tuple[int, int]:
@@ -198,16 +242,16 @@ def find_contaminated(
     """One row per document and passage that overlap: keys, ``n_tokens`` of the longest overlap, ``n_matched`` of them.
 
     An overlap has at least ``window`` tokens (a shorter passage: all of it) and each
-    window in it matches by ``share``. Passages under five tokens are not looked for:
-    they identify no text. Null and empty texts overlap nothing; repeated rows with one
-    key give one row per key pair; a null key counts as a key; other columns are
-    ignored; either table may be empty.
+    window in it matches by ``share``; every such overlap is found, wherever its
+    substituted tokens stand. Passages of any length count; one without a token overlaps
+    nothing, and neither do null and empty texts. Repeated rows with one key give one row
+    per key pair; a null key counts as a key; other columns are ignored, whatever their
+    names; either table may be empty.
     """
     items = pinned(_items(benchmark, item_key, item_text))
-    shortest = min(len(m) for m in MASKS)
-    lengths = items.select((F.octet_length("item_tokens") / 8).cast("int").alias("n")).where(F.col("n").between(LEAST_TOKENS, shortest - 1)).distinct()
-    tables = _tables(sorted(r["n"] for r in lengths.collect()))  # at most four lengths
-    seeds = pinned(_item_seeds(items, tables).dropDuplicates(["table", "hash", "item", "item_place"]))
+    lengths = items.select((F.octet_length("item_tokens") / 8).cast("int").alias("n")).where(F.col("n").between(LEAST_TOKENS, window - 1)).distinct()
+    tables = _tables(window, share, sorted(r["n"] for r in lengths.collect()))  # fewer lengths than the window
+    seeds = pinned(_item_seeds(items, tables, window).dropDuplicates(["table", "hash", "item", "item_place"]))
     hits = pinned(_document_hits(docs, tables, _bloom(seeds), key, text))
     flat = hits.select("row", F.explode(F.arrays_zip("tables", "hashes", "places")).alias("x")).select("row", F.col("x.tables").alias("table"), F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
     met = lookup_join(flat, seeds, ["table", "hash"], spread_by=["row", "place"])
@@ -240,8 +284,9 @@ def find_contaminated(
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that overlap a passage; rows that share a key go together; all columns stay."""
-    found = pinned(find_contaminated(docs, benchmark, key=key, text=text, **options).select(key).distinct())
-    bare = found.where(F.col(key).isNull()).isEmpty()
-    kept = lookup_join(docs, found.where(F.col(key).isNotNull()), key, "left_anti").select(*docs.columns)
-    return kept if bare else kept.where(F.col(key).isNotNull())
+    """``docs`` without the documents that overlap a passage; rows that share a key go together; all columns stay, whatever their names."""
+    rows = docs.select(docs[f"`{key}`"].alias("key"), docs[f"`{text}`"].alias("text"), whole_row(docs))
+    found = pinned(find_contaminated(rows, benchmark, key="key", text="text", **options).select("key").distinct())
+    bare = found.where(F.col("key").isNull()).isEmpty()
+    kept = lookup_join(rows.drop("text"), found.where(F.col("key").isNotNull()), "key", "left_anti", spread_by=["row"])
+    return (kept if bare else kept.where(F.col("key").isNotNull())).select("row.*")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.common import first_column, pinned, text_slices, tidied
+from pairloom.llm.common import first_column, pinned, text_slices, tidied, whole_row
 from pairloom.llm.components import components
 from pairloom.operators.joins import lookup_join
 
@@ -173,34 +173,40 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
     component of its fingerprint, null if no key is known there. Other columns are
     ignored, whatever their names; an empty table gives an empty result.
     """
-    printed = pinned(fingerprints(docs, shingle, seed, key, text))
-    nodes = pinned(printed.groupBy("fingerprint").agg(F.min(key).alias("first")))
+    if key in ("fingerprint", "component_id"):
+        raise ValueError(f"the key column must have another name than {key}: the result has a column of that name")
+    printed = pinned(fingerprints(docs.select(docs[f"`{key}`"].alias("key"), docs[f"`{text}`"].alias("text")), shingle, seed, "key", "text"))
+    nodes = pinned(printed.groupBy("fingerprint").agg(F.min("key").alias("first"), F.count("*").alias("n")))
     roots = components(links(nodes.select("fingerprint"), radius))
     of_node = nodes.join(roots, nodes.fingerprint == roots.node, "left")
     root = F.coalesce("root", "fingerprint")
-    lowest = of_node.groupBy(root.alias("root")).agg(F.min("first").alias("component_id"))
-    # Only fingerprints that are linked or shared need the table; it holds each once.
-    table = pinned(of_node.select("fingerprint", root.alias("root")).join(lowest, "root").select("fingerprint", "component_id"))
-    return lookup_join(printed, table, "fingerprint", "left", spread_by=[key]).select(key, "fingerprint", "component_id")
+    # Only fingerprints that are linked or shared need the table; any other document is its own component.
+    grouped = of_node.where(F.col("root").isNotNull() | (F.col("n") > 1)).select("fingerprint", "first", root.alias("root"))
+    lowest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    table = pinned(grouped.select("fingerprint", "root").join(lowest, "root").select("fingerprint", "component_id", F.lit(True).alias("grouped")))
+    joined = lookup_join(printed, table, "fingerprint", "left", spread_by=["key"])
+    component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("key"))
+    return joined.select(F.col("key").alias(key), "fingerprint", component.alias("component_id"))
 
 
 def without_near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest key.
 
     Rows that share a key are one document, of which one row stays. Rows without a key
-    stay if no document with a key is in their group.
+    stay if no document with a key is in their group. All columns stay, whatever their names.
     """
-    found = pinned(near_duplicates(docs, radius, shingle, seed, key, text))
-    keyed = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.col("component_id") != F.col(key)).alias("drop"), F.count("*").alias("n"))
+    rows = docs.select(docs[f"`{key}`"].alias("key"), docs[f"`{text}`"].alias("text"), whole_row(docs))
+    found = pinned(near_duplicates(rows, radius, shingle, seed, "key", "text"))
+    keyed = found.where("key is not null").groupBy("key").agg(F.min(F.col("component_id") != F.col("key")).alias("drop"), F.count("*").alias("n"))
     special = pinned(keyed.where("drop or n > 1"))
-    unkeyed = found.where(F.col(key).isNull() & F.col("component_id").isNotNull()).select("fingerprint").distinct()
-    named = docs.where(F.col(key).isNotNull())
-    plain = lookup_join(named, special.select(key), key, "left_anti")
-    repeated = lookup_join(named, special.where("not drop").select(key), key, "left_semi").dropDuplicates([key])
-    kept = plain.select(*docs.columns).unionByName(repeated.select(*docs.columns))
-    bare = docs.where(F.col(key).isNull())
+    unkeyed = found.where("key is null and component_id is not null").select("fingerprint").distinct()
+    named = rows.where("key is not null").select("key", "row")
+    plain = lookup_join(named, special.select("key"), "key", "left_anti", spread_by=["row"])
+    repeated = lookup_join(named, special.where("not drop").select("key"), "key", "left_semi", spread_by=["row"]).dropDuplicates(["key"])
+    kept = plain.select("row.*").unionByName(repeated.select("row.*"))
+    bare = rows.where("key is null")
     if bare.isEmpty():
         return kept
-    marked = bare.withColumn("_row", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    lost = fingerprints(marked, shingle, seed, "_row", text).distinct().join(unkeyed, "fingerprint", "left_semi").select("_row")
-    return kept.unionByName(marked.join(lost, "_row", "left_anti").select(*docs.columns))
+    marked = bare.select("row", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    lost = fingerprints(marked, shingle, seed, "mark", "text").distinct().join(unkeyed, "fingerprint", "left_semi").select("mark")
+    return kept.unionByName(marked.join(lost, "mark", "left_anti").select("row.*"))

@@ -288,20 +288,24 @@ def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "t
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose score reaches ``threshold``; all columns stay as they are."""
+    """``docs`` without the rows whose score reaches ``threshold``; all columns stay as they are, whatever their names."""
     lexicon = fit(docs, labels, key=key, text=text)
     a, b, c = lexicon.curve
-    fields = docs.columns
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    of_text = names[docs.columns.index(text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for part in text_slices(batches, text):
+        for part in text_slices(batches, of_text):
             keep = []
-            for value in first_column(part, text).to_pylist():
+            for value in first_column(part, of_text).to_pylist():
                 weight = math.fsum(m[2] for m in _matches(automaton, value or ""))
                 words = max(len((value or "").split()), 1)
                 line = a + b * math.log1p(weight) + c * math.log1p(100 * weight / words)
                 keep.append(1 / (1 + math.exp(-min(max(line, -700), 700))) < threshold)
             yield part.filter(pa.array(keep))
 
-    return docs.select(*fields).mapInArrow(tidied(run), docs.schema)
+    # Plain names on the way: a table function takes no column with a dot in its name.
+    plain = docs.select(*[docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    kept = plain.mapInArrow(tidied(run), plain.schema)
+    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

@@ -1,13 +1,16 @@
 """SimHash groups, components and decontamination against brute force."""
 
+import itertools
+import math
 import random
 import re
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from pairloom.llm import decontaminate, simhash
+from pairloom.llm import decontaminate, pii, simhash, toxicity
 from pairloom.llm.components import components
 
 
@@ -141,6 +144,73 @@ def test_planted_passages_are_found_and_others_left(spark):
     assert decontaminate.find_contaminated(docs.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize(("window", "wrong"), [(13, 2), (5, 1), (9, 1), (10, 2), (12, 2), (8, 3), (4, 0), (1, 0), (50, 10)])
+def test_masks_cover_every_substitution(window, wrong):
+    masks = decontaminate.covering_masks(window, wrong)
+    assert len(masks) <= decontaminate.MOST_MASKS and all(m[0] == m[-1] == "1" and len(m) <= window for m in masks)
+    draw = random.Random(1)
+    patterns = itertools.combinations(range(window), wrong) if math.comb(window, wrong) < 10_000 else (draw.sample(range(window), wrong) for _ in range(2000))
+    for places in patterns:
+        assert any(all(shift + p not in places for p, kept in enumerate(m) if kept == "1") for m in masks for shift in range(window - len(m) + 1))
+
+
+def test_every_allowed_substitution_is_found(spark):
+    """Documents with a 13-token stretch of a passage and two substituted tokens anywhere in it; passages of 1 to 12 tokens likewise."""
+    words = [f"p{i}" for i in range(15)]
+    texts, want, key = [], set(), 0
+    for start in (0, 2):
+        for places in itertools.combinations(range(13), 2):
+            part = [f"x{key}" if i in places else w for i, w in enumerate(words[start:start + 13])]
+            texts.append((key, f"left{key} " + " ".join(part) + f" right{key}"))
+            want.add((key, 0))
+            key += 1
+    items = [(0, " ".join(words))]
+    for n in range(1, 13):
+        short = [f"s{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(short)))
+        wrong = n - math.ceil(0.8 * n - 1e-9)
+        for places in itertools.combinations(range(n), wrong):
+            texts.append((key, "a b " + " ".join(f"x{key}" if i in places else w for i, w in enumerate(short)) + " c d"))
+            want.add((key, n))
+            key += 1
+        for places in itertools.combinations(range(n), wrong + 1):  # one too many
+            texts.append((key, "a b " + " ".join(f"x{key}" if i in places else w for i, w in enumerate(short)) + " c d"))
+            key += 1
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)
+    found = decontaminate.find_contaminated(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want
+    assert want == {(i, j) for i, t in texts for j, p in items if contaminated(t, p)}
+
+
+ODD = {"a.b": 1, "row": 2, "_row": 3, "key": 4, "fingerprint": 5, "component_id": 6, "hash": 7, "text_md5": "m", "spans": "s", "score": 0.5, "item": 8}
+
+
+def with_odd_columns(df):
+    return df.withColumns({f"{c}": F.lit(v) for c, v in ODD.items()})
+
+
+def test_filters_keep_columns_of_any_name(spark):
+    rows = [(1, "one two three four five six"), (2, "one two three four five six"), (None, "one two three four five six"), (None, "quite another text of words"),
+            (3, "a passage of the benchmark with more than five words"), (3, "a passage of the benchmark with more than five words"), (None, None), (None, ""), (4, None)]
+    docs = with_odd_columns(spark.createDataFrame(rows, "doc_id bigint, text string")).repartition(3)
+    items = spark.createDataFrame([(1, rows[4][1])], "item_id bigint, text string")
+    labels = spark.createDataFrame([(1, 0), (3, 1)], "doc_id bigint, toxic int")
+    for kept, want in (
+        (simhash.without_near_duplicates(docs), [(1, rows[0][1]), (3, rows[4][1]), (4, None), (None, rows[3][1])]),
+        (decontaminate.without_contaminated(docs, items), [r for r in rows if r[0] != 3]),
+        (toxicity.without_toxic(docs, labels), None),
+        (pii.redacted(docs), rows),
+    ):
+        assert kept.columns == docs.columns
+        got = kept.collect()
+        assert all([r[c] for c in ODD] == list(ODD.values()) for r in got)
+        if want is not None:
+            assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+    assert {r.component_id for r in simhash.near_duplicates(docs).where("doc_id = 2").collect()} == {1}
+    with pytest.raises(ValueError, match="another name"):
+        simhash.near_duplicates(docs, key="fingerprint")
+
+
 def test_overlap_rule():
     same = np.array([1, 1, 1, 1, 0, 0, 0, 1, 1, 1, 1, 1, 0, 1, 1])
     assert decontaminate._best_overlap(same, 5, 0.8) == (9, 7)
