@@ -440,6 +440,12 @@ ORACLES: dict[str, str] = {
       SELECT pair_id, (len(o) % 12)::INT AS n_words, round(sqrt(list_sum(list_transform(vec, lambda x: x * x))), 6) AS length FROM ep JOIN k ON key = len(o) % 12""",
     "vector_lookup_misses": f"WITH {DOCS} SELECT count(*) AS misses FROM ep WHERE len(o) % 12 NOT IN (SELECT label FROM embeddings)",
     "word2vec_fit": f"WITH {SENTENCES} SELECT word, 16 AS width FROM wc WHERE n >= 3",
+    "skipgram_fit": f"WITH {SENTENCES} SELECT word, 16 AS width FROM wc WHERE n >= 3",
+    "neighbour_counts": f"""WITH {SENTENCES}, vocab AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS id FROM wc WHERE n > 20),
+      t AS (SELECT doc_id, unnest(g) AS word, generate_subscripts(g, 1) AS i FROM docs),
+      k AS (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM t JOIN vocab USING (word)),
+      one AS (SELECT a.id AS word, b.id AS near FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.p - a.p IN (1, 2))
+      SELECT word, near, count(*) AS n FROM (FROM one UNION ALL SELECT near, word FROM one) GROUP BY ALL""",
     "word_counts": f"WITH {SENTENCES} SELECT word, n FROM wc",
     "corpus_file": f"WITH {SENTENCES} SELECT word, n FROM wc",
     "rare_to_unk": f"""WITH {SENTENCES}, r AS (SELECT d.doc_id, d.i, CASE WHEN n <= 3 THEN 'UNK' ELSE d.word END AS word

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pairloom.functions import text as X
 from pairloom.functions import vectors as V
 from pairloom.functions.ngrams import kept_fragments
-from pairloom.operators import corpus, ordering, overlap, pairs, phrases, retrieval
+from pairloom.operators import corpus, ordering, overlap, pairs, phrases, retrieval, skipgram
 from pairloom.plans import features, scorecards
 from pairloom.plans import views as v
 from pairloom.session import pinned, scratch_path
@@ -532,6 +532,21 @@ def word2vec_fit(spark, d):
     return corpus.word_vectors(model).select("word", F.size("vec").alias("width"))
 
 
+@query
+def skipgram_fit(spark, d):
+    """Vectors trained without a vocabulary on the driver: every frequent word has one of the asked width."""
+    vecs = skipgram.train_skipgram(_sentences(spark, d), vector_size=16, window=2, rounds=2, seed=SEED)
+    return vecs.select("word", F.size("vec").alias("width"))
+
+
+@query
+def neighbour_counts(spark, d):
+    """How often two words of the corpus stand at most two places apart, words below the least count left out."""
+    s = _sentences(spark, d)
+    vocabulary = corpus.word_ids(corpus.word_counts(s).where(F.col("n") > 20))
+    return skipgram.pair_counts(corpus.token_ids(s, vocabulary, F.col("words"), row_id="sent_id"), window=2)
+
+
 @query
 def vocabulary_ids(spark, d):
     return corpus.word_ids(corpus.word_counts(_sentences(spark, d)))
