@@ -38,15 +38,23 @@ _SAME = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd",
 _SAME = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _SAME.items()}
 _SCOPE = frozenset("html body table td th article section main div blockquote li ul ol button object template".split())
 _NAMES = frozenset(
-    "ad ads adsbox advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation "
+    "ad ads adsbox advert adverts advertisement advertising sponsor sponsored promo banner sidebar aside menu nav navbar navigation "
     "breadcrumb breadcrumbs header masthead footer colophon cookie cookies consent gdpr notice notices notification alert popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist respond disqus replies "
     "skip pagination pager toolbar widget".split())
+# Words beside such a name that do not change what it names.
+_PLAIN = frozenset(
+    "area bar block body bottom box btn button buttons col column container content desktop group icon icons inner item items left level link links list "
+    "main mobile outer page panel primary right row secondary section site slot small sticky title top unit wrap wrapper global fixed has".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/]|$))""", re.I)
+_PLAIN_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>(){3}", re.S)
+_COMMENT = re.compile(r"<[!?]")
+# Tags with a quote that nothing closes, after which quotes are no longer trusted: each costs a look at the whole rest of the page.
+_ODD_QUOTES = 50
 _NAME = re.compile(r"[a-z0-9]+")
 
 
@@ -70,11 +78,17 @@ def _is_boilerplate(tag: str, attributes: str, nested: bool) -> bool:
             # Comments may be articles of their own; the article itself may say that it has comments.
             if nested and "comment" in value:
                 return True
-        elif not _NAMES.isdisjoint(_NAME.findall(value)):
+        elif any(_names_boilerplate(word) for word in value.split()):
             return True
     return False
 
 
+def _names_boilerplate(word: str) -> bool:
+    """Whether a class or id names boilerplate: ``cookie-notice`` and ``site-header`` do, ``article-header`` and ``related-work`` do not."""
+    parts = [p for p in _NAME.findall(word) if not p.isdigit()]
+    return not _NAMES.isdisjoint(parts) and all(p in _NAMES or p in _PLAIN for p in parts)
+
+
 class _Page:
     """One pass over a page: elements with their parents and subtree hashes, and text blocks in order."""
 
@@ -83,17 +97,22 @@ class _Page:
         self.blocks: list[tuple[int, str]] = []
         self.stack, self.digests = [0], [xxhash.xxh3_64()]
         self.run: list[str] = []
-        self.inside_article = 0
-        at = 0
-        lowered = None
+        self.open_tags: dict[str, int] = {}
+        self.block_of = [0]
+        at = odd = 0
+        lowered, last, finder = None, source.rfind(">"), _TAG
         while True:
-            match = _TAG.search(source, at)
-            if match is None:
-                self.text(source[at:])
+            # Behind the last bracket no tag ends; looking for one at every place would be quadratic.
+            match = finder.search(source, at) if at <= last else _COMMENT.search(source, at)
+            if match is None or at > last:
+                self.text(source[at:match.start() if match else len(source)])
                 break
             self.text(source[at:match.start()])
             at = match.end()
             slash, name, attributes = (match[1], match[2], match[3]) if match[2] else (match[4], match[5], match[6])
+            if match[5] and ('"' in attributes or "'" in attributes):
+                odd += 1
+                finder = _PLAIN_TAG if odd >= _ODD_QUOTES else finder
             if not name:
                 continue
             tag = name.lower()
@@ -129,10 +148,7 @@ class _Page:
             self.run.clear()
             if value:
                 # The block belongs to the innermost element that is a block itself.
-                node = self.stack[-1]
-                while self.tags[node] not in _BLOCK and node:
-                    node = self.parents[node]
-                self.blocks.append((node, value))
+                self.blocks.append((self.block_of[self.stack[-1]], value))
 
     def open(self, tag: str, attributes: str) -> None:
         if tag in _ENDS_P:
@@ -144,7 +160,7 @@ class _Page:
         elif tag in ("br", "img", "wbr"):
             self.run.append("" if tag == "wbr" else " ")
         parent = self.stack[-1]
-        nested = any(self.tags[n] == "article" for n in self.stack) if tag == "article" else False
+        nested = tag == "article" and self.open_tags.get(tag, 0) > 0
         dropped = self.dropped[parent] or _is_boilerplate(tag, attributes, nested)
         if dropped and not self.dropped[parent]:
             self.flush_inline()
@@ -153,6 +169,8 @@ class _Page:
         self.dropped.append(dropped)
         self.hashes.append(0)
         self.stack.append(len(self.tags) - 1)
+        self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
+        self.block_of.append(len(self.tags) - 1 if tag in _BLOCK else self.block_of[parent])
         self.digests.append(xxhash.xxh3_64(tag))
 
     def flush_inline(self) -> None:
@@ -163,6 +181,7 @@ class _Page:
         if self.tags[node] in _BLOCK:
             self.flush()
         self.stack.pop()
+        self.open_tags[self.tags[node]] -= 1
         digest = self.digests.pop().intdigest()
         self.hashes[node] = digest - (1 << 63)
         if not self.dropped[node]:
@@ -172,12 +191,14 @@ class _Page:
         if tag == "br":
             self.run.append(" ")
             return
-        if any(self.tags[n] == tag for n in reversed(self.stack)):
+        if self.open_tags.get(tag):
             while self.tags[self.stack[-1]] != tag:
                 self.pop()
             self.pop()
 
     def close_if_open(self, tags: frozenset, bounds: frozenset) -> None:
+        if not any(self.open_tags.get(t) for t in tags):
+            return
         for node in reversed(self.stack):
             if self.tags[node] in tags:
                 while self.stack[-1] != node:

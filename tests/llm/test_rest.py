@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,48 @@ def test_odd_markup(source, text):
     assert html_text._Page(source).main_text(set()) == text
 
 
+def test_article_text_stays_whatever_its_class():
+    page = html_text._Page
+    source = """<body><div class="site-header">h</div><article><div class="article-header"><h1>Title</h1></div><p class="promotion">One</p>
+    <section class="related-work"><p>Two</p></section><div class="ad-slot-3">x</div><div id="cookie-notice">y</div><p class="lead">Three</p><div class="share-buttons">z</div></article></body>"""
+    assert page(source).main_text(set()) == "Title\nOne\nTwo\nThree"
+
+
+@pytest.mark.parametrize("odd", [
+    "<a " * 300_000, "<b>" * 40_000 + "</i>" * 40_000 + "x", "<a x='>" * 60_001, "<p><b>" * 50_000, "<" * 500_000, "<!--" * 100_000, "<li>" * 50_000 + "</ul>" * 50_000,
+    "<b>" * 50_000 + "<p>t</p>" * 20_000, "&" * 500_000, "<div class='" + "ad-" * 200_000 + "'>x</div>",
+])
+def test_odd_markup_takes_linear_time(odd):
+    start = time.process_time()
+    text = html_text._Page("<article><p>before</p></article>" + odd).main_text(set())
+    assert text.split("\n")[0].startswith("before") and time.process_time() - start < 15
+
+
+def test_generated_pages_give_their_article(spark):
+    """Pages built from parts whose place in the article is known; the site's parts recur on every page of a host."""
+    draw = random.Random(7)
+    words = lambda: " ".join(f"{draw.choice('abcdefg')}{draw.randrange(10_000)}" for _ in range(draw.randrange(3, 9)))
+    rows, want = [], {}
+    for n in range(60):
+        blocks, parts = [], []
+        for _ in range(draw.randrange(2, 7)):
+            text = words()
+            kind = draw.randrange(7)
+            if kind < 3:
+                blocks.append(text)
+                parts.append([f"<p>{text}</p>", f"<h2 class='article-title'>{text}</h2>", f"<div><section>\n {text} </section></div>"][kind])
+            elif kind == 3:
+                blocks.append(f"{text} & <b>")
+                parts.append(f"<p>{text}\t&amp; <i>&lt;b&gt;</i>")
+            else:
+                parts.append([f"<div class='ad'>{text}</div>", f"<aside>{text}</aside>", f"<form><p>{text}</p></form>"][kind - 4])
+        site = f"<div class='trail'>you are on host{n % 2}</div>"
+        rows.append((n, f"http://host{n % 2}.org/{n}", f"<html><body><nav>menu</nav><article>{site}{''.join(parts)}<div class='comments'><p>no</p></div></article><footer>f</footer></body></html>"))
+        want[n] = "\n".join(blocks)
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == want
+
+
 # Toxicity
 
 def corpus(n, seed=2):
