@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 128 * 1024 * 1024
 _HOT_SHARE = 100_000
 _FAN_OUT = 64
+# What a row costs in a hash table beside its values: its header, its pointer and the free slots.
+_ROW_BYTES = 64
 
 
 _NESTED = (T.StructType, T.MapType, T.ArrayType)
@@ -29,8 +31,8 @@ def _width(field: T.StructField) -> Column:
 
 
 def frame_bytes(df: DataFrame) -> int:
-    """Size of the rows' values: one parallel pass, one number back."""
-    row = sum((_width(f) for f in df.schema.fields), F.lit(16)).cast("bigint")
+    """Size of the rows in a hash table, its overhead included: one parallel pass, one number back."""
+    row = sum((_width(f) for f in df.schema.fields), F.lit(_ROW_BYTES)).cast("bigint")
     return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
 
 
@@ -50,13 +52,16 @@ def salted_join(facts: DataFrame, dim: DataFrame, key: list[str], how: str, spre
     """Shuffled join in which the rows of a hot key go to many tasks.
 
     ``spread_by`` are columns that differ between rows of one key (a row id).
-    Hot facts get a salt; the matching ``dim`` rows are repeated once per salt.
+    Hot facts get a salt; the matching ``dim`` rows are repeated once per salt. Hot keys
+    are told by an 8-byte hash, so the broadcast list stays under two megabytes whatever
+    the keys are; keys that share a hot key's hash are only salted needlessly.
     """
-    hot = F.broadcast(hot_keys(facts, key, spread_by))
+    facts, dim = (side.withColumn("_hash", F.xxhash64(*key)) for side in (facts, dim))
+    hot = F.broadcast(hot_keys(facts, ["_hash"], spread_by))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(_FAN_OUT)).cast("int")).otherwise(0)
-    left = facts.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    left = facts.join(hot, "_hash", "left").withColumn("_salt", salt).drop("_hot", "_hash")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(_FAN_OUT - 1))).otherwise(F.array(F.lit(0)))
-    right = dim.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    right = dim.join(hot, "_hash", "left").withColumn("_salt", F.explode(copies)).drop("_hot", "_hash")
     return left.join(right, [*key, "_salt"], how).drop("_salt")
 
 
