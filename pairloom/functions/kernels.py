@@ -35,10 +35,21 @@ def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _clip(left: pa.Array, right: pa.Array, orders: int) -> np.ndarray:
     """Matrix (row, order) of the multiset intersection size of the two sides' n-grams."""
-    rows = len(left)
     sizes = np.concatenate([_lengths(left), _lengths(right)])
     tokens = pa.concat_arrays([left.flatten(), right.flatten()])
     word = tokens.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return _clip_numbers(word, sizes, len(left), orders)
+
+
+def _clip_characters(left: pa.Array, right: pa.Array, orders: int) -> np.ndarray:
+    """The same for the characters of two text columns: their code points are their numbers."""
+    texts = pc.fill_null(pa.concat_arrays([left, right]), "")
+    codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64)
+    return _clip_numbers(codes, pc.utf8_length(texts).to_numpy().astype(np.int64), len(left), orders)
+
+
+def _clip_numbers(word: np.ndarray, sizes: np.ndarray, rows: int, orders: int) -> np.ndarray:
+    """``word``: the numbered tokens of the left texts, then of the right ones; ``sizes``: tokens of each text."""
     text = np.repeat(np.arange(2 * rows), sizes)
     base = int(word.max()) + 1 if len(word) else 1
     result = np.zeros((rows, orders), np.int64)
@@ -65,12 +76,21 @@ def clipped_matches(left: Column | str, right: Column | str, orders: int = 4) ->
     """``array<bigint>``: for n = 1..orders, how many n-grams the two token arrays share,
     each gram counted as often as in the side that has fewer of it."""
 
+    return _clipped(left, right, orders, _lengths, _clip)
+
+
+def clipped_character_matches(left: Column | str, right: Column | str, orders: int = 4) -> Column:
+    """The same for the characters of two texts, which stay whole strings."""
+    def sizes(texts: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    return _clipped(left, right, orders, sizes, _clip_characters)
+
+
+def _clipped(left: Column | str, right: Column | str, orders: int, sizes: Callable, clip: Callable) -> Column:
     @F.arrow_udf("array<bigint>")
     def kernel(a: pa.Array, b: pa.Array) -> pa.Array:
-        parts = [
-            _clip(a.slice(lo, hi - lo), b.slice(lo, hi - lo), orders)
-            for lo, hi in _slices(_lengths(a) + _lengths(b))
-        ]
+        parts = [clip(a.slice(lo, hi - lo), b.slice(lo, hi - lo), orders) for lo, hi in _slices(sizes(a) + sizes(b))]
         flat = np.concatenate(parts).reshape(-1) if parts else np.zeros(0, np.int64)
         offsets = np.arange(0, len(flat) + 1, orders, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
@@ -96,7 +116,11 @@ def lcs_length(left: Column | str, right: Column | str) -> Column:
 
     @F.arrow_udf("bigint")
     def kernel(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([_lcs(x or [], y or []) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int64())
+        found = []
+        for lo, hi in _slices(_lengths(a) + _lengths(b)):
+            left, right = (side.slice(lo, hi - lo).to_pylist() for side in (a, b))
+            found += [_lcs(x or [], y or []) for x, y in zip(left, right, strict=True)]
+        return pa.array(found, pa.int64())
 
     return kernel(left, right)
 
@@ -165,14 +189,14 @@ def meteor(
 
     @F.arrow_udf("double")
     def kernel(*arrays: pa.Array) -> pa.Array:
-        lists = [a.to_pylist() for a in arrays]
         scores = []
-        for values in zip(*lists):
-            rest = list(values[2:])
-            ref_stem, hyp_stem = (rest.pop(0), rest.pop(0)) if stems else (None, None)
-            ref, hyp = ([token.lower() for token in side or []] for side in values[:2])
-            scores.append(_meteor(ref, hyp, ref_stem, hyp_stem,
-                                  rest.pop(0) if rest else None, alpha, beta, gamma))
+        for lo, hi in _slices(sum(_lengths(a) for a in arrays)):
+            for values in zip(*[a.slice(lo, hi - lo).to_pylist() for a in arrays], strict=True):
+                rest = list(values[2:])
+                ref_stem, hyp_stem = (rest.pop(0), rest.pop(0)) if stems else (None, None)
+                ref, hyp = ([token.lower() for token in side or []] for side in values[:2])
+                scores.append(_meteor(ref, hyp, ref_stem, hyp_stem,
+                                      rest.pop(0) if rest else None, alpha, beta, gamma))
         return pa.array(scores, pa.float64())
 
     return kernel(*columns)

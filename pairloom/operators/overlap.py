@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.kernels import clipped_matches, lcs_length, meteor
+from pairloom.functions.kernels import clipped_character_matches, clipped_matches, lcs_length, meteor
 from pairloom.functions.lookups import TABLE_BYTES, mapped
 from pairloom.functions.text import ratio
+from pairloom.operators.digests import digest
 from pairloom.operators.joins import frame_bytes, lookup_join
 from pairloom.session import pinned
 
@@ -19,11 +20,17 @@ from pairloom.session import pinned
 def with_overlap(
     df: DataFrame, reference: Column, hypothesis: Column, orders: int = 4, prefix: str = ""
 ) -> DataFrame:
-    """Add token arrays ``ref`` / ``hyp`` and ``matches``, the shared n-gram counts."""
+    """Add token arrays ``ref`` / ``hyp``, their sizes ``ref_n`` / ``hyp_n`` and ``matches``, the shared n-gram counts."""
     ref, hyp = f"{prefix}ref", f"{prefix}hyp"
-    return df.withColumn(ref, reference).withColumn(hyp, hypothesis).withColumn(
-        f"{prefix}matches", clipped_matches(ref, hyp, orders)
-    )
+    return df.withColumn(ref, reference).withColumn(hyp, hypothesis).withColumns({
+        f"{prefix}matches": clipped_matches(ref, hyp, orders), f"{ref}_n": F.size(ref), f"{hyp}_n": F.size(hyp)})
+
+
+def with_character_overlap(df: DataFrame, reference: str, hypothesis: str, orders: int = 4, prefix: str = "") -> DataFrame:
+    """Add ``matches``, ``ref_n`` and ``hyp_n`` of the characters of two text columns."""
+    return df.withColumns({
+        f"{prefix}matches": clipped_character_matches(reference, hypothesis, orders),
+        f"{prefix}ref_n": F.length(reference), f"{prefix}hyp_n": F.length(hypothesis)})
 
 
 def bleu(weights: tuple[float, ...], prefix: str = "") -> Column:
@@ -32,12 +39,12 @@ def bleu(weights: tuple[float, ...], prefix: str = "") -> Column:
     No smoothing: 0 when some order has no match at all. Each pair counts at
     least 1 in every denominator, as in the public corpus_bleu implementation.
     """
-    ref_len, hyp_len = F.sum(F.size(f"{prefix}ref")), F.sum(F.size(f"{prefix}hyp"))
+    ref_len, hyp_len = F.sum(f"{prefix}ref_n"), F.sum(f"{prefix}hyp_n")
     log_precision = F.lit(0.0)
     some_zero = F.lit(False)
     for n, weight in enumerate(weights, start=1):
         hits = F.sum(F.get(F.col(f"{prefix}matches"), n - 1))
-        possible = F.sum(F.greatest(F.lit(1), F.size(f"{prefix}hyp") - (n - 1)))
+        possible = F.sum(F.greatest(F.lit(1), F.col(f"{prefix}hyp_n") - (n - 1)))
         log_precision = log_precision + weight * F.ln(hits / possible)
         some_zero = some_zero | (hits == 0)
     brevity = F.when(hyp_len > ref_len, F.lit(1.0)).otherwise(F.exp(1 - ref_len / F.nullif(hyp_len, F.lit(0))))
@@ -150,9 +157,9 @@ def validity_rate(valid: Column) -> Column:
 
 
 def uniqueness_rate(output: Column, valid: Column, approximate: bool = False) -> Column:
-    """Distinct valid outputs over valid outputs; NULL when none is valid."""
+    """Distinct valid outputs over valid outputs; NULL when none is valid. Digests are told apart, so no text is shuffled."""
     kept = F.when(valid, output)
-    distinct = F.approx_count_distinct(kept) if approximate else F.count_distinct(kept)
+    distinct = F.approx_count_distinct(kept) if approximate else F.count_distinct(F.when(kept.isNotNull(), digest(kept)))
     return ratio(distinct, F.count(kept))
 
 

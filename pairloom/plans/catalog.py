@@ -103,8 +103,7 @@ def meteor_stems(spark, d):
 
 @query
 def char_bleu(spark, d):
-    scored = overlap.with_overlap(
-        v.eval_pairs(spark, d), X.characters("ground_truth"), X.characters("output"), 4)
+    scored = overlap.with_character_overlap(v.eval_pairs(spark, d), "ground_truth", "output", 4)
     return rounded(scored.agg(F.count("*").alias("n_pairs"), overlap.bleu(overlap.BLEU4).alias("char_bleu")))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import alnum_words, characters, truncated, without_special, words
+from pairloom.functions.text import alnum_words, truncated, without_special, words
 from pairloom.operators import overlap, phrases
 from pairloom.operators.retrieval import mean_paired_cosine, mean_unpaired_cosine
 
@@ -76,7 +76,7 @@ def molecule_scorecard(
     for a row whose item cannot be processed.
     """
     ok = F.lit(True) if valid is None else valid
-    scored = overlap.with_overlap(pairs, characters("ground_truth"), characters("output"), 4)
+    scored = overlap.with_character_overlap(pairs, "ground_truth", "output", 4)
     return _summed(scored, group_by or [], {
         "n_pairs": F.count("*"),
         "char_bleu": overlap.bleu(overlap.BLEU4),

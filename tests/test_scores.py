@@ -102,6 +102,16 @@ def test_rouge_f_is_symmetric(spark):
     assert a.rouge1_f == pytest.approx(b.rouge1_f) and a.rouge2_f == pytest.approx(b.rouge2_f)
 
 
+def test_characters_clip_like_their_arrays(spark):
+    rows = [("abcabc", "abcab"), ("", "a"), ("é🎉é🎉", "🎉é"), (None, "a"), ("a", None), ("aaaa", "aa"), ("same text", "same text")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, x string, y string").repartition(2)
+    split = lambda c: F.split(F.col(c), "")
+    texts = df.where("x <> '' and y is not null")
+    got = {r.i: (r.matches, r.ref_n, r.hyp_n) for r in overlap.with_character_overlap(df, "x", "y").collect()}
+    want = {r.i: (r.matches, r.ref_n, r.hyp_n) for r in overlap.with_overlap(texts, split("x"), split("y")).collect()}
+    assert {i: got[i] for i in want} == want and got[1] == ([0] * 4, 0, 1) and got[3][0] == got[4][0] == [0] * 4
+
+
 def test_meteor_golden():
     ref, hyp = "the cat sat on the mat".split(), "on the mat sat the cat".split()
     exact = kernels._meteor(ref, hyp, None, None, None, 0.9, 3.0, 0.5)
