@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from pairloom.llm.common import first_column, scratch_path, text_slices, tidied
+from pairloom.llm.common import first_column, scratch_path, text_slices, tidied, trimmed
 from pairloom.llm.vocabulary import WHITE
 
 BLOCK_CHARS = 16_000_000
@@ -84,7 +84,7 @@ class _Block:
         return np.array([words.setdefault(w, len(words)) for w in self.pattern.findall(text)], "<u4").tobytes()
 
 
-def _pre_tokens(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
+def _pre_tokens(docs: DataFrame, pattern: str, buckets: int, block_chars: int) -> DataFrame:
     """Per block: rows of documents with their word numbers, and rows of distinct words by hash bucket."""
     kind = docs.schema["key"].dataType
     source = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
@@ -118,7 +118,7 @@ def _pre_tokens(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
             coded = [block.codes(t or "") for t in first_column(part, "text").to_pylist()]
             counts = [len(c) // 4 for c in coded]
             yield rows([None], [first_column(part, "key").to_pylist()], [counts], [_packed(np.frombuffer(b"".join(coded), "<u4"))])
-            if block.chars >= BLOCK_CHARS or len(block.words) >= BLOCK_WORDS:
+            if block.chars >= block_chars or len(block.words) >= BLOCK_WORDS:
                 yield from dictionary(block)
                 block, number = _Block(compiled), number + 1
         yield from dictionary(block)
@@ -160,19 +160,22 @@ def _bytes_of(ids: np.ndarray, table: list[bytes | None]) -> bytes:
     return b"".join([table[i] for i in ids.tolist()])
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", block_chars: int | None = None
+) -> DataFrame:
     """``key``, ``n_tokens``, ``ids`` and ``decoded`` of each whole text, as the tokenizer library encodes it.
 
     ``ids`` is binary: the ids as little-endian unsigned 32-bit numbers. ``decoded``
     are the bytes of the ids by the token-byte table. A null or empty text has no ids;
     a null key stays null; each of repeated rows has its own result row; other columns
     are ignored, whatever their names; an empty table gives an empty result. ``docs``
-    is read once.
+    is read once. A task that puts texts together holds one block of about ``block_chars``
+    characters (default: ``BLOCK_CHARS``); smaller blocks take less memory and repeat more words.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tokens = _pre_tokens(docs.select(docs[key].alias("key"), docs[text].alias("text")), pattern, buckets)
+    tokens = _pre_tokens(docs.select(docs[key].alias("key"), docs[text].alias("text")), pattern, buckets, block_chars or BLOCK_CHARS)
     name = f"pre_tokens_{uuid.uuid4().hex}"
     # Bucketed by block, so that only words and ids are shuffled, not the documents' numbers.
     tokens.write.bucketBy(buckets, "block").option("path", scratch_path(spark, name)).option("compression", "uncompressed").saveAsTable(name)
@@ -211,7 +214,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
                 ], names=form.names)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        pa.default_memory_pool().release_unused()
+        trimmed()  # what the block before left
         return pa.Table.from_batches(list(join(left, right)), form)
 
     schema = T.StructType([

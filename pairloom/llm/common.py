@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pairloom.session import pinned, scratch_path, shared_dir
 
-__all__ = ["first_column", "pinned", "read", "scratch_path", "shared_dir", "text_slices", "tidied", "whole_row"]
+__all__ = ["first_column", "pinned", "read", "scratch_path", "shared_dir", "text_slices", "tidied", "trimmed", "whole_row"]
 
 SLICE_BYTES = 2 << 20
 
@@ -44,13 +44,18 @@ def first_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def trimmed() -> None:
+    """Give this process's free memory back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` that gives free memory back at its end: Spark keeps idle Python workers, and they would keep it."""
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        trimmed()
 
     return wrapped
