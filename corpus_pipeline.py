@@ -36,7 +36,8 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its ids, packed as little-endian 32-bit numbers, with the digests of the ids and of the decoded bytes."""
     ranks = rank_file(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    # Small blocks: the stages before have grown the executors, and every task has little room left.
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, block_chars=3_000_000)
     return encoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
