@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairloom.functions import prompts
 from pairloom.functions.text import CAP2MOL, MOL2CAP, task_of
@@ -18,6 +21,9 @@ DIRECTIONS = {
     "caption2smiles": ("caption", "molecule", CAP2MOL, "description"),
 }
 
+# Bytes of a caller's batch; Spark's own batches have so many rows, however long.
+BATCH_BYTES = 4 << 20
+
 
 def directed(pairs: DataFrame, direction: str) -> DataFrame:
     """(pair_id, source, target) of molecule / caption pairs in one direction."""
@@ -206,13 +212,35 @@ def excluding(rows: DataFrame, seen: DataFrame, key: str, row_id: list[str]) ->
     return without_texts(rows, seen, key, row_id)
 
 
-def score_batches(df: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Run the caller's batch function over all rows, partition by partition."""
+def _plain(schema: T.StructType) -> bool:
+    """Whether pandas shows every column as Arrow holds it: no times, decimals, bytes or nested values."""
+    return all(isinstance(f.dataType, (T.StringType, T.BooleanType, T.IntegralType, T.FloatType, T.DoubleType)) for f in schema.fields)
+
+
+def score_batches(df: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], schema: str, max_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Run the caller's batch function over all rows, partition by partition.
+
+    Of plain columns it gets about ``max_bytes`` at a time, however long the texts are.
+    """
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        step = max(1, batch.num_rows * max_bytes // max(batch.nbytes, 1))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield predict(batch)
 
-    return df.mapInPandas(run, schema)
+    def run_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch):
+                yield pa.RecordBatch.from_pandas(predict(part.to_pandas()), schema=out, preserve_index=False)
+
+    kinds = T.StructType.fromDDL(schema)
+    if not (_plain(kinds) and _plain(df.schema)):
+        return df.mapInPandas(run, schema)
+    out = to_arrow_schema(kinds)
+    return df.mapInArrow(run_parts, schema)
 
 
 def prediction_table(prompted: DataFrame, outputs: DataFrame) -> DataFrame:

@@ -3,10 +3,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import skipgram
+from pairloom.functions import kernels, lookups
+from pairloom.functions import text as X
+from pairloom.operators import corpus, pairs, skipgram
+from pairloom.plans import features
 
 
 @pytest.mark.parametrize("counts", [[50, 9, 9, 9, 3, 3, 1], [4], [1, 1, 1], []])
@@ -30,3 +34,82 @@ def test_parameters_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(skipgram, "PARAMETER_BYTES", 0)
     large = trained()
     assert small.keys() == large.keys() and all(np.allclose(small[w], large[w], atol=1e-9) for w in small)
+
+
+@pytest.mark.parametrize("bound", [1 << 16, 3])
+def test_kernels_cut_batches(spark, monkeypatch, bound):
+    """The bound on a slice holds in every kernel, and slices change no result."""
+    sizes = []
+    slices = kernels._slices
+
+    def noted(lengths):
+        for lo, hi in slices(lengths):
+            sizes.append((hi - lo, int(lengths[lo:hi].sum())))
+            yield lo, hi
+
+    monkeypatch.setattr(kernels, "_TOKENS_PER_SLICE", bound)
+    monkeypatch.setattr(lookups, "_slices", noted)
+    lists = pa.array([["a", "b", "c"], [], None, ["b", "x"], ["a"], ["c", "c"]], pa.list_(pa.string()))
+    got = lookups._by_slices(lists, lambda part: pa.array([None if x is None else len(x) for x in part.to_pylist()], pa.int64()))
+    assert got.to_pylist() == [3, 0, None, 2, 1, 2] and all(rows == 1 or tokens <= bound for rows, tokens in sizes) and len(sizes) == (1 if bound > 3 else 3)
+    df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, []), (3, None), (4, ["b", "x"]), (5, ["c", "c"])], "sent_id long, words array<string>").coalesce(1)
+    vocabulary = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "word string, id int")
+    ids = corpus.token_ids(df, vocabulary, F.col("words"), row_id="sent_id")
+    assert {r.sent_id: r.ids for r in ids.collect()} == {1: [1, 2, 3], 2: [], 3: [], 4: [2, 0], 5: [3, 3]}
+    assert {(r.word, r.near): r.n for r in skipgram.pair_counts(ids, 1).collect()} == {(1, 2): 1, (2, 1): 1, (2, 3): 1, (3, 2): 1, (3, 3): 2}
+    vectors = spark.createDataFrame([("a", [1.0]), ("b", [10.0]), ("c", [100.0])], "word string, vec array<double>")
+    assert {r.sent_id: r.vec for r in corpus.sentence_vectors(df, vectors).collect()} == {1: [111.0], 2: [], 3: [], 4: [10.0], 5: [200.0]}
+
+
+def test_one_sort_equals_many():
+    draw = np.random.default_rng(1)
+    for rows, kinds in ((1, 2), (5, 3), (40, 60)):
+        sizes = draw.integers(0, 9, 2 * rows)
+        word = draw.integers(0, kinds, sizes.sum()) * 9973
+        one = kernels._clip_sorted(word, sizes, rows, 4) if len(word) else None
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(kernels, "_clip_sorted", lambda *_: None)
+            assert one is None or one.tolist() == kernels._clip_numbers(word, sizes, rows, 4).tolist()
+    assert kernels._clip_sorted(np.arange(1 << 17), np.array([1 << 16, 1 << 16]), 1, 4) is None
+
+
+def test_alternating_sentences(spark):
+    rows = [["a", "b", "c"], ["a"], [], None, ["a", None, "b", "c"], [None]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t array<string>").coalesce(1)
+    for radius in (0, 1, 2):
+        got = {r.i: r.s for r in df.select("i", kernels.alternated("t", radius, "_").alias("s")).collect()}
+        grams = lambda r: ["_".join(r[i:i + n]) for i in range(len(r)) for n in range(1, radius + 2) if i + n <= len(r) and None not in r[i:i + n]]
+        assert got == {i: None if r is None else grams(r) for i, r in enumerate(rows)}
+
+
+def test_known_counts_spare_a_pass(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b a"), (2, None), (3, "!"), (4, "c")], "sent_id long, text string")
+    words = X.alnum_words("text")
+    sentences = corpus.corpus_sentences(df, words, 1, "alt")
+    assert {r.sent_id: r.words for r in sentences.collect()} == {1: ["a", "a_b", "b", "b_a", "a"], 4: ["c"]}
+    vectors = spark.createDataFrame([("a", [1.0]), ("a_b", [10.0]), ("c", [100.0])], "word string, vec array<double>")
+    counts = corpus.word_counts(sentences).localCheckpoint()
+    want = {r.sent_id: r.vec for r in features.featurize(df, words, vectors).collect()}
+    monkeypatch.setattr(corpus, "word_counts", None)
+    part = corpus.sentence_vectors(sentences, vectors, max_bytes=200, counts=counts)
+    assert {r.sent_id: r.vec for r in part.collect()} == want == {1: [12.0], 4: [100.0]}
+
+
+def test_callers_batches_are_bounded(spark):
+    def predict(batch):
+        return batch[["pair_id"]].assign(output=batch["prompt"] + str(len(batch)))
+
+    df = spark.createDataFrame([(i, "x" * 1000) for i in range(50)] + [(50, None)], "pair_id long, prompt string").coalesce(1)
+    got = pairs.score_batches(df, predict, "pair_id bigint, output string", max_bytes=5000).collect()
+    assert [r.pair_id for r in got] == list(range(51)) and got[50].output is None
+    assert all(int(r.output[1000:]) <= 6 for r in got[:50])
+    dated = df.withColumn("at", F.current_timestamp())
+    assert pairs.score_batches(dated, predict, "pair_id bigint, output string").count() == 51
+
+
+def test_one_prediction_for_both_directions(spark):
+    texts = spark.createDataFrame([(1, "m", "c"), (1, "n", "d"), (2, "o", "e"), (None, "p", "f")], "pair_id long, molecule string, caption string")
+    predicted = spark.createDataFrame([(1, "x"), (1, "y"), (2, None), (3, "z")], "pair_id long, predicted string")
+    each = predicted.withColumn("direction", F.explode(F.array(*map(F.lit, pairs.DIRECTIONS))))
+    rows = lambda p: sorted(map(str, pairs.triples_by_direction(texts, p).collect()))
+    assert rows(predicted) == rows(each) and len(rows(each)) == 10
