@@ -48,13 +48,17 @@ def preference_triples(pairs: DataFrame, predictions: DataFrame, direction: str)
 def triples_by_direction(pairs: DataFrame, predictions: DataFrame) -> DataFrame:
     """The triples of all directions from one join.
 
-    ``predictions``: (pair_id, direction, predicted), one row per pair and direction.
+    ``predictions``: (pair_id, direction, predicted), one row per pair and direction; without
+    ``direction`` a prediction stands for every direction, and its text is moved once.
     """
     def pick(at: int) -> Column:
         values = [F.lit(d[at] + " ") if at == 2 else F.col(d[at]) for d in DIRECTIONS.values()]
         return prompts.by_task("direction", dict(zip(DIRECTIONS, values)))
 
-    return pairs.join(predictions, "pair_id").select(
+    joined = pairs.join(predictions, "pair_id")
+    if "direction" not in predictions.columns:
+        joined = joined.withColumn("direction", F.explode(F.array(*map(F.lit, DIRECTIONS))))
+    return joined.select(
         "pair_id", F.concat(pick(2), pick(0)).alias("source"), pick(1).alias("chosen"), F.col("predicted").alias("rejected"))
 
 

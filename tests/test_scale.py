@@ -11,6 +11,7 @@ from pairloom.functions import kernels, lookups
 from pairloom.functions import text as X
 from pairloom.operators import corpus, pairs, skipgram
 from pairloom.plans import features
+from pairloom.sources import readers, writers
 
 
 @pytest.mark.parametrize("counts", [[50, 9, 9, 9, 3, 3, 1], [4], [1, 1, 1], []])
@@ -113,3 +114,11 @@ def test_one_prediction_for_both_directions(spark):
     each = predicted.withColumn("direction", F.explode(F.array(*map(F.lit, pairs.DIRECTIONS))))
     rows = lambda p: sorted(map(str, pairs.triples_by_direction(texts, p).collect()))
     assert rows(predicted) == rows(each) and len(rows(each)) == 10
+
+
+def test_compressed_csv_reads_back(spark, tmp_path):
+    rows = [("a,\"b\"", "two\nlines", ""), (" é ", "\t", "x" * 5000)]
+    path = str(tmp_path / "triples")
+    writers.write_csv(spark.createDataFrame(rows, "source string, chosen string, rejected string"), path, compression="gzip")
+    assert all(f.name.endswith(".csv.gz") for f in (tmp_path / "triples").glob("part-*"))
+    assert sorted(map(tuple, readers.read_triples(spark, path).select("source", "chosen", "rejected").collect())) == sorted(rows)
