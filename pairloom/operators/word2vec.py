@@ -1,0 +1,249 @@
+"""Skip-gram word vectors with hierarchical softmax, trained by matrix products over stretches of text.
+
+The method is that of Spark ML's ``Word2Vec``: windows of drawn reach, a Huffman tree of the
+counts, steps whose rate falls with the words done, as many independent tasks as asked for,
+and the mean of their vectors after every iteration. Spark ML takes each word, neighbour and
+tree node by itself; here a task scores some hundred words with all their neighbours and all
+their nodes at once and then moves every met row one time.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import count
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast, TaskContext
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from pairloom.functions.kernels import _lengths, _slices
+from pairloom.session import pinned
+
+# Beyond this score a pair is not moved, as in the published method.
+MAX_SCORE = 6.0
+_BATCH_WORDS = 512
+_LEVELS = 3
+_ROWS_PER_BATCH = 1 << 14
+
+
+def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(parent, code, length) for falling ``counts``: leaves are numbered as the counts, then the inner nodes, the root last; one node more, its own parent, stands above the root."""
+    words = len(counts)
+    weight, parent, code = [*counts.tolist(), *[0] * (words - 1)], np.full(2 * words, 2 * words - 1, np.int32), np.zeros(2 * words, np.int8)
+    leaf, inner = words - 1, words
+    for node in range(words, 2 * words - 1):
+        for bit in (0, 1):
+            if leaf >= 0 and (inner >= node or weight[leaf] < weight[inner]):
+                least, leaf = leaf, leaf - 1
+            else:
+                least, inner = inner, inner + 1
+            weight[node] += weight[least]
+            parent[least], code[least] = node, bit
+    length, at = np.zeros(words, np.int16), np.arange(words)
+    while (at != 2 * words - 2).any():
+        length += at != 2 * words - 2
+        at = parent[at]
+    return parent, code, length
+
+
+def _hashed(word: Column | str, salt: int) -> Column:
+    return F.xxhash64(word, F.lit(salt))
+
+
+def vocabulary(sentences: DataFrame, min_count: int) -> tuple[pa.Table, int]:
+    """The words (word, n, hash) with at least ``min_count`` occurrences by falling count, and a salt with which no two words of the corpus have the same hash."""
+    counts = pinned(sentences.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    salt = next(s for s in count() if counts.groupBy(_hashed("word", s)).count().where("count > 1").isEmpty())
+    frequent = counts.where(F.col("n") >= min_count).select("word", "n", _hashed("word", salt).alias("hash")).toArrow()
+    if not len(frequent):
+        raise IllegalArgumentException("The vocabulary size should be > 0. You may need to check the setting of minCount, which could be large enough to remove all your words in sentences.")
+    return frequent.sort_by([("n", "descending"), ("word", "ascending")]), salt
+
+
+def numbered(sentences: DataFrame, hashes: np.ndarray, salt: int) -> DataFrame:
+    """(ids): each sentence's words as places in the vocabulary, other words left out; no row for a sentence without a known word."""
+    order = np.argsort(hashes)
+    table = sentences.sparkSession.sparkContext.broadcast((hashes[order], order.astype(np.int32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, place = table.value
+        for batch in batches:
+            lists = batch.column(0)
+            for lo, hi in _slices(_lengths(lists)):
+                part = lists.slice(lo, hi - lo)
+                distinct, of = np.unique(part.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+                at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+                ids = np.where(known[at] == distinct, place[at], -1)[of]
+                sizes = np.bincount(np.repeat(np.arange(len(part)), _lengths(part))[ids >= 0], minlength=len(part))
+                ends = np.cumsum(sizes[sizes > 0])
+                if len(ends):
+                    offsets = pa.array(np.r_[0, ends].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(ids[ids >= 0].astype(np.int32)))], names=["ids"])
+
+    return sentences.select(F.transform("words", lambda w: _hashed(w, salt)).alias("hashes")).mapInArrow(run, "ids array<int>")
+
+
+def _pieces(lists: pa.Array, max_length: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the sentences in a row, and the number of the piece of at most ``max_length`` words that each belongs to."""
+    sizes = _lengths(lists)
+    words = lists.flatten().to_numpy(zero_copy_only=False)
+    if max_length is None:
+        return words, np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return words, np.cumsum(place % max_length == 0)
+
+
+def _paths(words: np.ndarray, depth: int, tree: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices (word, level) of the inner nodes above each word, numbered from 0, and of the codes there; past a path's end stands the node without a vector."""
+    parent, code, length = tree
+    nodes, codes = np.empty((len(words), depth), np.int32), np.empty((len(words), depth), np.float32)
+    at = words
+    for level in range(depth):
+        codes[:, level] = code[at]
+        at = parent[at]
+        nodes[:, level] = at
+    return nodes - len(length), codes
+
+
+def _move(table: np.ndarray, rows: np.ndarray, steps: np.ndarray, bounds: np.ndarray) -> None:
+    """Add to the ``table``'s rows their summed steps.
+
+    ``bounds`` say how much a row's errors change at most with its steps. One step for many
+    pairs would overshoot; steps one after the other fall off as the errors do, which makes
+    the factor (1 - exp(-x)) / x.
+    """
+    order = np.argsort(rows)
+    rows = rows.take(order)
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    sums = np.add.reduceat(steps.take(order, 0), first, axis=0)
+    bound = np.maximum(np.add.reduceat(bounds.take(order), first), np.float32(1e-6))
+    sums *= (-np.expm1(-bound) / bound)[:, None]
+    table[rows[first]] += sums
+
+
+def _trained(
+    words: np.ndarray, piece: np.ndarray, reach: np.ndarray, rates: np.ndarray, window: int, own: np.ndarray, inner: np.ndarray,
+    tree: tuple[np.ndarray, np.ndarray, np.ndarray], met: tuple[np.ndarray, np.ndarray],
+) -> None:
+    """Move ``own`` and ``inner`` by all pairs of words at most ``reach`` places apart in a piece, some hundred words at a time."""
+    size, span = own.shape[1], 2 * window + 1
+    padded, pieces = np.pad(words, window), np.pad(piece, window, constant_values=-1)
+    distance = np.abs(np.arange(-window, window + 1))
+    windows = np.lib.stride_tricks.sliding_window_view
+    for start in range(0, len(words), _BATCH_WORDS):
+        stop = min(start + _BATCH_WORDS, len(words))
+        around, places = padded[start:stop + 2 * window], stop - start
+        near = (windows(pieces[start:stop + 2 * window], span) == piece[start:stop, None]) & (distance <= reach[start:stop, None]) & (distance > 0)
+        # Places by their word, so equal words stand together and words with about equally many levels too.
+        order = np.argsort(words[start:stop], kind="stable")
+        order = order[near.any(1)[order]]
+        if not len(order):
+            continue
+        vectors = own.take(around, 0)
+        others = windows(vectors.reshape(-1), span * size)[::size].take(order, 0).reshape(-1, span, size)
+        pull = (near * rates[start:stop, None]).astype(np.float32).take(order, 0)
+        squares = np.square(vectors).sum(1)
+        bound = (windows(squares, span).take(order, 0) * pull).sum(1)
+        centre = words[start:stop].take(order)
+        first = np.flatnonzero(np.r_[True, centre[1:] != centre[:-1]])
+        ends = np.r_[first[1:], len(centre)]
+        levels = -(-tree[2].take(centre[first]) // _LEVELS) * _LEVELS
+        nodes, codes = _paths(centre[first], int(levels.max()), tree)
+        steps, bounds = np.zeros((places, span, size), np.float32), np.zeros((places, span), np.float32)
+        moves = []
+        cuts = np.r_[0, np.flatnonzero(np.diff(levels)) + 1, len(levels)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            depth, begin, end = int(levels[lo]), first[lo], ends[hi - 1]
+            path, times = nodes[lo:hi, :depth], ends[lo:hi] - first[lo:hi]
+            held = inner.take(path, 0)
+            gates = np.repeat(held, times, axis=0)
+            score = gates @ others[begin:end].transpose(0, 2, 1)
+            error = np.exp(-score)
+            error += 1
+            np.reciprocal(error, out=error)
+            np.subtract(np.repeat(1 - codes[lo:hi, :depth], times, axis=0)[:, :, None], error, out=error)
+            error *= np.abs(score, out=score) < MAX_SCORE
+            error *= pull[begin:end, None, :]
+            # The logistic function's slope is at most a quarter.
+            steps[order[begin:end]] = error.transpose(0, 2, 1) @ gates
+            bounds[order[begin:end]] = pull[begin:end] * (np.repeat(np.square(held).sum((1, 2)), times) / 4)[:, None]
+            of_words = np.add.reduceat(error @ others[begin:end], first[lo:hi] - begin, axis=0)
+            of_bounds = np.add.reduceat(bound[begin:end], first[lo:hi] - begin) / 4
+            moves.append((path.reshape(-1), of_words.reshape(-1, size), np.repeat(of_bounds, depth)))
+        pulled, limits, paired = np.zeros((len(around), size), np.float32), np.zeros(len(around), np.float32), np.zeros(len(around), bool)
+        for offset in range(span):
+            pulled[offset:offset + places] += steps[:, offset]
+            limits[offset:offset + places] += bounds[:, offset]
+            paired[offset:offset + places] |= near[:, offset]
+        _move(own, around[paired], pulled[paired], limits[paired])
+        path, sums, limits = (np.concatenate(x) for x in zip(*moves, strict=True))
+        if len(path):
+            _move(inner, path, sums, limits)
+            inner[-1] = 0
+        met[0][around[paired]] = met[1][path] = True
+
+
+def _iteration(
+    ids: DataFrame, partitions: int, state: Broadcast, tree: Broadcast, window: int, seed: int, step: int, total: int, iterations: int, rate: float,
+    max_length: int | None,
+) -> DataFrame:
+    """(kind, id, g0..): the mean over the tasks of the rows that they moved; kind 0 are the words' vectors, 1 the inner nodes'."""
+    size = state.value[0].shape[1]
+    names = [f"g{i}" for i in range(size)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        draw = np.random.default_rng([abs(seed), step, task])
+        tables = [t.copy() for t in state.value]
+        met = [np.zeros(len(t), bool) for t in tables]
+        done = 0
+        for batch in batches:
+            lists = batch.column(0)
+            for lo, hi in _slices(_lengths(lists)):
+                words, piece = _pieces(lists.slice(lo, hi - lo), max_length)
+                share = (partitions * (done + np.arange(len(words))) + step * total) / (iterations * total + 1)
+                rates = rate * np.maximum(1 - share, 1e-4)
+                _trained(words, piece, draw.integers(1, window + 1, len(words)), rates, window, *tables, tree.value, met)
+                done += len(words)
+        for kind in (0, 1) if step + 1 < iterations else (0,):
+            moved = np.flatnonzero(met[kind])
+            for start in range(0, len(moved), _ROWS_PER_BATCH):
+                at = moved[start:start + _ROWS_PER_BATCH]
+                columns = [np.full(len(at), kind, np.int32), at.astype(np.int32), *np.ascontiguousarray(tables[kind][at].T)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "id", *names])
+
+    moved = ids.repartition(partitions).mapInArrow(run, "kind int, id int, " + ", ".join(f"{g} float" for g in names))
+    return moved.groupBy("kind", "id").agg(*[F.avg(g).cast("float").alias(g) for g in names])
+
+
+def train(
+    sentences: DataFrame, vector_size: int, window: int, min_count: int, seed: int, partitions: int, iterations: int, rate: float,
+    max_length: int | None = None,
+) -> pa.Table:
+    """(word, vector) of ``words`` arrays; words of the vocabulary without a neighbour keep their first vector.
+
+    Driver and tasks hold the vocabulary and one row per word and inner node of the tree.
+    """
+    spark = sentences.sparkSession
+    known, salt = vocabulary(sentences, min_count)
+    counts = known.column("n").to_numpy()
+    tree = spark.sparkContext.broadcast(huffman(counts))
+    ids = numbered(sentences, known.column("hash").to_numpy(), salt)
+    if iterations > 1:
+        ids = pinned(ids)
+    # The last inner row belongs to the node above the root: it stays zero.
+    own = (np.random.default_rng(abs(seed)).random((len(counts), vector_size), np.float32) - np.float32(0.5)) / np.float32(vector_size)
+    tables = [own, np.zeros_like(own)]
+    for step in range(iterations):
+        state = spark.sparkContext.broadcast(tables)
+        rows = _iteration(ids, partitions, state, tree, window, seed, step, int(counts.sum()), iterations, rate, max_length).toArrow()
+        kind, at = rows.column("kind").to_numpy(), rows.column("id").to_numpy()
+        tables = [t.copy() for t in tables]
+        for k, table in enumerate(tables):
+            for i in range(vector_size):
+                table[at[kind == k], i] = rows.column(f"g{i}").to_numpy()[kind == k]
+    offsets = pa.array(np.arange(len(counts) + 1, dtype=np.int32) * vector_size)
+    return pa.table({"word": known.column("word"), "vector": pa.ListArray.from_arrays(offsets, pa.array(tables[0].reshape(-1)))})
