@@ -122,3 +122,21 @@ def test_compressed_csv_reads_back(spark, tmp_path):
     writers.write_csv(spark.createDataFrame(rows, "source string, chosen string, rejected string"), path, compression="gzip")
     assert all(f.name.endswith(".csv.gz") for f in (tmp_path / "triples").glob("part-*"))
     assert sorted(map(tuple, readers.read_triples(spark, path).select("source", "chosen", "rejected").collect())) == sorted(rows)
+
+
+def test_trainer_reads_sentences_twice_and_splits_none(spark):
+    """One pass counts the words, one deals the sentences out; the vectors are Spark ML's for sentences left whole."""
+    draw, read = random.Random(3), spark.sparkContext.accumulator(0)
+    lengths = [2500, *range(1, 40)]
+    texts = [" ".join(draw.choices("abcdefgh", range(8, 0, -1), k=n)) for n in lengths]
+
+    @F.udf("array<string>")
+    def words(text):
+        read.add(1)
+        return text.split()
+
+    sentences = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).select(words("text").alias("words"))
+    fitted = lambda n: {r.word: r.vec for r in corpus.word_vectors(corpus.fit_word_vectors(sentences, 4, 2, 3, 5, 1, max_length=n)).collect()}
+    whole = fitted(None)
+    assert read.value == 2 * len(texts) and set(whole) == set("abcdefgh")
+    assert whole == fitted(max(lengths)) != fitted(10)
