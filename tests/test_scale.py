@@ -140,3 +140,9 @@ def test_trainer_reads_sentences_twice_and_splits_none(spark):
     whole = fitted(None)
     assert read.value == 2 * len(texts) and set(whole) == set("abcdefgh")
     assert whole == fitted(max(lengths)) != fitted(10)
+
+
+def test_trainer_takes_null_sentences(spark):
+    sentences = spark.createDataFrame([(["a", "b", "a"] * 3,), (None,), ([],), (["c", "b"],)], "words array<string>")
+    vectors = corpus.word_vectors(corpus.fit_word_vectors(sentences, 4, 2, 3, 5))
+    assert {r.word: len(r.vec) for r in vectors.collect()} == {"a": 4, "b": 4}
