@@ -146,3 +146,51 @@ def test_trainer_takes_null_sentences(spark):
     sentences = spark.createDataFrame([(["a", "b", "a"] * 3,), (None,), ([],), (["c", "b"],)], "words array<string>")
     vectors = corpus.word_vectors(corpus.fit_word_vectors(sentences, 4, 2, 3, 5))
     assert {r.word: len(r.vec) for r in vectors.collect()} == {"a": 4, "b": 4}
+
+
+def test_word_filter_misses_no_word(spark):
+    words = ["", "a", "ab", "é" * 9, "x" * 8, "x" * 9, "x" * 100, *(f"w{i}" for i in range(500))]
+    held = lookups.word_filter(spark.createDataFrame([(w,) for w in [*words, None]], "word string").repartition(3), len(words)).value
+    assert lookups._may_hold(held, pa.array(["?", *words])[1:]).all()
+    others = pa.array([f"{w}_{i}" for i, w in enumerate(words)] * 4)
+    assert lookups._may_hold(held, others).mean() < 0.05 and len(set(lookups._word_hashes(pa.array(words)).tolist())) == len(words)
+
+
+@pytest.mark.parametrize("words_held", [1 << 21, 3])
+@pytest.mark.parametrize("unseen", [None, "UNK"])
+def test_sums_of_a_large_table_go_by_groups(spark, monkeypatch, words_held, unseen):
+    """Sentences with one id, or none, keep their own sums; a word is joined once for a group, however many sentences have it."""
+    monkeypatch.setattr(lookups, "_GROUP_WORDS", words_held)
+    monkeypatch.setattr(lookups, "_GROUP_BYTES", 5 * 8 * 2)
+    draw = random.Random(6)
+    rows = [(draw.choice([None, "s1", f"s{n}"]), draw.choices([*(f"w{i}" for i in range(12)), "no", None], k=draw.randrange(9))) for n in range(60)] + [("s1", None), ("z", [])]
+    df = spark.createDataFrame(rows, "sent_id string, words array<string>").repartition(2)
+    table = [(f"w{i}", [float(i), 0.1 * i]) for i in range(12)] + [("UNK", [1000.0, 0.5])]
+    vectors = spark.createDataFrame(table, "word string, vec array<double>")
+    shown = lambda out: sorted((str(r.sent_id), [round(x, 6) for x in r.vec]) for r in out.collect())
+    small = corpus.sentence_vectors(df, vectors, unseen)
+    large = corpus.sentence_vectors(df, vectors, unseen, max_bytes=250)
+    assert shown(large) == shown(small) and len(shown(large)) == len(rows)
+    tail = vectors.where("word > 'w3'")
+    head, known = lookups.shared_vectors(vectors.where("word = 'w1'"), 2), lookups.word_filter(tail, 9)
+    parts = lookups.grouped_sums(df, "sent_id", head, known, 2).collect()
+    joined = [(r._group, r.word) for r in parts if r._at is None]
+    assert len(joined) == len(set(joined)) and {w for _, w in joined} >= {"w4", "w9"}
+    if words_held > 3:
+        assert all(sum(r._group == g and r._at is not None for r in parts) <= 5 for g in {r._group for r in parts})
+
+
+def test_vectors_travel_as_floats_where_exact(spark):
+    rows = [("a", [0.5, -2.0]), ("b", [0.1, 1.0]), ("c", [float(np.float32(0.1)), 3.0])]
+    packed = {r.word: len(r.data) for r in lookups.packed_vectors(spark.createDataFrame(rows, "word string, vec array<double>")).collect()}
+    assert packed == {"a": 8, "b": 16, "c": 8}
+    assert lookups._unpacked(pa.array([np.array([0.1, 1.0]).tobytes(), None, np.array([0.5, -2.0], np.float32).tobytes()], pa.binary()), 2).tolist() == [[0.1, 1.0], [0, 0], [0.5, -2.0]]
+    table = lambda keep: spark.createDataFrame([r for r in rows if r[0] in keep], "word string, vec array<double>")
+    assert lookups.shared_table(table("ac"), "vec").value[1].dtype == np.float32 and lookups.shared_table(table("ab"), "vec").value[1].dtype == np.float64
+
+
+def test_frequent_words_fit_the_room(spark):
+    counts = spark.createDataFrame([("a", 9), ("b", 9), ("c", 4), ("d", 4), ("e", 1), (None, 99)], "word string, n long")
+    vectors = spark.createDataFrame([(w, [1.0]) for w in "abcdx"], "word string, vec array<double>")
+    chosen = lambda room: {r.word for r in corpus._frequent(vectors, counts, room).collect()}
+    assert [chosen(n) for n in (1, 2, 3, 4, 9)] == [{"a"}, {"a", "b"}, {"a", "b"}, set("abcd"), set("abcd")]
