@@ -194,3 +194,12 @@ def test_frequent_words_fit_the_room(spark):
     vectors = spark.createDataFrame([(w, [1.0]) for w in "abcdx"], "word string, vec array<double>")
     chosen = lambda room: {r.word for r in corpus._frequent(vectors, counts, room).collect()}
     assert [chosen(n) for n in (1, 2, 3, 4, 9)] == [{"a"}, {"a", "b"}, {"a", "b"}, set("abcd"), set("abcd")]
+
+
+def test_records_are_taken_apart_once(spark, monkeypatch):
+    from pairloom.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(catalog.features, "featurize", lambda rows, *a, f=features.featurize, **b: seen.append(rows) or f(rows, *a, **b))
+    catalog.feature_file(spark, "/root/testdata/sf0.001")
+    assert seen and all(f.endswith(".parquet") for f in seen[0].inputFiles())
